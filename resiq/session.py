@@ -48,3 +48,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_by_value() -> None:
+    """Have functions of this package pickled whole, so that executors need no copy of it on their path."""
+    from pyspark import cloudpickle
+
+    import resiq
+
+    cloudpickle.register_pickle_by_value(resiq)
