@@ -34,10 +34,12 @@ from resiq.functions.lcs import lcs_codes, residue_codes
 
 Q = 5
 SPAN = 26**Q
-CHUNK = 1 << 15
+CHUNK = 1 << 13
 WILD = 0xFFFF
 #: A token with more postings than this is salted into chunks of this many texts.
 HOT = 8192
+#: Texts for each bucket, which bounds a reduce task's memory: a bucket gets the postings of so many texts.
+TEXTS_A_BUCKET = 50_000
 
 TEXT_SCHEMA = "tid long, res string, grp int, x int, y int"
 
@@ -54,11 +56,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Ranking:
     """order: 'hash' (one hash function) or 'rare' (rarest first by the frequencies of letters, then hash).
-    listed(n): how many of n tokens to list, vectorised."""
+    listed(n): how many of n tokens to list, vectorised. cosine, norm: where cosine > 0, the last tokens of a
+    text stay unlisted as long as they cannot bring a dot product of unit vectors to `cosine` by themselves:
+    by their residual norm, or by the largest weight that each can have on the other side, whose vector's
+    norm is `norm` at least."""
 
     order: str
     listed: Callable[[np.ndarray], np.ndarray]
     freq: tuple[float, ...] = ()
+    cosine: float = 0.0
+    norm: float = 1.0
+
+    def needed(self, owner: np.ndarray, code: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Which tokens, in order for each text, the bounds for the cosine leave to be listed."""
+        square = self.weights(code) ** 2
+        total = np.bincount(owner, weights=square, minlength=len(count))
+        sums = np.cumsum(square)
+        rest = (sums[np.maximum(np.cumsum(count) - 1, 0)])[owner] - sums + square  # of this token and all after it
+        return np.minimum(np.sqrt(rest / total[owner]), rest / (np.sqrt(total[owner]) * self.norm)) >= self.cosine * (1 - 1e-9)
 
     def key(self, code: np.ndarray) -> np.ndarray:
         """A 32-bit key for each token code, different for different codes; smaller comes first."""
@@ -174,6 +189,8 @@ def tokens(t: Texts, ranking: Ranking, whole: bool = False) -> Postings:
         rank = np.arange(len(code)) - np.repeat(np.cumsum(count) - count, count)
         if not whole:
             keep = rank < ranking.listed(count)[owner]
+            if ranking.cosine:
+                keep &= ranking.needed(owner, code, count)
             code, owner, place = code[keep], owner[keep], place[keep]
         parts.append((owner + lo, code, place))
     if not parts:
@@ -217,6 +234,19 @@ def chunk_of(tid: np.ndarray, n: int) -> np.ndarray:
     return (mix((tid & 0xFFFFFFFF).astype(np.uint32) ^ np.uint32(0x5BD1E995)) % np.uint32(n)).astype(np.int64)
 
 
+def listed_here(t: Texts, plan: Plan, bucket: int) -> tuple[Postings, np.ndarray]:
+    """Postings of one bucket with their lists; the other buckets' are dropped chunk by chunk."""
+    parts = []
+    for lo in range(0, len(t), CHUNK):
+        rows = np.arange(lo, min(len(t), lo + CHUNK))
+        few = t.take(rows)
+        p, lists, where = plan.spread(tokens(few, plan.ranking), few.tid)
+        own = np.flatnonzero(where == bucket)
+        parts.append((p.text[own] + lo, p.code[own], p.key[own], p.pos[own], lists[own]))
+    cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    return Postings(*cols[:4]), cols[4]
+
+
 def regroup(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Iterator[Texts]:
     """Batches of texts joined to at least `rows` texts."""
     held, n = [], 0
@@ -255,8 +285,12 @@ def blocks(texts: DataFrame, plan: Plan) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in regroup(batches, 4 * CHUNK):
-            p, _, bucket = plan.spread(tokens(t, plan.ranking), t.tid)
-            both = np.unique(bucket.astype(np.int64) * len(t) + p.text)
+            both = []
+            for lo in range(0, len(t), CHUNK):
+                few = t.take(np.arange(lo, min(len(t), lo + CHUNK)))
+                p, _, bucket = plan.spread(tokens(few, plan.ranking), few.tid)
+                both.append(np.unique(bucket.astype(np.int64) * len(t) + p.text + lo))
+            both = np.sort(np.concatenate(both))
             owner, text = np.divmod(both, len(t))
             for b in np.unique(owner):
                 blob = t.take(text[owner == b]).pack()
@@ -267,20 +301,21 @@ def blocks(texts: DataFrame, plan: Plan) -> DataFrame:
 
 def signature(t: Texts) -> np.ndarray:
     """Counts of letters in unary, up to 4 a letter in 104 of 128 bits: XOR counts a lower bound of their distance."""
-    owner = np.repeat(np.arange(len(t)), t.size)
-    count = np.bincount(owner * 26 + t.flat, minlength=len(t) * 26).reshape(-1, 26)
     out = np.zeros((2, len(t)), np.uint64)
-    for letter in range(26):
-        unary = (np.uint64(1) << np.minimum(count[:, letter], 4).astype(np.uint64)) - np.uint64(1)
-        out[letter // 13] |= unary << np.uint64(4 * (letter % 13))
+    for lo in range(0, len(t), CHUNK):
+        few = t.take(np.arange(lo, min(len(t), lo + CHUNK)))
+        owner = np.repeat(np.arange(len(few)), few.size)
+        count = np.bincount(owner * 26 + few.flat, minlength=len(few) * 26).reshape(-1, 26)
+        for letter in range(26):
+            unary = (np.uint64(1) << np.minimum(count[:, letter], 4).astype(np.uint64)) - np.uint64(1)
+            out[letter // 13, lo : lo + len(few)] |= unary << np.uint64(4 * (letter % 13))
     return out
 
 
 def candidates(t: Texts, plan: Plan, bucket: int, ratio: float, allowed: Callable[[Texts, np.ndarray, np.ndarray], np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of t that share a list of this bucket and pass the bounds, each once."""
-    p, lists, where = plan.spread(tokens(t, plan.ranking), t.tid)
-    own = np.flatnonzero(where == bucket)
-    sort = own[np.lexsort((t.size[p.text[own]], lists[own]))]
+    p, lists = listed_here(t, plan, bucket)
+    sort = np.lexsort((t.size[p.text], lists))
     name, text, pos = lists[sort], p.text[sort], p.pos[sort].astype(np.int32)
     size, sig = t.size[text].astype(np.int32), signature(t)
     tail = size - pos
@@ -361,12 +396,16 @@ def alike(t: Texts, a: np.ndarray, b: np.ndarray, ratio_num: int, ratio_den: int
     return 2 * ratio_den * lcs > ratio_num * (t.size[a] + t.size[b])
 
 
-def join_blocks(packed: DataFrame, plan: Plan, verify: Verify, ratio: tuple[int, int], allowed: Verify | None = None, pairs_at_once: int = 1 << 18) -> DataFrame:
+def join_blocks(packed: DataFrame, plan: Plan, verify: Verify, ratio: tuple[int, int], allowed: Verify | None = None, pairs_at_once: int = 1 << 16) -> DataFrame:
     """(a, b, ax, ay, bx, by) for each pair of different texts that meets, passes `verify` and is alike; a < b are tids."""
 
     def reduce(key: tuple[pa.Scalar, ...], blobs: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        t = Texts.concat([Texts.unpack(x.as_py()) for x in blobs.column("blob")])
+        parts = [Texts.unpack(x.as_py()) for x in blobs.column("blob")]
+        if "old" in blobs.column_names:  # texts of earlier deliveries are met, but ask for nothing
+            for part, old in zip(parts, blobs.column("old").to_pylist(), strict=True):
+                part.y = np.full(len(part), -(2**31), np.int32) if old else part.y
+        t = Texts.concat(parts)
         _, once = np.unique(t.tid, return_index=True)  # a delivery may be packed twice after a lost task
         t = t if len(once) == len(t) else t.take(once)
         a, b = candidates(t, plan, bucket, ratio[0] / ratio[1], allowed)
@@ -405,9 +444,13 @@ def at_home(plan: Plan, p: Postings, tid: np.ndarray, other: np.ndarray, bucket:
     return mix(mix(p.key) ^ (low * np.uint32(0x9E3779B1))) % np.uint32(plan.buckets) == bucket
 
 
+def bucket_count(texts: DataFrame) -> int:
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // TEXTS_A_BUCKET))
+
+
 def meet(texts: DataFrame, ranking: Ranking, verify: Verify, ratio: tuple[int, int], allowed: Verify | None = None, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """The whole join over a table of different texts (TEXT_SCHEMA); see the module."""
-    n = buckets or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or bucket_count(texts)
     plan = Plan(ranking, n, hot_tokens(texts, ranking, hot))
     return join_blocks(blocks(texts, plan), plan, verify, ratio, allowed)
 

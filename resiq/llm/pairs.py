@@ -15,6 +15,8 @@ from resiq.session import cut, table
 LEAST = 25
 #: Alike: indel ratio above 4/5.
 RATIO = (4, 5)
+#: A text's id is its first row's ord times this, plus the group.
+GROUPS = 256
 
 
 def eligible(df: DataFrame, column: str, least: int = LEAST) -> DataFrame:
@@ -22,6 +24,29 @@ def eligible(df: DataFrame, column: str, least: int = LEAST) -> DataFrame:
     return df.withColumn("res", residues(F.col(column))).where(F.length("res") >= least)
 
 
+def copies(df: DataFrame, column: str, grp: int = 0, least: int = LEAST, order: str = "ord", *more: str) -> DataFrame:
+    """(ord, res, grp, *more) of the rows that count."""
+    return eligible(df, column, least).select(F.col(order).alias("ord"), "res", F.lit(grp).alias("grp"), *more)
+
+
+def text_key() -> list:
+    """128 bits for a text: different texts share them with a chance below 1e-16 among 1e11 texts."""
+    return [F.xxhash64("grp", "res").alias("k1"), F.xxhash64("res", F.lit(7), "grp").alias("k2")]
+
+
+def texts_of(rows: DataFrame, *aggs) -> DataFrame:
+    """One row a different text of a group: (tid, res, grp, n, *aggs); a checkpoint, as it is read several times."""
+    own = rows.groupBy("grp", "res").agg(F.min("ord").alias("first"), F.count("*").alias("n"), *aggs)
+    return cut(own.withColumn("tid", F.col("first") * GROUPS + F.col("grp")).drop("first"))
+
+
+def rows_of(rows: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
+    """(tid, ord, *more) of the rows of texts that have several. The key is a hash of the text, so sequences aren't
+    shuffled again; a text that holds a third of all rows is a skewed inner join, which adaptive execution splits."""
+    many = texts.where("n > 1").select("tid", *text_key())
+    return rows.select("ord", *more, *text_key()).join(many, ["k1", "k2"]).select("tid", "ord", *more)
+
+
 def bottom_k(k: int = 32) -> Ranking:
     """Sketches: the k tokens of smallest hash."""
     return Ranking("hash", lambda n: np.full(len(n), k))
@@ -52,37 +77,22 @@ def similar_texts(texts: DataFrame, k: int = 32, estimate: float = 0.02, jaccard
 
     The thresholds on 5-grams are low because one edit breaks five of them: at a ratio of 0.8 and
     30 residues two of 26 5-grams may be left. The ratio decides last."""
-    return meet(texts, bottom_k(k), sketch_verify(k, estimate, jaccard), ratio, **how)
-
-
-def copies(df: DataFrame, column: str, grp: int = 0, least: int = LEAST, order: str = "ord") -> DataFrame:
-    """(ord, res, grp) of the rows that count."""
-    return eligible(df, column, least).select(F.col(order).alias("ord"), "res", F.lit(grp).alias("grp"))
+    plain = texts.select("tid", "res", "grp", F.lit(0).alias("x"), F.lit(0).alias("y"))
+    return meet(plain, bottom_k(k), sketch_verify(k, estimate, jaccard), ratio, **how).select("a", "b")
 
 
 def near_pairs(rows: DataFrame, **how) -> DataFrame:
     """(grp, ord_a, ord_b), ord_a < ord_b: pairs of rows of one group whose residues differ and are alike.
 
-    rows: (ord, res, grp), ord unique in its group. Copies of a text count as one text until the end.
-    Empty input gives no rows; rows without residues must have been left out (see `copies`)."""
-    # The id of a text is its first row's ord, with the group in the lowest digit; its rows are told by it.
-    members = cut(rows.groupBy("grp", "res").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list("ord")).alias("ords")).select((F.col("first") * 256 + F.col("grp")).alias("tid"), "res", "grp", "ords"))
-    pairs = similar_texts(members.select("tid", "res", "grp", F.lit(0).alias("x"), F.lit(0).alias("y")), **how).select("a", "b")
-    return expand(pairs, members)
-
-
-def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of texts to pairs of rows. A text of one row is known by its id; only texts of several rows are joined."""
-    many = members.where(F.size("ords") > 1).select("tid", "ords")
-    one = lambda c: F.array(F.shiftright(c, 8))
-    out = (
-        pairs.join(many.select(F.col("tid").alias("a"), F.col("ords").alias("of_a")), "a", "left")
-        .join(many.select(F.col("tid").alias("b"), F.col("ords").alias("of_b")), "b", "left")
-        .select((F.col("a") % 256).cast("int").alias("grp"), F.coalesce("of_a", one("a")).alias("of_a"), F.coalesce("of_b", one("b")).alias("of_b"))
-        .select("grp", F.explode("of_a").alias("i"), "of_b")
-        .select("grp", "i", F.explode("of_b").alias("j"))
-    )
-    return out.select("grp", F.least("i", "j").alias("ord_a"), F.greatest("i", "j").alias("ord_b"))
+    rows: (ord, res, grp), ord unique in its group, grp below 256. Copies of a text count as one text until
+    the end. Empty input gives no rows; rows without residues must have been left out (see `copies`)."""
+    texts = texts_of(rows)
+    members = rows_of(rows, texts)
+    out = similar_texts(texts, **how)
+    for side in "ab":
+        out = out.join(members.select(F.col("tid").alias(side), F.col("ord").alias(f"of_{side}")), side, "left")
+        out = out.withColumn(f"of_{side}", F.coalesce(f"of_{side}", F.shiftright(side, 8)))
+    return out.select((F.col("a") % GROUPS).cast("int").alias("grp"), F.least("of_a", "of_b").alias("ord_a"), F.greatest("of_a", "of_b").alias("ord_b"))
 
 
 TABLES = {0: ("scored_candidates", "seq"), 1: ("controllability_sequences", "sequence")}
@@ -105,11 +115,15 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     """One row a row of the two tables that is alike to some other text: its group (the smallest ord in it), its
     text's first row and the number of its alike texts."""
     rows = both_tables(spark, sf)
-    members = cut(rows.groupBy("grp", "res").agg(F.min("ord").alias("first"), F.collect_list("ord").alias("ords")).select((F.col("first") * 256 + F.col("grp")).alias("tid"), "res", "grp", "ords"))
-    links = cut(similar_texts(members.select("tid", "res", "grp", F.lit(0).alias("x"), F.lit(0).alias("y"))).select("a", "b"))
+    texts = texts_of(rows)
+    links = cut(similar_texts(texts))
     degree = links.select(F.col("a").alias("tid")).unionAll(links.select("b")).groupBy("tid").agg(F.count("*").alias("links"))
     group = connected_components(links, "a", "b").withColumnRenamed("node", "tid")
     return (
-        members.select("tid", "grp", "ords").join(group, "tid").join(degree, "tid")
-        .select(named().alias("table_name"), F.explode("ords").alias("ord"), F.shiftright("tid", 8).alias("text_ord"), F.shiftright("component", 8).alias("group_ord"), "links")
+        group.join(degree, "tid").join(rows_of(rows, texts), "tid", "left")
+        .select(named_of("tid"), F.coalesce("ord", F.shiftright("tid", 8)).alias("ord"), F.shiftright("tid", 8).alias("text_ord"), F.shiftright("component", 8).alias("group_ord"), "links")
     )
+
+
+def named_of(tid: str):
+    return F.when(F.col(tid) % GROUPS == 0, F.lit(TABLES[0][0])).otherwise(F.lit(TABLES[1][0])).alias("table_name")

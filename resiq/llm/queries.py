@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from resiq.llm import pairs
+from resiq.llm import batches, pairs, splits
 
 
 def queries() -> dict:
-    return {"p4_found": pairs.p4_found, "p4_groups": pairs.p4_groups}
+    return {
+        "p3_found": batches.p3_found,
+        "p3_batches": batches.p3_batches,
+        "p4_found": pairs.p4_found,
+        "p4_groups": pairs.p4_groups,
+        "p6_found": splits.p6_found,
+        "p6_report": splits.p6_report,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
