@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 BATCH = 1 << 15
 
@@ -83,7 +84,7 @@ def lcs_pairs(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
     return lcs_codes(flat, start, size, np.arange(n), np.arange(n, 2 * n), letters)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     ok = (a.notna() & b.notna()).to_numpy()
     out = pd.array([None] * len(a), dtype="Int32")
