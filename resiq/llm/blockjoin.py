@@ -83,6 +83,11 @@ class Ranking:
             raise ValueError("rarity order is for one group")
         return (self.class_of(code) << np.uint32(24)) | code.astype(np.uint32)
 
+    @staticmethod
+    def code(key: np.ndarray) -> np.ndarray:
+        """Codes of keys of the order 'rare'."""
+        return key & np.uint32(0xFFFFFF)
+
     def weights(self, code: np.ndarray) -> np.ndarray:
         """-ln of the token's expected frequency: its inverse document frequency under the letters' frequencies."""
         logs, left, total = -np.log(np.maximum(self.freq, 1e-6)), code.astype(np.int64), np.zeros(len(code))
@@ -177,7 +182,7 @@ def tokens(t: Texts, ranking: Ranking, whole: bool = False) -> Postings:
         ok = np.flatnonzero((place <= size[owner] - Q)[: len(code)])
         code, owner, place = code[ok], owner[ok], np.minimum(place[ok], WILD)
         code = code + t.grp[rows][owner].astype(np.uint32) * np.uint32(SPAN)
-        packed = np.argsort((owner.astype(np.uint64) << np.uint64(32)) | ranking.key(code), kind="stable")
+        packed = np.argsort((owner.astype(np.uint64) << np.uint64(32)) | ranking.key(code))
         code, owner, place = code[packed], owner[packed], place[packed]
         new = np.ones(len(code), bool)
         new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
@@ -363,15 +368,36 @@ class Shared:
 
     pair: np.ndarray
     key: np.ndarray
-    code: np.ndarray
     one: np.ndarray
     two: np.ndarray
 
 
+NONE = np.uint32(0xFFFFFFFF)
+
+
+def key_table(p: Postings, count: np.ndarray, width: int) -> np.ndarray:
+    """The first `width` keys of each text as a row, filled up with NONE, which is no token's key."""
+    rank = np.arange(len(p.text)) - np.repeat(np.cumsum(count) - count, count)
+    table = np.full((len(count), width), NONE)
+    some = rank < width
+    table[p.text[some], rank[some]] = p.key[some]
+    return table
+
+
+def equal_keys(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of both sides of each pair, and where one equals the one before."""
+    both = np.concatenate([table[a], table[b]], axis=1)
+    both.sort(axis=1)
+    return both[:, 1:], (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
+
+
 def shared(t: Texts, a: np.ndarray, b: np.ndarray, ranking: Ranking, whole: bool) -> Shared:
     """Shared tokens (listed ones unless `whole`), in the order (pair, key)."""
     p = tokens(t, ranking, whole)
     count = np.bincount(p.text, minlength=len(t))
+    if count.max(initial=0) <= 64:
+        keys, same = equal_keys(key_table(p, count, int(count.max(initial=1))), a, b)
+        return Shared(np.nonzero(same)[0], keys[same], count[a], count[b])
     start = np.cumsum(count) - count
 
     def of(side: np.ndarray) -> np.ndarray:
@@ -381,10 +407,35 @@ def shared(t: Texts, a: np.ndarray, b: np.ndarray, ranking: Ranking, whole: bool
 
     both = np.sort(np.concatenate([of(a), of(b)]))
     hit = both[1:][both[1:] == both[:-1]]
-    key = (hit & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    known, at = np.unique(p.key, return_index=True)
-    code = p.code[at[np.searchsorted(known, key)]] if len(key) else p.code[:0]
-    return Shared((hit >> np.uint64(32)).astype(np.int64), key, code, count[a], count[b])
+    return Shared((hit >> np.uint64(32)).astype(np.int64), (hit & np.uint64(0xFFFFFFFF)).astype(np.uint32), count[a], count[b])
+
+
+#: Widths of the tables of listed keys in which `first_shared` looks, in turn.
+WIDTHS = (8, 32)
+
+
+def first_shared(t: Texts, a: np.ndarray, b: np.ndarray, ranking: Ranking) -> np.ndarray:
+    """The smallest listed key that both texts of each pair have; each pair must have one.
+
+    A key that is smallest in both sides' first few keys is smallest in all, so a narrow table settles most
+    pairs; the rest take a wider one, and texts with longer lists the general way. (No token has key NONE.)"""
+    p = tokens(t, ranking)
+    count = np.bincount(p.text, minlength=len(t))
+    out, left = np.full(len(a), NONE), np.arange(len(a))
+    for width in WIDTHS:
+        table = key_table(p, count, width)
+        for at in range(0, len(left), 1 << 16):
+            rows = left[at : at + (1 << 16)]
+            keys, same = equal_keys(table, a[rows], b[rows])
+            hit = same.argmax(axis=1)
+            ok = np.flatnonzero(same[np.arange(len(rows)), hit])
+            out[rows[ok]] = keys[ok, hit[ok]]
+        left = left[out[left] == NONE]
+    if len(left):
+        s = shared(t, a[left], b[left], ranking, whole=False)
+        pair, first = np.unique(s.pair, return_index=True)
+        out[left[pair]] = s.key[first]
+    return out
 
 
 Verify = Callable[[Texts, np.ndarray, np.ndarray], np.ndarray]
@@ -409,17 +460,16 @@ def join_blocks(packed: DataFrame, plan: Plan, verify: Verify, ratio: tuple[int,
         _, once = np.unique(t.tid, return_index=True)  # a delivery may be packed twice after a lost task
         t = t if len(once) == len(t) else t.take(once)
         a, b = candidates(t, plan, bucket, ratio[0] / ratio[1], allowed)
+        if len(a):
+            rows, slot = np.unique(np.concatenate([a, b]), return_inverse=True)
+            t, a, b = t.take(rows), slot[: len(a)], slot[len(a) :]
+            mine = at_home(plan, first_shared(t, a, b, plan.ranking), t.tid[a], t.tid[b], bucket)
+            a, b = a[mine], b[mine]
         out = []
         for at in range(0, len(a), pairs_at_once):
             u, v = a[at : at + pairs_at_once], b[at : at + pairs_at_once]
             rows, slot = np.unique(np.concatenate([u, v]), return_inverse=True)
             few, u, v = t.take(rows), slot[: len(u)], slot[len(u) :]
-            s = shared(few, u, v, plan.ranking, whole=False)
-            first = np.ones(len(s.pair), bool)
-            first[1:] = s.pair[1:] != s.pair[:-1]
-            home = Postings(u[s.pair[first]], s.code[first], s.key[first], np.zeros(first.sum(), np.int64))
-            mine = s.pair[first][at_home(plan, home, few.tid, v[s.pair[first]], bucket)]
-            u, v = u[mine], v[mine]
             ok = verify(few, u, v)
             u, v = u[ok], v[ok]
             ok = alike(few, u, v, *ratio)
@@ -434,14 +484,14 @@ def join_blocks(packed: DataFrame, plan: Plan, verify: Verify, ratio: tuple[int,
     return packed.groupBy("bucket").applyInArrow(reduce, "a long, b long, ax int, ay int, bx int, by int")
 
 
-def at_home(plan: Plan, p: Postings, tid: np.ndarray, other: np.ndarray, bucket: int) -> np.ndarray:
-    """Whether this bucket is that of the pair's first shared token, with the chunks of both where it is salted."""
-    low = np.zeros(len(p.key), np.uint32)
+def at_home(plan: Plan, key: np.ndarray, one: np.ndarray, two: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether this bucket is that of the pair's first shared token, with the chunks of both ids where it is salted."""
+    low = np.zeros(len(key), np.uint32)
     for k, n in plan.hot.items():
-        rows = np.flatnonzero(p.key == np.uint32(k))
-        c, d = chunk_of(tid[p.text[rows]], n), chunk_of(tid[other[rows]], n)
+        rows = np.flatnonzero(key == np.uint32(k))
+        c, d = chunk_of(one[rows], n), chunk_of(two[rows], n)
         low[rows] = (np.minimum(c, d) * n + np.maximum(c, d) + 1).astype(np.uint32)
-    return mix(mix(p.key) ^ (low * np.uint32(0x9E3779B1))) % np.uint32(plan.buckets) == bucket
+    return mix(mix(key) ^ (low * np.uint32(0x9E3779B1))) % np.uint32(plan.buckets) == bucket
 
 
 def bucket_count(texts: DataFrame) -> int:

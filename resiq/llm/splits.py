@@ -44,7 +44,7 @@ def cosine_verify(ranking: Ranking, threshold: float):
 
     def verify(t: Texts, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         s, norm = shared(t, a, b, ranking, whole=True), norms(t, ranking)
-        dot = np.bincount(s.pair, weights=ranking.weights(s.code) ** 2, minlength=len(a))
+        dot = np.bincount(s.pair, weights=ranking.weights(ranking.code(s.key)) ** 2, minlength=len(a))
         return dot >= threshold * norm[a] * norm[b]
 
     return verify
