@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-FLAGSHIP = None
+from resiq.operators import segment
+
+FLAGSHIP = segment.p2_found
 
 
 def queries() -> dict:
-    return {}
+    return {"p2_found": segment.p2_found, "p2_counts": segment.p2_counts}
 
 
 def oracle_sql() -> dict[str, str]:
