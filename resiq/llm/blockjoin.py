@@ -39,7 +39,7 @@ WILD = 0xFFFF
 #: A token with more postings than this is salted into chunks of this many texts.
 HOT = 8192
 #: Texts for each bucket, which bounds a reduce task's memory: a bucket gets the postings of so many texts.
-TEXTS_A_BUCKET = 50_000
+TEXTS_A_BUCKET = 60_000
 
 TEXT_SCHEMA = "tid long, res string, grp int, x int, y int"
 
@@ -275,10 +275,13 @@ def hot_tokens(texts: DataFrame, ranking: Ranking, hot: int = HOT) -> dict[int,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [tokens(t, ranking).key for t in regroup(batches)]
-        n = 0
         if held:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= max(64, n.sum() // (4096 * 16))
+            key = np.concatenate(held)
+            least = max(64, len(key) // (4096 * 16))
+            slot = mix(key) >> np.uint32(12)  # a slot's count is that of its keys together: few slots are left
+            key = key[np.bincount(slot, minlength=1 << 20)[slot] >= least]
+            key, n = np.unique(key, return_counts=True)
+            keep = n >= least
             yield pa.RecordBatch.from_arrays([pa.array(key[keep].astype(np.int64)), pa.array(n[keep].astype(np.int64))], ["key", "n"])
 
     rows = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot).collect()
@@ -294,11 +297,16 @@ def blocks(texts: DataFrame, plan: Plan) -> DataFrame:
             for lo in range(0, len(t), CHUNK):
                 few = t.take(np.arange(lo, min(len(t), lo + CHUNK)))
                 p, _, bucket = plan.spread(tokens(few, plan.ranking), few.tid)
-                both.append(np.unique(bucket.astype(np.int64) * len(t) + p.text + lo))
-            both = np.sort(np.concatenate(both))
-            owner, text = np.divmod(both, len(t))
+                if plan.buckets <= 1024:
+                    seen = np.zeros((plan.buckets, len(few)), bool)
+                    seen[bucket, p.text] = True
+                    where, text = np.nonzero(seen)
+                else:
+                    where, text = np.divmod(np.unique(bucket.astype(np.int64) * len(few) + p.text), len(few))
+                both.append(where * len(t) + text + lo)
+            owner, text = np.divmod(np.sort(np.concatenate(both)), len(t))
             for b in np.unique(owner):
-                blob = t.take(text[owner == b]).pack()
+                blob = t.take(text[np.searchsorted(owner, b) : np.searchsorted(owner, b, "right")]).pack()
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
     return texts.select("tid", "res", "grp", "x", "y").mapInArrow(pack, "bucket int, blob binary")
@@ -394,7 +402,10 @@ def equal_keys(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
 def shared(t: Texts, a: np.ndarray, b: np.ndarray, ranking: Ranking, whole: bool) -> Shared:
     """Shared tokens (listed ones unless `whole`), in the order (pair, key)."""
     p = tokens(t, ranking, whole)
-    count = np.bincount(p.text, minlength=len(t))
+    return shared_of(p, np.bincount(p.text, minlength=len(t)), a, b)
+
+
+def shared_of(p: Postings, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> Shared:
     if count.max(initial=0) <= 64:
         keys, same = equal_keys(key_table(p, count, int(count.max(initial=1))), a, b)
         return Shared(np.nonzero(same)[0], keys[same], count[a], count[b])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resiq.functions.text import residues
-from resiq.llm.blockjoin import Ranking, Texts, meet, shared
+from resiq.llm.blockjoin import Ranking, Texts, equal_keys, key_table, meet, shared_of, tokens
 from resiq.operators.graph import connected_components
 from resiq.session import cut, table
 
@@ -59,11 +59,13 @@ def sketch_verify(k: int, estimate: float, jaccard: float):
     ranking = bottom_k(k)
 
     def verify(t: Texts, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        s = shared(t, a, b, ranking, whole=False)
-        hits = np.bincount(s.pair, minlength=len(a))
-        union = np.minimum(k, s.one + s.two - hits)
+        p = tokens(t, ranking, whole=True)
+        count = np.bincount(p.text, minlength=len(t))
+        sketch, size = key_table(p, count, k), np.minimum(count, k)  # the first keys of all are the sketch
+        hits = equal_keys(sketch, a, b)[1].sum(axis=1)
+        union = np.minimum(k, size[a] + size[b] - hits)
         ok = np.flatnonzero(hits >= estimate * union)
-        e = shared(t, a[ok], b[ok], ranking, whole=True)
+        e = shared_of(p, count, a[ok], b[ok])
         both = np.bincount(e.pair, minlength=len(ok))
         out = np.zeros(len(a), bool)
         out[ok] = both >= jaccard * (e.one + e.two - both)

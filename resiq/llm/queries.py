@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from resiq.llm import batches, pairs, splits
+from resiq.llm import batches, density, mixing, packing, pairs, splits, subset
 
 
 def queries() -> dict:
     return {
+        "p1_found": density.p1_found,
+        "p1_clusters": density.p1_clusters,
         "p3_found": batches.p3_found,
         "p3_batches": batches.p3_batches,
         "p4_found": pairs.p4_found,
         "p4_groups": pairs.p4_groups,
+        "p5_subset": subset.p5_subset,
+        "p5_report": subset.p5_report,
         "p6_found": splits.p6_found,
         "p6_report": splits.p6_report,
+        "p7_containers": packing.p7_containers,
+        "p7_fill": packing.p7_fill,
+        "p8_mix": mixing.p8_mix,
+        "p8_shares": mixing.p8_shares,
     }
 
 
