@@ -159,7 +159,6 @@ class Postings:
     """Listed tokens in the order (text, key)."""
 
     text: np.ndarray
-    code: np.ndarray
     key: np.ndarray
     pos: np.ndarray
 
@@ -177,32 +176,35 @@ def tokens(t: Texts, ranking: Ranking, whole: bool = False) -> Postings:
         code = np.zeros(len(flat) - Q + 1, np.uint32)
         for k in range(Q):
             code = code * np.uint32(26) + flat[k : len(flat) - Q + 1 + k]
-        owner = np.repeat(np.arange(n), size)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        owner = np.repeat(np.arange(n, dtype=np.int32), size)
+        place = np.arange(len(flat), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
         ok = np.flatnonzero((place <= size[owner] - Q)[: len(code)])
-        code, owner, place = code[ok], owner[ok], np.minimum(place[ok], WILD)
-        code = code + t.grp[rows][owner].astype(np.uint32) * np.uint32(SPAN)
-        packed = np.argsort((owner.astype(np.uint64) << np.uint64(32)) | ranking.key(code))
-        code, owner, place = code[packed], owner[packed], place[packed]
-        new = np.ones(len(code), bool)
-        new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
-        again = np.flatnonzero(~new)
+        owner = owner[ok].astype(np.uint64)
+        code = code[ok] + t.grp[rows].astype(np.uint32)[owner.astype(np.int64)] * np.uint32(SPAN)
+        # owner, key and place in one number: one sort of integers orders them all
+        packed = (owner << np.uint64(48)) | (ranking.key(code).astype(np.uint64) << np.uint64(16)) | np.minimum(place[ok], WILD).astype(np.uint64)
+        packed.sort()
+        named = packed >> np.uint64(16)
+        new = np.ones(len(named), bool)
+        np.not_equal(named[1:], named[:-1], out=new[1:])
         head = np.flatnonzero(new)
-        place[head[np.searchsorted(head, again, "right") - 1]] = WILD
-        code, owner, place = code[head], owner[head], place[head]
-        count = np.bincount(owner, minlength=n)
-        rank = np.arange(len(code)) - np.repeat(np.cumsum(count) - count, count)
+        many = np.diff(head, append=len(named)) > 1
+        packed = packed[head]
+        owner = (packed >> np.uint64(48)).astype(np.int64)
+        key = ((packed >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        place = (packed & np.uint64(WILD)).astype(np.int32)
+        place[many] = WILD
         if not whole:
+            count = np.bincount(owner, minlength=n)
+            rank = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
             keep = rank < ranking.listed(count)[owner]
             if ranking.cosine:
-                keep &= ranking.needed(owner, code, count)
-            code, owner, place = code[keep], owner[keep], place[keep]
-        parts.append((owner + lo, code, place))
+                keep &= ranking.needed(owner, ranking.code(key), count)
+            owner, key, place = owner[keep], key[keep], place[keep]
+        parts.append((owner + lo, key, place))
     if not parts:
-        z = np.zeros(0, np.int64)
-        return Postings(z, z.astype(np.uint32), z.astype(np.uint32), z)
-    text, code, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-    return Postings(text, code, ranking.key(code), pos)
+        return Postings(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int32))
+    return Postings(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
 
 @dataclass(frozen=True)
@@ -228,7 +230,7 @@ class Plan:
                     rows.append(own)
                     names.append(lists[own] | (np.minimum(chunk, other) * n + np.maximum(chunk, other) + 1).astype(np.uint64))
             rows, lists = np.concatenate(rows), np.concatenate(names)
-            p = Postings(p.text[rows], p.code[rows], p.key[rows], p.pos[rows])
+            p = Postings(p.text[rows], p.key[rows], p.pos[rows])
         # A salted list goes by its chunks as well
         low = (lists & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         bucket = mix(mix(p.key) ^ (low * np.uint32(0x9E3779B1))) % np.uint32(self.buckets)
@@ -247,9 +249,9 @@ def listed_here(t: Texts, plan: Plan, bucket: int) -> tuple[Postings, np.ndarray
         few = t.take(rows)
         p, lists, where = plan.spread(tokens(few, plan.ranking), few.tid)
         own = np.flatnonzero(where == bucket)
-        parts.append((p.text[own] + lo, p.code[own], p.key[own], p.pos[own], lists[own]))
+        parts.append((p.text[own] + lo, p.key[own], p.pos[own], lists[own]))
     cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    return Postings(*cols[:4]), cols[4]
+    return Postings(*cols[:3]), cols[3]
 
 
 def regroup(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Iterator[Texts]:
@@ -359,10 +361,19 @@ def candidates(t: Texts, plan: Plan, bucket: int, ratio: float, allowed: Callabl
         lag += 1
         i = i[i + lag < len(name)]
         i = i[name[i] == name[i + lag]]
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    pairs = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    pairs = pairs[np.diff(pairs, prepend=-1) > 0]  # far quicker than np.unique
     return np.divmod(pairs, max(1, len(t)))
 
 
+def only(t: Texts, a: np.ndarray, b: np.ndarray) -> tuple[Texts, np.ndarray, np.ndarray]:
+    """The texts that pairs have, and the pairs as rows of these."""
+    used = np.zeros(len(t), bool)
+    used[a] = used[b] = True
+    rows, slot = np.flatnonzero(used), np.cumsum(used) - 1
+    return t.take(rows), slot[a], slot[b]
+
+
 def same_chunk(name: np.ndarray, chunk: np.ndarray, hot: dict[int, int]) -> np.ndarray:
     """Whether the list of a salted token is that of one chunk with itself."""
     n = np.array([hot.get(int(k), 1) for k in (name >> np.uint64(32))], np.int64)
@@ -472,15 +483,13 @@ def join_blocks(packed: DataFrame, plan: Plan, verify: Verify, ratio: tuple[int,
         t = t if len(once) == len(t) else t.take(once)
         a, b = candidates(t, plan, bucket, ratio[0] / ratio[1], allowed)
         if len(a):
-            rows, slot = np.unique(np.concatenate([a, b]), return_inverse=True)
-            t, a, b = t.take(rows), slot[: len(a)], slot[len(a) :]
+            t, a, b = only(t, a, b)
             mine = at_home(plan, first_shared(t, a, b, plan.ranking), t.tid[a], t.tid[b], bucket)
             a, b = a[mine], b[mine]
         out = []
         for at in range(0, len(a), pairs_at_once):
             u, v = a[at : at + pairs_at_once], b[at : at + pairs_at_once]
-            rows, slot = np.unique(np.concatenate([u, v]), return_inverse=True)
-            few, u, v = t.take(rows), slot[: len(u)], slot[len(u) :]
+            few, u, v = only(t, u, v)
             ok = verify(few, u, v)
             u, v = u[ok], v[ok]
             ok = alike(few, u, v, *ratio)

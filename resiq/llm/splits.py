@@ -21,7 +21,7 @@ COSINE = 0.06
 
 def norms(t: Texts, ranking: Ranking) -> np.ndarray:
     p = tokens(t, ranking, whole=True)
-    return np.sqrt(np.bincount(p.text, weights=ranking.weights(p.code) ** 2, minlength=len(t)))
+    return np.sqrt(np.bincount(p.text, weights=ranking.weights(ranking.code(p.key)) ** 2, minlength=len(t)))
 
 
 def term_weights(texts: DataFrame, threshold: float = COSINE) -> Ranking:
