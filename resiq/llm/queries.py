@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from resiq.llm import batches, density, mixing, packing, pairs, splits, subset
+from resiq.llm import batches, density, langid, mixing, packing, pairs, splits, subset
 
 
 def queries() -> dict:
@@ -21,6 +21,9 @@ def queries() -> dict:
         "p7_fill": packing.p7_fill,
         "p8_mix": mixing.p8_mix,
         "p8_shares": mixing.p8_shares,
+        "p9_found": langid.p9_found,
+        "p9_segments": langid.p9_segments,
+        "p9_labels": langid.p9_labels,
     }
 
 
