@@ -472,12 +472,19 @@ def alike(t: Texts, a: np.ndarray, b: np.ndarray, ratio_num: int, ratio_den: int
 def join_blocks(packed: DataFrame, plan: Plan, verify: Verify, ratio: tuple[int, int], allowed: Verify | None = None, pairs_at_once: int = 1 << 16) -> DataFrame:
     """(a, b, ax, ay, bx, by) for each pair of different texts that meets, passes `verify` and is alike; a < b are tids."""
 
-    def reduce(key: tuple[pa.Scalar, ...], blobs: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        parts = [Texts.unpack(x.as_py()) for x in blobs.column("blob")]
-        if "old" in blobs.column_names:  # texts of earlier deliveries are met, but ask for nothing
-            for part, old in zip(parts, blobs.column("old").to_pylist(), strict=True):
-                part.y = np.full(len(part), -(2**31), np.int32) if old else part.y
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[Texts]] = {}
+        for blobs in batches:
+            old = blobs.column("old").to_pylist() if "old" in blobs.schema.names else [False] * blobs.num_rows
+            for bucket, blob, known in zip(blobs.column("bucket").to_pylist(), blobs.column("blob"), old, strict=True):
+                part = Texts.unpack(blob.as_buffer())
+                if known:  # texts of earlier deliveries are met, but ask for nothing
+                    part.y = np.full(len(part), -(2**31), np.int32)
+                held.setdefault(bucket, []).append(part)
+        for bucket in sorted(held):
+            yield bucket_pairs(bucket, held.pop(bucket))
+
+    def bucket_pairs(bucket: int, parts: list[Texts]) -> pa.RecordBatch:
         t = Texts.concat(parts)
         _, once = np.unique(t.tid, return_index=True)  # a delivery may be packed twice after a lost task
         t = t if len(once) == len(t) else t.take(once)
@@ -499,9 +506,10 @@ def join_blocks(packed: DataFrame, plan: Plan, verify: Verify, ratio: tuple[int,
             out.append([few.tid[u], few.tid[v], few.x[u], few.y[u], few.x[v], few.y[v]])
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 6
         kinds = [pa.int64()] * 2 + [pa.int32()] * 4
-        return pa.table([pa.array(c.astype(np.int64)).cast(k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "ax", "ay", "bx", "by"])
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "ax", "ay", "bx", "by"])
 
-    return packed.groupBy("bucket").applyInArrow(reduce, "a long, b long, ax int, ay int, bx int, by int")
+    # A task a bucket, by its number: hashing the few numbers would put several into one task
+    return packed.repartitionById(plan.buckets, F.col("bucket")).mapInArrow(reduce, "a long, b long, ax int, ay int, bx int, by int")
 
 
 def at_home(plan: Plan, key: np.ndarray, one: np.ndarray, two: np.ndarray, bucket: int) -> np.ndarray:
