@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from resiq.operators import segment
+from resiq.plans import q_screen
+from resiq.plans.registry import ORACLE, QUERIES
 
+MODULES = (q_screen,)
 FLAGSHIP = segment.p2_found
 
 
-def queries() -> dict:
-    return {"p2_found": segment.p2_found, "p2_counts": segment.p2_counts}
+def queries() -> dict[str, Callable]:
+    return QUERIES | {"p2_found": segment.p2_found, "p2_counts": segment.p2_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
