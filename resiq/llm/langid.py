@@ -66,18 +66,15 @@ def label_code(label: Column) -> Column:
     return out
 
 
-SENTENCE = re.compile(r"[^\n.!?。！？]*(?:[.!?](?![\s\n]|$)[^\n.!?。！？]*)*(?:[.!?。！？]+|\n|$)")
+#: Sentences end at a line's end, after a stop with white space behind it, and after a wide stop.
+ENDS = re.compile(r"(?:(?<=[.!?])\s|\n|(?<=[。！？]))\s*")
 #: Han and kana letters come two at a time, other letters as whole words.
 WORD = re.compile(r"[⺀-鿿]{1,2}|[^\W\d_⺀-鿿]+")
-BARE = re.compile(r"^[>\s]*[A-Z*.\-\s]*$")
 
 
 def sentences(text: str) -> list[str]:
     """The text in sentences and lines, in order; blank ones are left out."""
-    out = []
-    for line in text.split("\n"):
-        out += [s for s in (m.group().strip() for m in SENTENCE.finditer(line)) if s]
-    return out
+    return [s for s in ENDS.split(text.strip()) if s and not s.isspace()]
 
 
 def bare(s: str) -> bool:
@@ -257,27 +254,31 @@ def distributions(counts: dict[tuple[str, str], float], capitals: dict[str, floa
 class Reader:
     """Scores sentences with a trained network; words are computed once."""
 
-    def __init__(self, net: Tagger, most: int = 2_000_000) -> None:
-        self.net, self.known, self.most = net, {}, most
+    def __init__(self, net: Tagger, most: int = 1_000_000) -> None:
+        self.net, self.most = net, most
+        self.place: dict[str, int] = {}
+        self.table = np.zeros((0, NONE), np.float32)
 
-    def learn(self, texts: list[list[str]]) -> None:
-        new = list({w for s in texts for w in s if w not in self.known})
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list({w for s in texts for w in s})
+    def learn(self, flat: list[str]) -> None:
+        new = list(set(flat).difference(self.place))
+        if len(self.place) + len(new) > self.most:
+            self.place, self.table = {}, self.table[:0]
+            new = list(set(flat))
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
-            self.known.update(zip(part, self.net.pooled(part).astype(np.float32), strict=True))
+            self.place.update(zip(part, range(len(self.table), len(self.table) + len(part)), strict=True))
+            self.table = np.concatenate([self.table, self.net.pooled(part).astype(np.float32)])
 
     def scores(self, texts: list[list[str]]) -> np.ndarray:
         """(sentences x languages); sentences without words score 0."""
-        self.learn(texts)
-        flat = [self.known[w] for s in texts for w in s]
+        flat = [w for s in texts for w in s]
+        self.learn(flat)
         out = np.zeros((len(texts), NONE))
-        n = np.array([len(s) for s in texts])
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
         if flat:
             full = np.flatnonzero(n)
-            out[full] = np.add.reduceat(np.array(flat, np.float64), (np.cumsum(n) - n)[full])
+            at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+            out[full] = np.add.reduceat(self.table[at].astype(np.float64), (np.cumsum(n) - n)[full])
         return out
 
 
@@ -301,17 +302,24 @@ def segments(scores: np.ndarray, told: np.ndarray, change: float = CHANGE) -> li
     if not told.any():
         return []
     rows = np.flatnonzero(told)
-    lang = path(scores[rows], change)
+    lang = scores[rows].argmax(axis=1)
+    if (lang != lang[0]).any():  # else the path without a change is the best one
+        lang = path(scores[rows], change)
     edges = np.flatnonzero(np.diff(lang, prepend=-1))
     out = []
     for k, e in enumerate(edges):
         end = edges[k + 1] if k + 1 < len(edges) else len(rows)
-        s = scores[rows[e:end]].sum(axis=0) * TEMPER
-        p = np.exp(s - s.max())
-        out.append((int(rows[e]), int(rows[end - 1]) + 1, int(lang[e]), float(p[lang[e]] / p.sum())))
+        out.append((int(rows[e]), int(rows[end - 1]) + 1, int(lang[e]), float(shares(scores[rows[e:end]].sum(axis=0))[lang[e]])))
     return out
 
 
+def shares(scores: np.ndarray) -> np.ndarray:
+    """Tempered shares of the languages."""
+    s = scores * TEMPER
+    p = np.exp(s - s.max())
+    return p / p.sum()
+
+
 def word_counts(sample: DataFrame) -> pd.DataFrame:
     """(kind, code, word, n) of the sample's words, the commonest: at most a fixed number comes to the driver."""
 
@@ -379,22 +387,27 @@ def tag(docs: DataFrame, net: Tagger) -> DataFrame:
         for b in batches:
             held, sizes = [], []
             for text in b.text:
-                own = [[] if bare(s) else words(s) for s in sentences(text or "")]
+                own = [[] if bare(s) else words(s) for s in sentences(text)] if text else []
                 held += own
                 sizes.append(len(own))
             score = reader.scores(held)
-            told = np.array([bool(h) for h in held], bool)
+            told = np.fromiter(map(bool, held), bool, len(held))
+            top = np.where(told, score.argmax(axis=1), -1) if len(held) else np.zeros(0, np.int64)
             out, at = [], 0
             for doc, label, n in zip(b.doc_id, b.label, sizes, strict=True):
-                own = segments(score[at : at + n], told[at : at + n]) if n else []
-                if own:
-                    s = score[at : at + n].sum(axis=0) * TEMPER
-                    p = np.exp(s - s.max())
-                    p /= p.sum()
-                    best = int(p.argmax())
-                    out += [(doc, k + 1, i + 1, j, CODES[lang], c, label, CODES[best], float(p[best]), len(own)) for k, (i, j, lang, c) in enumerate(own)]
-                else:
+                rows = np.flatnonzero(told[at : at + n])
+                if not len(rows):
                     out.append((doc, 1, 1, max(1, n), None, 0.0, label, None, 0.0, 1))
+                    at += n
+                    continue
+                p = shares(score[at : at + n].sum(axis=0))
+                best = int(p.argmax())
+                tops = top[at + rows]
+                if (tops == tops[0]).all():  # one language throughout
+                    out.append((doc, 1, int(rows[0]) + 1, int(rows[-1]) + 1, CODES[best], float(p[best]), label, CODES[best], float(p[best]), 1))
+                else:
+                    own = segments(score[at : at + n], told[at : at + n])
+                    out += [(doc, k + 1, i + 1, j, CODES[lang], c, label, CODES[best], float(p[best]), len(own)) for k, (i, j, lang, c) in enumerate(own)]
                 at += n
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
