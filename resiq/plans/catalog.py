@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from resiq.operators import segment
-from resiq.plans import q_screen
+from resiq.plans import pipelines, q_more, q_relational, q_screen, q_sequence
 from resiq.plans.registry import ORACLE, QUERIES
+from resiq.streaming import accept
 
-MODULES = (q_screen,)
-FLAGSHIP = segment.p2_found
+#: Their import fills the registry.
+MODULES = (q_screen, q_relational, q_sequence, q_more, pipelines, accept)
+FLAGSHIP = pipelines.pipeline_library
 
 
 def queries() -> dict[str, Callable]:
