@@ -27,5 +27,15 @@ def queries() -> dict:
     }
 
 
+#: Chains of neighbours from each condition point, in whole millionths.
+P1 = """WITH RECURSIVE p AS (SELECT ord, round(charge_ph7_4 * 1000000)::BIGINT AS x, round(hydrophobicity_interfacescale_ph8 * 1000000)::BIGINT AS y FROM controllability_sequences
+  WHERE charge_ph7_4 IS NOT NULL AND NOT isnan(charge_ph7_4) AND hydrophobicity_interfacescale_ph8 IS NOT NULL AND NOT isnan(hydrophobicity_interfacescale_ph8)),
+ c AS (SELECT cluster, round(charge_ph7_4 * 1000000)::BIGINT AS x, round(hydrophobicity_interfacescale_ph8 * 1000000)::BIGINT AS y FROM selected_generation_conditions
+  WHERE charge_ph7_4 IS NOT NULL AND NOT isnan(charge_ph7_4) AND hydrophobicity_interfacescale_ph8 IS NOT NULL AND NOT isnan(hydrophobicity_interfacescale_ph8)),
+ u AS (SELECT DISTINCT x, y FROM (SELECT x, y FROM p UNION ALL SELECT x, y FROM c)),
+ r AS (SELECT cluster, x, y FROM c UNION SELECT r.cluster, u.x, u.y FROM r JOIN u ON abs(u.x - r.x) <= 1500000 AND abs(u.y - r.y) <= 100000)
+ SELECT p.ord, r.cluster FROM p JOIN r ON p.x = r.x AND p.y = r.y"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1}
