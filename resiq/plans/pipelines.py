@@ -45,7 +45,7 @@ def pipeline_cohorts(spark: SparkSession, sf: str) -> DataFrame:
 
     def compared(a: DataFrame, b: DataFrame, suffix: str) -> DataFrame:
         both = a.withColumn("class", F.lit("a")).unionByName(b.withColumn("class", F.lit("b"))).select("class", "seq")
-        own = both.select("class", *(v.alias(k) for k, v in D.named(F.col("seq"), names).items()))
+        own = D.describe(both, "seq", names)
         out = stats.compare(stats.long_form(own, list(names), "class"), "class", "a", "b")
         return out.select("descriptor", F.col("n_one").alias(f"n_one_{suffix}"), F.round("cliffs_delta", 4).alias(f"cliffs_delta_{suffix}"), F.round("ks", 4).alias(f"ks_{suffix}"))
 

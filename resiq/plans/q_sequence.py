@@ -166,8 +166,8 @@ def i15_terminal(spark, sf):
 @query("i16_summary")
 def i16(spark, sf):
     """The 33 summary descriptors in one pass."""
-    s = F.col("s")
-    return sequences(spark, sf).select("ord", *(F.round(v, 6).alias(k) for k, v in D.summary(s).items()))
+    own = D.describe(sequences(spark, sf), "s")
+    return own.select("ord", *(F.round(c, 6).alias(c) for c in own.columns if c not in ("ord", "s")))
 
 
 @query("i17_unique_then_expand", f"SELECT ord, round({sql_charge(7.4, S.SAFETY).replace('(s,', '(s,')}, 6) AS charge FROM (SELECT ord, {residues('seq')} AS s FROM scored_candidates WHERE length({residues('seq')}) > 0)")
