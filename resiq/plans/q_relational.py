@@ -375,13 +375,13 @@ def f1(spark, sf):
     return combined(spark, sf).orderBy(F.desc(F.round("combined_score", 9)), F.col("s").asc_nulls_last(), "ord").limit(500).select("ord", "id", "s")
 
 
-@query("f2_library_cut", f"WITH {RANKS}, l AS (SELECT *, row_number() OVER (ORDER BY round(c, 9) DESC, s, ord) AS r FROM f) SELECT r AS rank, ord, r <= 100 AS shortlist FROM l WHERE r <= 1000")
+@query("f2_library_cut", f"WITH {RANKS}, l AS (SELECT *, row_number() OVER (ORDER BY round(c, 9) DESC, s, ord) AS r FROM f) SELECT r AS rank, ord, r <= 50 AS shortlist FROM l WHERE r <= 300")
 def f2(spark, sf):
-    """The library of 1,000 and in it the shortlist of 100; fails where the library falls short."""
-    top = ranks.positions(combined(spark, sf), [F.desc(F.round("combined_score", 9)), F.col("s").asc_nulls_last(), F.col("ord")], most=1000)
+    """The library of 300 and in it the shortlist of 50; fails where the library falls short."""
+    top = ranks.positions(combined(spark, sf), [F.desc(F.round("combined_score", 9)), F.col("s").asc_nulls_last(), F.col("ord")], most=300)
     n = top.agg(F.count("*").alias("n"))
-    enough = screen.require(n, F.col("n") >= 1000, "fewer rows than the library's size")
-    return top.join(F.broadcast(enough)).select("rank", "ord", (F.col("rank") <= 100).alias("shortlist"))
+    enough = screen.require(n, F.col("n") >= 300, "fewer rows than the library's size")
+    return top.join(F.broadcast(enough)).select("rank", "ord", (F.col("rank") <= 50).alias("shortlist"))
 
 
 @query("f5_abs_effect_sort", f"WITH {LONG}, m AS (SELECT descriptor, target, avg(value) AS m FROM long GROUP BY 1, 2), e AS (SELECT descriptor, max(m) - min(m) AS spread FROM m GROUP BY 1) SELECT descriptor, round(spread, 6) AS spread, row_number() OVER (ORDER BY abs(spread) DESC, descriptor) AS place FROM e")

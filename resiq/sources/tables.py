@@ -38,7 +38,7 @@ def json_rows(df: DataFrame, *columns: str) -> Column:
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256, records) of files; records are lines that start with a header sign."""
     raw = spark.read.format("binaryFile").load(path)
-    text = F.decode(F.col("content"), F.lit("UTF-8"))
+    text = F.decode(F.col("content"), "UTF-8")
     n = F.size(F.split(F.concat(F.lit("\n"), text), "\n>")) - 1
     return raw.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), n.alias("records"))
 
