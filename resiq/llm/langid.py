@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from resiq.session import table
+from resiq.session import cut, table
 
 #: ISO 639-1 codes with their ISO 639-2 codes and English names.
 LANGUAGES = {
@@ -114,40 +114,44 @@ class Gru:
     u: np.ndarray  # H x 3H
     b: np.ndarray  # 3H
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, list]:
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
         """x: batch x steps of bytes -> states (steps x batch x H) and what backward needs."""
         n, steps = x.shape
         size = self.u.shape[0]
-        h, out, kept = np.zeros((n, size), np.float32), np.empty((steps, n, size), np.float32), []
+        added = (self.e[x] + self.b).transpose(1, 0, 2)  # all bytes at once; only the recurrence is stepwise
+        gates, own = np.ascontiguousarray(self.u[:, : 2 * size]), np.ascontiguousarray(self.u[:, 2 * size :])
+        h, out = np.zeros((n, size), np.float32), np.empty((steps, n, size), np.float32)
+        zr, c = np.empty((steps, n, 2 * size), np.float32), np.empty((steps, n, size), np.float32)
         for t in range(steps):
-            a = self.e[x[:, t]] + self.b
-            g = h @ self.u[:, : 2 * size]
-            zr = sigmoid(a[:, : 2 * size] + g)
-            z, r = zr[:, :size], zr[:, size:]
-            c = np.tanh(a[:, 2 * size :] + (r * h) @ self.u[:, 2 * size :])
-            kept.append((h, z, r, c))
-            h = h + z * (c - h)
+            zr[t] = sigmoid(added[t, :, : 2 * size] + h @ gates)
+            c[t] = np.tanh(added[t, :, 2 * size :] + (zr[t, :, size:] * h) @ own)
+            h = h + zr[t, :, :size] * (c[t] - h)
             out[t] = h
-        return out, kept
+        return out, (out, zr, c)
 
-    def backward(self, x: np.ndarray, kept: list, dout: np.ndarray) -> list[np.ndarray]:
+    def backward(self, x: np.ndarray, kept: tuple, dout: np.ndarray) -> list[np.ndarray]:
+        out, zr, c = kept
         size = self.u.shape[0]
-        de, du, db = np.zeros_like(self.e), np.zeros_like(self.u), np.zeros_like(self.b)
+        before = np.concatenate([np.zeros_like(out[:1]), out[:-1]])
+        z, r = zr[:, :, :size], zr[:, :, size:]
+        gates, own = np.ascontiguousarray(self.u[:, : 2 * size].T), np.ascontiguousarray(self.u[:, 2 * size :].T)
+        slope_c, slope_z, slope_r = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r)
+        da = np.empty((*out.shape[:2], 3 * size), np.float32)
         dh = np.zeros_like(dout[0])
-        for t in range(len(kept) - 1, -1, -1):
-            h, z, r, c = kept[t]
+        for t in range(len(out) - 1, -1, -1):
             dh = dh + dout[t]
-            dc = dh * z * (1 - c * c)
-            dz = dh * (c - h) * z * (1 - z)
-            drh = dc @ self.u[:, 2 * size :].T
-            dr = drh * h * r * (1 - r)
-            da = np.concatenate([dz, dr, dc], axis=1)
-            np.add.at(de, x[:, t], da)
-            db += da.sum(axis=0)
-            du[:, : 2 * size] += h.T @ da[:, : 2 * size]
-            du[:, 2 * size :] += (r * h).T @ dc
-            dh = dh * (1 - z) + drh * r + da[:, : 2 * size] @ self.u[:, : 2 * size].T
-        return [de, du, db]
+            dc = dh * slope_c[t]
+            drh = dc @ own
+            da[t, :, :size] = dh * slope_z[t]
+            da[t, :, size : 2 * size] = drh * slope_r[t]
+            da[t, :, 2 * size :] = dc
+            dh = dh * (1 - z[t]) + drh * r[t] + da[t, :, : 2 * size] @ gates
+        flat = da.reshape(-1, 3 * size)
+        de, du = np.zeros_like(self.e), np.empty_like(self.u)
+        np.add.at(de, x.T.reshape(-1), flat)
+        du[:, : 2 * size] = before.reshape(-1, size).T @ flat[:, : 2 * size]
+        du[:, 2 * size :] = (r * before).reshape(-1, size).T @ flat[:, 2 * size :]
+        return [de, du, flat.sum(axis=0)]
 
 
 class Tagger:
@@ -174,7 +178,7 @@ class Tagger:
     def gradients(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         """Of the weighted cross entropy of every position."""
         y, (both, kf, kb) = self.run(x)
-        d = (y - target) * (weight / (len(y) * weight.sum()))[None, :, None]
+        d = ((y - target) * (weight / (len(y) * weight.sum()))[None, :, None]).astype(np.float32)
         do = both.reshape(-1, both.shape[2]).T @ d.reshape(-1, d.shape[2])
         dboth = d @ self.o.T
         size = dboth.shape[2] // 2
@@ -351,7 +355,7 @@ def sample_of(docs: DataFrame, per: int = TRAIN_DOCS) -> DataFrame:
 
 def fit(docs: DataFrame) -> Tagger | None:
     """The network, from the sample's labels, then from its own labels of the sample's sentences."""
-    sample = sample_of(docs)
+    sample = cut(sample_of(docs))
     counts = word_counts(sample)
     if not (counts.kind == "word").any():
         return None
