@@ -332,7 +332,7 @@ def candidates(t: Texts, plan: Plan, bucket: int, ratio: float, allowed: Callabl
     p, lists = listed_here(t, plan, bucket)
     sort = np.lexsort((t.size[p.text], lists))
     name, text, pos = lists[sort], p.text[sort], p.pos[sort].astype(np.int32)
-    size, sig = t.size[text].astype(np.int32), signature(t)
+    size, sig = t.size[text].astype(np.int32), signature(t)[:, text]  # in the lists' order: read in sequence below
     tail = size - pos
     hot = (name & np.uint64(0xFFFFFFFF)) > 0
     chunk = np.zeros(len(name), np.int64)
@@ -340,20 +340,21 @@ def candidates(t: Texts, plan: Plan, bucket: int, ratio: float, allowed: Callabl
         rows = np.flatnonzero(hot & ((name >> np.uint64(32)) == np.uint64(k)))
         chunk[rows] = chunk_of(t.tid[text[rows]], n)
     found = []
-    lag, i = 1, np.flatnonzero(name[1:] == name[:-1])
+    lag, i = 1, np.flatnonzero(name[1:] == name[:-1]).astype(np.int32)
     while len(i):
         j = i + lag
-        room = (1 - ratio) * (size[i] + size[j])  # indels must be fewer
-        near = size[j] - size[i] < room
-        i, j, room = i[near], j[near], room[near]  # sizes grow along a list: later ones are no nearer
-        shift = np.abs(pos[i] - pos[j]) + np.abs(tail[i] - tail[j])
-        ok = (shift < room) | (pos[i] == WILD) | (pos[j] == WILD)
+        gap = size[j] - size[i]
+        room = (1 - ratio) * (2 * size[i] + gap)  # indels must be fewer
+        near = gap < room
+        if not near.all():  # sizes grow along a list: later ones are no nearer
+            i, j, room = i[near], j[near], room[near]
+        ok = np.flatnonzero(np.bitwise_count(sig[0, i] ^ sig[0, j]) + np.bitwise_count(sig[1, i] ^ sig[1, j]) < room)
+        u, v = i[ok], j[ok]
+        shift = np.abs(pos[u] - pos[v]) + np.abs(tail[u] - tail[v])
+        fine = (shift < room[ok]) | (pos[u] == WILD) | (pos[v] == WILD)
         if plan.hot:
-            n_chunks = name[i] & np.uint64(0xFFFFFFFF)
-            ok &= (n_chunks == 0) | (chunk[i] != chunk[j]) | same_chunk(name[i], chunk[i], plan.hot)
-        a, b, room = text[i[ok]], text[j[ok]], room[ok]
-        ok = np.bitwise_count(sig[0, a] ^ sig[0, b]) + np.bitwise_count(sig[1, a] ^ sig[1, b]) < room
-        a, b = a[ok], b[ok]
+            fine &= ((name[u] & np.uint64(0xFFFFFFFF)) == 0) | (chunk[u] != chunk[v]) | same_chunk(name[u], chunk[u], plan.hot)
+        a, b = text[u[fine]], text[v[fine]]
         if allowed is not None and len(a):
             ok = allowed(t, a, b)
             a, b = a[ok], b[ok]
