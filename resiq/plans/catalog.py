@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from resiq.operators import segment
-from resiq.plans import pipelines, q_more, q_relational, q_screen, q_sequence
+from resiq.plans import pipelines, q_more, q_relational, q_screen, q_sequence, q_values
 from resiq.plans.registry import ORACLE, QUERIES
 from resiq.streaming import accept
 
 #: Their import fills the registry.
-MODULES = (q_screen, q_relational, q_sequence, q_more, pipelines, accept)
+MODULES = (q_screen, q_relational, q_sequence, q_values, q_more, pipelines, accept)
 FLAGSHIP = pipelines.pipeline_library
 
 
 def queries() -> dict[str, Callable]:
-    return QUERIES | {"p2_found": segment.p2_found, "p2_counts": segment.p2_counts}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from resiq.functions import text as X
 from resiq.operators import ranks, similarity, vectors
-from resiq.plans.q_relational import GOOD, OK, combined, controlled, scored
+from resiq.plans.q_relational import GOOD, OK, RANKS, combined, controlled, scored
 from resiq.plans.q_screen import split_candidates
-from resiq.plans.registry import AA, query, residues
+from resiq.plans.q_sequence import LCS, MASKS
+from resiq.plans.registry import AA, REF, query, residues
 from resiq.session import table
 
 
@@ -25,7 +26,13 @@ def c11(spark, sf):
     return scored(spark, sf).select("ord", "score").join(controlled(spark, sf).select("ord", "length"), "ord")
 
 
-@query("f3_top_novel")
+NOVEL_TOP = f"""WITH {REF}, {RANKS}, l AS (SELECT f.ord, f.s AS b, row_number() OVER (ORDER BY round(c, 9) DESC, f.s, f.ord) AS inspected FROM f JOIN scored_candidates x ON f.ord = x.ord WHERE batch_no > 8 AND f.s IS NOT NULL),
+ r AS (SELECT {MASKS.format(s='s')} AS m, length(s)::INT AS n FROM ref), d AS (SELECT DISTINCT b FROM l WHERE length(b) BETWEEN 1 AND 62),
+ near AS (SELECT DISTINCT b FROM d JOIN r ON n BETWEEN floor(length(b) * 2 / 3) + 1 AND ceil(length(b) * 3 / 2) - 1 WHERE 5 * {LCS} > 2 * (length(b) + n))
+ SELECT row_number() OVER (ORDER BY inspected) AS rank, inspected, ord FROM l WHERE b NOT IN (SELECT b FROM near) ORDER BY inspected LIMIT 50"""
+
+
+@query("f3_top_novel", NOVEL_TOP)
 def f3(spark, sf):
     """The 50 best novel candidates with their place among all, which tells how many were looked at."""
     _, ref = split_candidates(spark, sf)

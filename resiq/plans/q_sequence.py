@@ -163,11 +163,26 @@ def i15_terminal(spark, sf):
     return t.select("ord", *(F.try_element_at("m", F.lit(k)).alias(k) for k in ("n1", "n2", "c1", "c2")))
 
 
-@query("i16_summary")
+def sql_summary() -> str:
+    mean = lambda scale: f"{sql_sum(scale)} / length(s)"
+    charge, arom, eis = sql_charge(7.4, S.SAFETY), sql_share("FWY"), mean(S.EISENBERG)
+    unstable = f"CASE WHEN length(s) < 2 THEN 0.0 ELSE 100.0::DOUBLE * len(list_filter(range(1, length(s)), lambda i: list_contains({UNSTABLE}, substr(s, i, 2)))) / (length(s) - 1) END"
+    cols = {
+        "length": "length(s)::DOUBLE", "mw": f"{sql_sum(S.MASS)} + {S.WATER}", "charge_ph7_4": charge, "charge_ph5": sql_charge(5.0, S.SAFETY), "charge_density": f"{charge} / length(s)",
+        "hydrophobicity_kd": mean(S.KYTE_DOOLITTLE), "hydrophobicity_eisenberg": eis, "hydrophobicity_ww": mean(S.INTERFACE_CHARGED), "hydrophobicity_hoppwoods": mean(S.HOPP_WOODS), "hydrophobicity_janin": mean(S.JANIN),
+        "hydrophobic_moment_helix": sql_moment(100), "hydrophobic_moment_beta": sql_moment(180), "aromatic_frac": arom, "trp_frac": sql_share("W"), "phe_frac": sql_share("F"), "tyr_frac": sql_share("Y"),
+        "lys_arg_frac": sql_share("KR"), "acidic_frac": sql_share("DE"), "hydrophobic_frac": sql_share("AILMFVW"), "aliphatic_index": f"100 * {sql_share('A')} + 2.9 * 100 * {sql_share('V')} + 3.9 * 100 * {sql_share('IL')}",
+        "boman_index": mean(S.BINDING), "instability_index": unstable, "helical_propensity": mean(S.HELIX), "aggregation_propensity": f"{eis} + 0.5 * {arom} - 0.3 * abs({charge})", "amphipathicity": sql_moment(100),
+        **{f"cleavage_{k}".lower(): sql_share(v) for k, v in S.CUTS.items()}, "oxidation_sensitive": sql_share("MCW"), "deamidation_prone": sql_share("NQ"), "camsol_like": f"0.5 * abs({charge}) - 1.2 * {eis} - 0.8 * {arom}",
+    }
+    return f"WITH {SEQS} SELECT q.ord, p.pi, " + ", ".join(f"round({v} + {NUDGE}, 5) AS {k}" for k, v in cols.items()) + f" FROM q JOIN ({sql_pi()}) p ON q.ord = p.ord"
+
+
+@query("i16_summary", sql_summary())
 def i16(spark, sf):
     """The 33 summary descriptors in one pass."""
     own = D.describe(sequences(spark, sf), "s")
-    return own.select("ord", *(F.round(c, 6).alias(c) for c in own.columns if c not in ("ord", "s")))
+    return own.select("ord", F.round("pi", 4).alias("pi"), *(F.round(F.col(c) + NUDGE, 5).alias(c) for c in own.columns if c not in ("ord", "s", "pi")))
 
 
 @query("i17_unique_then_expand", f"SELECT ord, round({sql_charge(7.4, S.SAFETY).replace('(s,', '(s,')}, 6) AS charge FROM (SELECT ord, {residues('seq')} AS s FROM scored_candidates WHERE length({residues('seq')}) > 0)")
@@ -288,14 +303,20 @@ def c3(spark, sf):
     return similarity.novelty(cand, ref).select("ord")
 
 
-@query("c4_max_similarity")
+@query("c4_max_similarity", f"WITH {CAND}, {REF}, c AS (SELECT ord, s AS b FROM cand WHERE length(s) BETWEEN 8 AND 50 AND regexp_full_match(s, '[{AA}]+') ORDER BY ord LIMIT 100), r AS (SELECT {MASKS.format(s='s')} AS m, length(s)::INT AS n FROM ref), x AS (SELECT ord, 2.0::DOUBLE * {LCS} / (length(b) + n) AS q FROM c, r) SELECT ord, round(max(q) FILTER (q > 0.5), 6) AS max_ratio FROM x GROUP BY 1")
 def c4(spark, sf):
     """The 100 best candidates' largest similarity with the reference."""
     cand, ref = clean_candidates(spark, sf)
     return similarity.max_similarity(cand.orderBy("ord").limit(100), ref).withColumn("max_ratio", F.round("max_ratio", 6))
 
 
-@query("c8_kmer_join")
+KMERS = f"""WITH t AS (SELECT {R} AS s, min(ord) AS id FROM conditioned_peptides WHERE length({R}) BETWEEN 8 AND 50 AND split = 'val' GROUP BY 1),
+ g AS (SELECT id, length(s) AS n, unnest(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)))) AS g FROM t),
+ m AS (SELECT a.id AS a, b.id AS b, least(a.n, b.n) AS lo, greatest(a.n, b.n) AS hi, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3, 4)
+ SELECT a, b FROM m WHERE lo >= 0.7::DOUBLE * hi AND shared >= greatest(1, trunc(0.5::DOUBLE * (greatest(1, lo - 2) - 3 * (1.0::DOUBLE - 0.7::DOUBLE) * hi)))"""
+
+
+@query("c8_kmer_join", KMERS)
 def c8(spark, sf):
     return similarity.kmer_pairs(texts(spark, sf, "val").select(F.col("ord").alias("id"), F.col("s").alias("res")), k=3)
 
