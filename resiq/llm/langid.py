@@ -70,6 +70,8 @@ def label_code(label: Column) -> Column:
 ENDS = re.compile(r"(?:(?<=[.!?])\s|\n|(?<=[。！？]))\s*")
 #: Han and kana letters come two at a time, other letters as whole words.
 WORD = re.compile(r"[⺀-鿿]{1,2}|[^\W\d_⺀-鿿]+")
+#: Two letters one after the other of which the second may be a capital: without them no word is in capitals.
+CAPITALS = re.compile(r"[^\W\d_a-z⺀-鿿][^\W\d_a-z⺀-鿿]")
 
 
 def sentences(text: str) -> list[str]:
@@ -86,10 +88,9 @@ def bare(s: str) -> bool:
 def words(s: str) -> list[str]:
     """Lower-case words that may tell a language. In a sentence with small letters, words in capitals are codes or
     sequences and tell none; words with digits attached are names."""
-    found = WORD.findall(s)
-    if not s.isupper():
-        found = [w for w in found if not (len(w) > 1 and w.isupper())]
-    return [w.lower() for w in found]
+    if CAPITALS.search(s) and not s.isupper():
+        return [w.lower() for w in WORD.findall(s) if len(w) == 1 or not w.isupper()]
+    return WORD.findall(s.lower())
 
 
 def plain(w: str) -> str:
