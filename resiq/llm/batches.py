@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from resiq.llm.blockjoin import Plan, Ranking, Texts, blocks, bucket_count, hot_tokens, join_blocks, shared, with_freq
 from resiq.llm.pairs import RATIO, copies, rows_of, texts_of
-from resiq.session import shared_dir, table
+from resiq.session import cut, shared_dir, table
 
 #: Texts that are alike share so many 5-grams at least (2 of 21 at 25 residues).
 OVERLAP = 2
@@ -56,7 +56,8 @@ class BatchIndex:
         """(ord_old, ord_new) for each row that repeats an earlier batch's text or is alike to one: the smallest
         such ord. Rows with a null batch_no are in no batch. An empty delivery gives no rows."""
         rows = rows.where("batch_no is not null")
-        texts = texts_of(rows, F.min("batch_no").cast("int").alias("x"), F.max("batch_no").cast("int").alias("y"))
+        # A text is known by its first row in its first batch, so a pair tells that batch and ord by itself
+        texts = texts_of(rows, F.min("batch_no").cast("int").alias("x"), F.max("batch_no").cast("int").alias("y"), first=F.min_by("ord", F.struct("batch_no", "ord")))
         meta = self._meta()
         ranking = prefix(self.overlap)
         if meta is None:
@@ -87,12 +88,14 @@ class BatchIndex:
         return verify
 
     def _report(self, rows: DataFrame, texts: DataFrame, pairs: DataFrame, d: int) -> DataFrame:
-        ways = pairs.where("by > ax").select(F.col("b").alias("tid"), F.col("a").alias("other")).unionAll(pairs.where("ay > bx").select(F.col("a").alias("tid"), F.col("b").alias("other")))
-        ways = ways.unionAll(texts.where("x < y").select("tid", F.col("tid").alias("other")))
-        told = self.spark.read.schema("other long, batch int, first long, delivery int").parquet(f"{self.path}/steps").where(F.col("delivery") <= d)
+        way = lambda old, new: pairs.where(f"{new}y > {old}x").select(F.col(new).alias("tid"), F.col(old).alias("other"), F.col(f"{old}x").alias("batch"))
+        ways = cut(way("a", "b").unionAll(way("b", "a")).unionAll(texts.where("x < y").select("tid", F.col("tid").alias("other"), F.col("x").alias("batch"))))
+        told = ways.select("tid", "batch", F.shiftright("other", 8).alias("first"))
+        # Texts that come back with a smaller ord in a later batch; none where ords follow the batches
+        more = self.spark.read.schema("other long, batch int, first long, delivery int").parquet(f"{self.path}/steps").where(F.col("delivery") <= d)
+        told = told.unionAll(ways.select("tid", "other").join(more.select("other", "batch", "first"), "other").select("tid", "batch", "first"))
         # No more entries a text than there are batches
-        by_batch = ways.join(told, "other").groupBy("tid", "batch").agg(F.min("first").alias("first"))
-        entries = by_batch.groupBy("tid").agg(F.collect_list(F.struct("batch", "first")).alias("entries"))
+        entries = told.groupBy("tid", "batch").agg(F.min("first").alias("first")).groupBy("tid").agg(F.collect_list(F.struct("batch", "first")).alias("entries"))
         single = texts.where("n = 1").select("tid", F.shiftright("tid", 8).alias("ord"), F.col("x").alias("batch_no"))
         every = rows_of(rows.withColumn("batch_no", F.col("batch_no").cast("int")), texts, "batch_no").unionAll(single)
         earlier = F.expr("array_min(transform(filter(entries, e -> e.batch < batch_no), e -> e.first))")
@@ -100,13 +103,12 @@ class BatchIndex:
 
 
 def steps(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(other, batch, first): for each text its batches in which a smaller ord appears than in all earlier ones;
-    with ords in the order of batches, one a text."""
+    """(other, batch, first): for each text its later batches in which a smaller ord appears than in all earlier ones.
+    With ords in the order of batches there are none."""
     many = rows_of(rows, texts, "batch_no").groupBy("tid", "batch_no").agg(F.min("ord").alias("first"))
     before = W.partitionBy("tid").orderBy("batch_no").rowsBetween(W.unboundedPreceding, -1)
-    many = many.withColumn("least", F.min("first").over(before)).where("least is null or first < least")
-    one = texts.where("n = 1").select(F.col("tid").alias("other"), F.col("x").alias("batch"), F.shiftright("tid", 8).alias("first"))
-    return one.unionAll(many.select(F.col("tid").alias("other"), F.col("batch_no").cast("int").alias("batch"), "first"))
+    many = many.withColumn("least", F.min("first").over(before)).where("first < least")
+    return many.select(F.col("tid").alias("other"), F.col("batch_no").cast("int").alias("batch"), "first")
 
 
 def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -34,9 +34,10 @@ def text_key() -> list:
     return [F.xxhash64("grp", "res").alias("k1"), F.xxhash64("res", F.lit(7), "grp").alias("k2")]
 
 
-def texts_of(rows: DataFrame, *aggs) -> DataFrame:
-    """One row a different text of a group: (tid, res, grp, n, *aggs); a checkpoint, as it is read several times."""
-    own = rows.groupBy("grp", "res").agg(F.min("ord").alias("first"), F.count("*").alias("n"), *aggs)
+def texts_of(rows: DataFrame, *aggs, first=None) -> DataFrame:
+    """One row a different text of a group: (tid, res, grp, n, *aggs); a checkpoint, as it is read several times.
+    first: an aggregate that picks one of a text's ords, the smallest by default."""
+    own = rows.groupBy("grp", "res").agg((F.min("ord") if first is None else first).alias("first"), F.count("*").alias("n"), *aggs)
     return cut(own.withColumn("tid", F.col("first") * GROUPS + F.col("grp")).drop("first"))
 
 
