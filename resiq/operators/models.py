@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from resiq.functions import descriptors as D
 from resiq.functions import scales as S
+from resiq.operators.stats import quantiles
 
 
 def kmeans_medoids(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFrame:
@@ -35,7 +36,8 @@ def reduced(df: DataFrame, column: str, k: int) -> DataFrame:
     v = df.select("id", array_to_vector(F.col(column).cast("array<double>")).alias("__v"))
     model = Pipeline(stages=[StandardScaler(inputCol="__v", outputCol="__c", withMean=True, withStd=False), PCA(k=k, inputCol="__c", outputCol="__p")]).fit(v)
     p = model.transform(v).select("id", vector_to_array("__p").alias("p"))
-    q = p.agg(*(F.percentile(F.col("p")[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(k))).first()
+    long = p.select(F.posexplode("p").alias("i", "value"))
+    q = {r.i: r.q for r in quantiles(long, ["i"], (0.25, 0.5, 0.75)).collect()}  # k rows
     scaled = F.array(*((F.col("p")[i] - q[i][1]) / ((q[i][2] - q[i][0]) or 1.0) for i in range(k)))
     return p.select("id", F.transform(scaled, lambda x: F.round(x, 4)).alias("features"))
 

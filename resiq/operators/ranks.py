@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from resiq.session import cut
 
 
+def attach(df: DataFrame, one: DataFrame) -> DataFrame:
+    """df with the columns of a table of one row, which travels by broadcast."""
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
 def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     """df with, for each (name: column) of sums, the sum of the column over all rows before in the given order. The
     order must be total: no two rows equal in it. Rows are range-partitioned; only one total a range is brought

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from resiq.operators.ranks import running
+
 #: Rows of a group beyond which it is ranked in several parts of about this many.
 RANKED = 100_000
 
@@ -83,22 +85,41 @@ def pair_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return once.orderBy("id").limit(n).select("a", "b")
 
 
+def dealt(load: list[int], n: int, many: int) -> list[int]:
+    """How many of `many` groups of size n each fold gets if each goes to the lightest one (the first on ties), without
+    a step for each group: folds are filled up to a common level, the few groups left go one by one. load is raised."""
+    got = [0] * len(load)
+    below = lambda level: [max(0, -(-(level - x) // n)) for x in load]
+    lo, hi = min(load), max(load) + n * (many + 1)
+    while lo < hi:  # the highest level that all groups reach
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if sum(below(mid)) <= many else (lo, mid - 1)
+    for f, k in enumerate(below(lo)):
+        got[f], load[f] = k, load[f] + k * n
+    for _ in range(many - sum(got)):
+        f = min(range(len(load)), key=lambda j: (load[j], j))
+        got[f], load[f] = got[f] + 1, load[f] + n
+    return got
+
+
 def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """(group, fold): groups by falling size, each to the fold with the fewest rows so far (the smaller one on ties).
 
-    Assignment is sequential by definition. Sizes, not rows, are gathered: groups of one size are dealt together, so
-    the driver sees one row a different size."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    Groups of one size are alike to the rule: their order by id is cut into a range a fold. So only sizes and their
+    frequencies come to the driver, and what goes back is a row for each size and fold."""
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
     load, plan = [0] * folds, []
     for n, many in sorted(((r.n, r.k) for r in sizes.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True):
-        # Equal groups in turn: the pattern repeats once loads are within one group of each other
-        for i in range(many):
-            f = min(range(folds), key=lambda j: (load[j], j))
-            load[f] += n
-            plan.append((n, i + 1, f))
-    deal = df.sparkSession.createDataFrame(plan, "n long, place long, fold int")
-    place = F.row_number().over(W.partitionBy("n").orderBy(group)).cast("long")
-    return sizes.withColumn("place", place).join(deal, ["n", "place"]).select(group, "fold")
+        start = 0
+        for f, k in enumerate(dealt(load, n, many)):
+            if k:
+                plan.append((n, start, start + k, f))
+                start += k
+    deal = df.sparkSession.createDataFrame(plan, "n long, start long, stop long, fold int")
+    placed = running(sizes.withColumn("one", F.lit(1)), ["n", group], {"before": "one"})
+    base = placed.groupBy("n").agg(F.min("before").alias("base"))
+    at = F.col("before") - F.col("base")
+    return placed.join(base, "n").join(deal, "n").where((at >= F.col("start")) & (at < F.col("stop"))).select(group, "fold")
 
 
 def locked_split(df: DataFrame, group: str, stratum: str | None = None, share: float = 0.18, seed: int = 42) -> DataFrame:

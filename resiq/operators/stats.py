@@ -1,7 +1,8 @@
 """Aggregations, distributions and two-sample statistics (D, L1-L3).
 
-All descriptors go through one grouped plan over (descriptor, class, value); no loop over columns. Ranks and
-distribution functions come from counts by value with running sums inside a descriptor."""
+All descriptors go through one grouped plan over (descriptor, class, value); no loop over columns. Quantiles, ranks
+and distribution functions come from counts by value and running sums over ranges of values (`ranks.running`), so no
+group of values is ever in one task, however many different ones it has."""
 
 from __future__ import annotations
 
@@ -9,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from resiq.operators.ranks import attach, running
+from resiq.session import cut
+
 PERCENTS = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
 
 
@@ -22,24 +26,39 @@ def finite(df: DataFrame) -> DataFrame:
     return df.where(F.abs("value") < float("inf"))
 
 
+def quantiles(long: DataFrame, keys: list[str], probs: tuple[float, ...], value: str = "value") -> DataFrame:
+    """(*keys, q): exact quantiles of the value by key, linear between ranks. Rows with a null key or value are left
+    out; a key without values has no row. Only the rows that hold a wanted rank are gathered."""
+    rows = long.select(*keys, F.col(value).alias("value")).where(" and ".join(f"{k} is not null" for k in [*keys, "value"]))
+    walk = running(rows.groupBy(*keys, "value").agg(F.count("*").alias("n")), [*keys, "value"], {"before": "n"})
+    base = walk.groupBy(*keys).agg(F.min("before").alias("base"), F.sum("n").alias("total"))
+    own = walk.join(base, keys) if keys else attach(walk, base)
+    at = F.col("before") - F.col("base")
+    place = lambda p: (F.col("total") - 1) * F.lit(p)
+    held = lambda k: F.max(F.when((at <= k) & (k < at + F.col("n")), F.col("value")))
+    ends = own.groupBy(*keys).agg(F.max("total").alias("total"), *(held(f(place(p))).alias(f"{s}{i}") for i, p in enumerate(probs) for s, f in (("lo", F.floor), ("hi", F.ceil))))
+    between = lambda i, p: F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (place(p) - F.floor(place(p)))
+    return ends.select(*keys, F.array(*(between(i, p) for i, p in enumerate(probs))).alias("q"))
+
+
 def distribution_summary(long: DataFrame, *keys: str) -> DataFrame:
     """Mean, sample deviation, extremes and seven quantiles (linear between ranks) by key."""
-    q = F.percentile("value", F.array(*(F.lit(p) for p in PERCENTS)))
-    per = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"))
+    per = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    per = per.join(quantiles(long, list(keys), PERCENTS), list(keys))
     return per.select(*keys, "n", *(F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")), *(F.round(F.col("q")[i], 6).alias(f"q{int(p * 100):02d}") for i, p in enumerate(PERCENTS)))
 
 
 def histogram(long: DataFrame, cls: str, bins: int = 50, tails: float = 0.005) -> DataFrame:
     """(descriptor, class, bin, n, density): equal bins between the pooled tail quantiles; the last one is closed,
     values outside are dropped, and equal ends fall back to the extremes. Empty bins have no row."""
-    ends = long.groupBy("descriptor").agg(F.percentile("value", F.array(F.lit(tails), F.lit(1 - tails))).alias("q"), F.min("value").alias("a"), F.max("value").alias("b"))
+    ends = long.groupBy("descriptor").agg(F.min("value").alias("a"), F.max("value").alias("b")).join(quantiles(long, ["descriptor"], (tails, 1 - tails)), "descriptor")
     flat = F.abs(F.col("q")[0] - F.col("q")[1]) <= 1e-9 * F.greatest(F.abs(F.col("q")[0]), F.abs(F.col("q")[1]))
     ends = ends.select("descriptor", F.when(flat, F.col("a")).otherwise(F.col("q")[0]).alias("lo"), F.when(flat, F.col("b")).otherwise(F.col("q")[1]).alias("hi"))
     own = long.join(F.broadcast(ends), "descriptor").where("value between lo and hi")  # one row a descriptor
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0)
     counts = own.groupBy("descriptor", cls, place.cast("int").alias("bin"), width.alias("width")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(W.partitionBy("descriptor", cls))
+    total = F.sum("n").over(W.partitionBy("descriptor", cls))  # at most `bins` rows
     return counts.select("descriptor", cls, "bin", "n", F.round(F.try_divide(F.col("n"), total * F.col("width")), 6).alias("density"))
 
 
@@ -51,8 +70,8 @@ def pearson(a: str, b: str) -> Column:
 
 def normalizer(long: DataFrame) -> DataFrame:
     """Mean, sample deviation of at least 1e-6, and deciles 1, 5, 9 of each descriptor."""
-    q = F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    per = long.groupBy("descriptor").agg(F.avg("value").alias("mean"), F.greatest(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), F.lit(1e-6)).alias("std"), q.alias("q"))
+    per = long.groupBy("descriptor").agg(F.avg("value").alias("mean"), F.greatest(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), F.lit(1e-6)).alias("std"))
+    per = per.join(quantiles(long, ["descriptor"], (0.1, 0.5, 0.9)), "descriptor")
     return per.select("descriptor", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))))
 
 
@@ -61,31 +80,27 @@ def compare(long: DataFrame, cls: str, one: str, two: str) -> DataFrame:
     asymptotic two-sided p (tie-corrected, continuity-corrected), Cliff's delta, the Kolmogorov-Smirnov distance and
     its asymptotic p, and the Wasserstein distance, also by the pooled interquartile range (null if that is 0).
     A descriptor that a class lacks has no row."""
-    long = finite(long).where(F.col(cls).isin(one, two))
-    is_one = F.col(cls) == one
+    long = cut(finite(long).where(F.col(cls).isin(one, two)).select("descriptor", F.when(F.col(cls) == one, "one").otherwise("two").alias("side"), "value"))
+    is_one = F.col("side") == "one"
     by_value = long.groupBy("descriptor", "value").agg(F.count_if(is_one).alias("n1"), F.count_if(~is_one).alias("n2"))
-    w = W.partitionBy("descriptor").orderBy("value")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    walk = by_value.select(
-        "descriptor", "n1", "n2",
-        F.coalesce(F.sum("n2").over(before), F.lit(0)).alias("below2"),
-        F.sum("n1").over(w).alias("c1"), F.sum("n2").over(w).alias("c2"),
-        (F.lead("value").over(w) - F.col("value")).alias("gap"),
-    )
-    sizes = long.groupBy("descriptor").agg(
-        F.count_if(is_one).alias("n_one"), F.count_if(~is_one).alias("n_two"),
-        *(f(F.when(c, F.col("value"))).alias(f"{s}_mean") for s, c, f in (("one", is_one, F.avg), ("two", ~is_one, F.avg))),
-        *(F.percentile(F.when(c, F.col("value")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{s}_q") for s, c in (("one", is_one), ("two", ~is_one))),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("pooled"),
-    ).where("n_one > 0 and n_two > 0")
-    f1, f2 = F.col("c1") / F.col("n_one"), F.col("c2") / F.col("n_two")
+    walk = running(by_value, ["descriptor", "value"], {"below1": "n1", "below2": "n2"})
+    sizes = walk.groupBy("descriptor").agg(F.sum("n1").alias("n_one"), F.sum("n2").alias("n_two"), F.min("below1").alias("base1"), F.min("below2").alias("base2")).where("n_one > 0 and n_two > 0")
+    own = walk.join(sizes, "descriptor").withColumns({"below1": F.col("below1") - F.col("base1"), "below2": F.col("below2") - F.col("base2")})
+    gap = lambda a, b: F.abs(a / F.col("n_one") - b / F.col("n_two"))
+    before, after = gap(F.col("below1"), F.col("below2")), gap(F.col("below1") + F.col("n1"), F.col("below2") + F.col("n2"))
     t = (F.col("n1") + F.col("n2")).cast("double")
-    sums = walk.join(sizes.select("descriptor", "n_one", "n_two"), "descriptor").groupBy("descriptor").agg(
+    sums = own.groupBy("descriptor").agg(
+        F.max("n_one").alias("n_one"), F.max("n_two").alias("n_two"),
         F.sum(F.col("n1") * (F.col("below2") + F.col("n2") / 2)).alias("u"),
-        F.max(F.abs(f1 - f2)).alias("ks"),
-        F.sum(F.coalesce(F.abs(f1 - f2) * F.col("gap"), F.lit(0.0))).alias("wd"),
+        F.max(after).alias("ks"),
+        # Sum of gaps times steps to the next value, by parts: no row needs the next one
+        F.sum(F.col("value") * (before - after)).alias("wd"),
         F.sum(t * t * t - t).alias("ties"),
-    )
+    )
+    means = long.groupBy("descriptor").agg(F.avg(F.when(is_one, F.col("value"))).alias("one_mean"), F.avg(F.when(~is_one, F.col("value"))).alias("two_mean"))
+    by_side = quantiles(long, ["descriptor", "side"], (0.25, 0.5, 0.75)).groupBy("descriptor").agg(F.max(F.when(is_one, F.col("q"))).alias("one_q"), F.max(F.when(~is_one, F.col("q"))).alias("two_q"))
+    pooled = quantiles(long, ["descriptor"], (0.25, 0.75)).withColumnRenamed("q", "pooled")
+    sums = sums.join(means, "descriptor").join(by_side, "descriptor").join(pooled, "descriptor")
     x, y = F.col("n_one").cast("double"), F.col("n_two").cast("double")
     n = x + y
     var = x * y / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
@@ -98,7 +113,7 @@ def compare(long: DataFrame, cls: str, one: str, two: str) -> DataFrame:
         "ks": F.col("ks"), "ks_p": kolmogorov(F.sqrt(x * y / n) * F.col("ks")),
         "wasserstein": F.col("wd"), "wasserstein_iqr": F.try_divide(F.col("wd"), F.when(iqr > 0, iqr)),
     }
-    return sums.join(sizes, "descriptor").select("descriptor", "n_one", "n_two", *(F.round(c, 6).alias(k) for k, c in cols.items()))
+    return sums.select("descriptor", "n_one", "n_two", *(F.round(c, 6).alias(k) for k, c in cols.items()))
 
 
 def upper_tail(z: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resiq.operators.blocks import nearest
-from resiq.operators.stats import normal_cdf
+from resiq.operators.stats import normal_cdf, quantiles
 
 #: Ln 128, and the normal quantile of 0.975.
 LOG_128 = math.log(128)
@@ -63,7 +63,7 @@ def conformal_q(df: DataFrame, residual: str, alpha: float = 0.05) -> float:
     n = df.where(F.col(residual).isNotNull()).count()
     if not n:
         return math.nan
-    return df.agg(F.percentile(F.abs(residual), F.lit(min(1.0, math.ceil((n + 1) * (1 - alpha)) / n)))).first()[0]
+    return quantiles(df.select(F.abs(residual).alias("r")), [], (min(1.0, math.ceil((n + 1) * (1 - alpha)) / n),), "r").first()[0][0]
 
 
 def applicability(queries: DataFrame, train: DataFrame, identity: str = "identity", percentile: float = 0.95, threshold: float = 0.40) -> DataFrame:
@@ -77,7 +77,8 @@ def applicability(queries: DataFrame, train: DataFrame, identity: str = "identit
     out = queries.select("id", identity)
     for name, v in (("emb", F.col("emb")), ("phys", z)):
         base, own = train.select("id", v.alias("v")), queries.select("id", v.alias("v"))
-        unit = nearest(base, base).agg(F.percentile("value", F.lit(percentile))).first()[0] or 0.0
+        found = quantiles(nearest(base, base), [], (percentile,)).first()
+        unit = found[0][0] if found and found[0][0] is not None else 0.0
         out = out.join(nearest(own, base).select("id", (F.col("value") / max(unit, 1e-6)).alias(f"{name}_ood")), "id")
     inside = (F.col(identity) >= threshold * 0.5) & (F.col("emb_ood") <= 1.5) & (F.col("phys_ood") <= 1.5)
     sure = 0.4 * F.col(identity) + 0.3 / (1 + F.col("emb_ood")) + 0.3 / (1 + F.col("phys_ood"))

@@ -58,7 +58,7 @@ def m12(spark, sf):
 def o3(spark, sf):
     g = controlled(spark, sf).where(GOOD)
     one = g.agg(F.avg("charge_ph7_4").alias("m"), F.stddev_samp("charge_ph7_4").alias("d"))  # one row
-    return g.join(F.broadcast(one)).select("ord", F.round((F.col("charge_ph7_4") - F.col("m")) / F.greatest(F.col("d"), F.lit(1e-6)) + 1e-9, 6).alias("z"))
+    return ranks.attach(g, one).select("ord", F.round((F.col("charge_ph7_4") - F.col("m")) / F.greatest(F.col("d"), F.lit(1e-6)) + 1e-9, 6).alias("z"))
 
 
 R = residues("sequence")

@@ -149,7 +149,7 @@ def training_rows(spark, sf, least: int = 5):
     kept = agg.join(strains, "bacterium")
     ends = kept.agg(F.min("pmic").alias("lo"), F.max("pmic").alias("hi"))  # one row
     scaled = F.coalesce(F.try_divide(F.col("pmic") - F.col("lo"), F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))), F.lit(0.0)) * 100
-    return kept.join(F.broadcast(ends)).select("sequence", "bacterium", "pmic", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(100.0)).cast("int").alias("relevance"))
+    return ranks.attach(kept, ends).select("sequence", "bacterium", "pmic", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(100.0)).cast("int").alias("relevance"))
 
 
 @query("d1_pmic_mean", f"WITH {MICS} SELECT sequence, bacterium, round(pmic, 6) AS pmic FROM agg")
@@ -233,7 +233,7 @@ def d10(spark, sf):
     a = a.join(train, "s", "left")
     one = a.agg(F.count("*").alias("n"), F.round(100 * F.avg(F.col("ok").cast("int")), 6).alias("valid_pct"), F.min(F.length("s")).alias("min_length"), F.max(F.length("s")).alias("max_length"), F.round(F.avg(F.length("s")), 6).alias("mean_length"), F.count_distinct("s").alias("n_unique"), F.count("copy").alias("train_copies"), F.count_distinct(F.when(F.col("copy") == 1, F.col("s"))).alias("distinct_train_copies"))
     top = a.select("s").distinct().orderBy("s").limit(10).agg(F.array_join(F.array_sort(F.collect_list("s")), " ").alias("samples"))
-    return one.join(F.broadcast(top))
+    return ranks.attach(one, top)
 
 
 @query(
@@ -281,7 +281,7 @@ def d15(spark, sf):
     both = a.select("s", F.lit(1).alias("w")).unionAll(b.select("t", F.lit(2))).groupBy("s").agg(F.bit_or("w").alias("w"))
     u = both.agg(F.count_if(F.col("w") == 3).alias("i"), F.count("*").alias("u"))
     one = F.greatest(F.col("n"), F.lit(1))
-    return j.join(F.broadcast(u)).select("n", "n_equal", F.round(F.col("n_equal") / one, 6).alias("share_equal"), F.round(F.col("i") / F.greatest(F.col("u"), F.lit(1)), 6).alias("jaccard"), (F.col("n") == F.col("n_equal")).alias("identical"))
+    return ranks.attach(j, u).select("n", "n_equal", F.round(F.col("n_equal") / one, 6).alias("share_equal"), F.round(F.col("i") / F.greatest(F.col("u"), F.lit(1)), 6).alias("jaccard"), (F.col("n") == F.col("n_equal")).alias("identical"))
 
 
 @query("d16_cluster_mode", "SELECT batch_no, m AS cluster FROM (SELECT batch_no, cluster AS m, row_number() OVER (PARTITION BY batch_no ORDER BY count(*) DESC, cluster) AS rn FROM scored_candidates WHERE cluster IS NOT NULL GROUP BY 1, 2) WHERE rn = 1")
@@ -309,8 +309,10 @@ PCT = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 @query("d19_describe_pct", "SELECT count(*) AS n, round(avg(mic), 6) AS mean, round(stddev_samp(mic), 6) AS std, min(mic) AS min, max(mic) AS max, " + ", ".join(f"round(quantile_cont(mic, {p}), 6) AS p{int(p * 100):02d}" for p in PCT) + " FROM scored_candidates WHERE mic IS NOT NULL AND NOT isnan(mic)")
 def d19(spark, sf):
-    one = scored(spark, sf).where("mic is not null and not isnan(mic)").agg(F.count("*").alias("n"), F.round(F.avg("mic"), 6).alias("mean"), F.round(F.stddev_samp("mic"), 6).alias("std"), F.min("mic").alias("min"), F.max("mic").alias("max"), F.percentile("mic", F.array(*(F.lit(p) for p in PCT))).alias("q"))
-    return one.select("n", "mean", "std", "min", "max", *(F.round(F.col("q")[i], 6).alias(f"p{int(p * 100):02d}") for i, p in enumerate(PCT)))
+    good = scored(spark, sf).where("mic is not null and not isnan(mic)")
+    one = good.agg(F.count("*").alias("n"), F.round(F.avg("mic"), 6).alias("mean"), F.round(F.stddev_samp("mic"), 6).alias("std"), F.min("mic").alias("min"), F.max("mic").alias("max"))
+    q = stats.quantiles(good, [], PCT, "mic")  # one row each
+    return ranks.attach(one, q).select("n", "mean", "std", "min", "max", *(F.round(F.col("q")[i], 6).alias(f"p{int(p * 100):02d}") for i, p in enumerate(PCT)))
 
 
 @query("d20_threshold_fractions", "SELECT t AS threshold, round(avg((charge_ph7_4 > t)::INT), 6) AS fraction FROM controllability_sequences, (SELECT unnest([1, 2, 3, 5]) AS t) WHERE charge_ph7_4 IS NOT NULL AND NOT isnan(charge_ph7_4) GROUP BY 1")
@@ -381,7 +383,7 @@ def f2(spark, sf):
     top = ranks.positions(combined(spark, sf), [F.desc(F.round("combined_score", 9)), F.col("s").asc_nulls_last(), F.col("ord")], most=300)
     n = top.agg(F.count("*").alias("n"))
     enough = screen.require(n, F.col("n") >= 300, "fewer rows than the library's size")
-    return top.join(F.broadcast(enough)).select("rank", "ord", (F.col("rank") <= 50).alias("shortlist"))
+    return ranks.attach(top, enough).select("rank", "ord", (F.col("rank") <= 50).alias("shortlist"))
 
 
 @query("f5_abs_effect_sort", f"WITH {LONG}, m AS (SELECT descriptor, target, avg(value) AS m FROM long GROUP BY 1, 2), e AS (SELECT descriptor, max(m) - min(m) AS spread FROM m GROUP BY 1) SELECT descriptor, round(spread, 6) AS spread, row_number() OVER (ORDER BY abs(spread) DESC, descriptor) AS place FROM e")

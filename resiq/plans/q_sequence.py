@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from resiq.functions import descriptors as D
 from resiq.functions import scales as S
 from resiq.functions import text as X
-from resiq.operators import models, sampling, similarity, stats, vectors
+from resiq.operators import models, ranks, sampling, similarity, stats, vectors
 from resiq.operators.blocks import nearest
 from resiq.plans.q_relational import DESCRIPTORS, LONG, controlled, long, scored, training_rows
 from resiq.plans.q_screen import split_candidates
@@ -437,7 +437,7 @@ def l5(spark, sf):
     b = vectors.kernel_density(p.where("target like 'low%'"), grid(spark)).withColumnRenamed("density", "two")
     both = cut(a.join(b, "id").withColumn("total", F.col("one") + F.col("two")))
     floor = both.agg(F.percentile("total", F.lit(0.1)).alias("floor"))  # one row
-    return both.join(F.broadcast(floor)).select("id", F.round(vectors.log_enrichment(F.col("one"), F.col("two")), 4).alias("enrichment"), (F.col("total") >= F.col("floor")).alias("supported"))
+    return ranks.attach(both, floor).select("id", F.round(vectors.log_enrichment(F.col("one"), F.col("two")), 4).alias("enrichment"), (F.col("total") >= F.col("floor")).alias("supported"))
 
 
 @query("l6_bandwidths", KDE.format(f="0.5625"))

@@ -158,6 +158,30 @@ def test_splits_and_folds(spark):
     assert {r.split: r["count"] for r in locked} == {"test": 1, "train": 6}
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=5), st.integers(1, 9), st.integers(0, 80))
+def test_dealing_equals_one_by_one(load, n, many):
+    want, sums = [0] * len(load), list(load)
+    for _ in range(many):
+        f = min(range(len(sums)), key=lambda j: (sums[j], j))
+        want[f], sums[f] = want[f] + 1, sums[f] + n
+    own = list(load)
+    assert sampling.dealt(own, n, many) == want and own == sums
+
+
+def test_quantiles_by_key(spark):
+    r = random.Random(9)
+    rows = [(k, float(r.randint(0, 30))) for k in "ab" for _ in range(101 if k == "a" else 1)] + [("c", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, value double")
+    got = {x.k: x.q for x in stats.quantiles(df, ["k"], (0.0, 0.1, 0.5, 1.0)).collect()}
+    assert set(got) == {"a", "b"}
+    for k in "ab":
+        assert got[k] == pytest.approx(np.quantile([v for x, v in rows if x == k], (0.0, 0.1, 0.5, 1.0)).tolist())
+    whole = stats.quantiles(df, [], (0.25,)).first().q[0]
+    assert whole == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.25))
+    assert stats.quantiles(df.limit(0), ["k"], (0.5,)).count() == 0
+
+
 def test_kernel_density_and_conformal(spark):
     g = np.random.default_rng(1)
     p = g.normal(size=(200, 2)) @ np.array([[1, 0.4], [0, 0.7]])
