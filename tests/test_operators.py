@@ -127,6 +127,16 @@ def test_single_linkage(spark):
     assert got == {"KFAKWWLL": 0, "KAAKWWLL": 0, "KAAKWWLM": 0, "DDDDEEEE": 1, "GGGG": 2, "GGGA": 2}
 
 
+def test_pairs_worth_aligning_lose_no_identity(spark):
+    texts = sorted(set(family(13, 12, 6, (3, 30), 6)) | {"K", "KR", "KFAK", "KAAK", "R"})
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, res string")
+    i = similarity.pairwise_identity(F.col("ra"), F.col("rb"))
+    both = similarity.kmer_pairs(df).join(df.toDF("a", "ra"), "a").join(df.toDF("b", "rb"), "b").select("a", "b", i.alias("i"))
+    want = {(r.a, r.b) for r in both.collect() if r.i.identity >= 0.7}
+    got = {tuple(sorted((r.a, r.b))) for r in similarity.worth_aligning(df).collect()}
+    assert want <= got and got <= {(r.a, r.b) for r in both.collect()}
+
+
 def test_nearest_vectors_and_ties(spark):
     g = np.random.default_rng(3)
     v = g.normal(size=(60, 5)).round(2)
