@@ -9,14 +9,16 @@ each text. Two texts meet if they share a listed token.
    block holds every text that lists one of its tokens. A row a posting would cost several times
    the bytes and the CPU of the blocks.
 2. Each reduce task takes the blocks of one bucket, derives the listed tokens, sorts the postings by
-   token and walks the lists. Pairs pass exact bounds on length, place and letter counts first.
+   token and walks the lists. Pairs pass exact bounds on length and letter counts first.
    A pair is kept only in the bucket of its first shared listed token, so no later distinct is
-   needed. The caller's `verify` sees each pair once, with both texts at hand.
+   needed. The caller's `verify` sees each pair once, with both texts at hand. The bounds are
+   therefore those of the pair: one that asks a single token (as for its place) would drop a pair
+   in its only bucket where that token stands in a block that moved.
 3. Tokens that very many texts list (`hot_tokens`) are salted: their texts fall into chunks, and
    each pair of chunks is a list of its own in some bucket. No pair is lost, no task gets them all.
 
-The bounds are those of the indel ratio r = 2 LCS / (m + n) > `ratio`: aligned matches lie at most
-m + n - 2 LCS places apart, counted from both ends, and letter counts differ by no more than that.
+The bounds are those of the indel ratio r = 2 LCS / (m + n) > `ratio`: lengths and letter counts
+differ by no more than m + n - 2 LCS.
 """
 
 from __future__ import annotations
@@ -35,7 +37,6 @@ from resiq.functions.lcs import lcs_codes, residue_codes
 Q = 5
 SPAN = 26**Q
 CHUNK = 1 << 13
-WILD = 0xFFFF
 #: A token with more postings than this is salted into chunks of this many texts.
 HOT = 8192
 #: Texts for each bucket, which bounds a reduce task's memory: a bucket gets the postings of so many texts.
@@ -160,11 +161,10 @@ class Postings:
 
     text: np.ndarray
     key: np.ndarray
-    pos: np.ndarray
 
 
 def tokens(t: Texts, ranking: Ranking, whole: bool = False) -> Postings:
-    """Listed tokens (all tokens if `whole`) of the texts; pos is WILD for a token that a text has more than once."""
+    """Listed tokens (all tokens if `whole`) of the texts."""
     parts = []
     for lo in range(0, len(t), CHUNK):
         rows = slice(lo, min(len(t), lo + CHUNK))
@@ -181,29 +181,24 @@ def tokens(t: Texts, ranking: Ranking, whole: bool = False) -> Postings:
         ok = np.flatnonzero((place <= size[owner] - Q)[: len(code)])
         owner = owner[ok].astype(np.uint64)
         code = code[ok] + t.grp[rows].astype(np.uint32)[owner.astype(np.int64)] * np.uint32(SPAN)
-        # owner, key and place in one number: one sort of integers orders them all
-        packed = (owner << np.uint64(48)) | (ranking.key(code).astype(np.uint64) << np.uint64(16)) | np.minimum(place[ok], WILD).astype(np.uint64)
+        # owner and key in one number: one sort of integers orders both
+        packed = (owner << np.uint64(32)) | ranking.key(code).astype(np.uint64)
         packed.sort()
-        named = packed >> np.uint64(16)
-        new = np.ones(len(named), bool)
-        np.not_equal(named[1:], named[:-1], out=new[1:])
-        head = np.flatnonzero(new)
-        many = np.diff(head, append=len(named)) > 1
-        packed = packed[head]
-        owner = (packed >> np.uint64(48)).astype(np.int64)
-        key = ((packed >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        place = (packed & np.uint64(WILD)).astype(np.int32)
-        place[many] = WILD
+        new = np.ones(len(packed), bool)
+        np.not_equal(packed[1:], packed[:-1], out=new[1:])
+        packed = packed[new]
+        owner = (packed >> np.uint64(32)).astype(np.int64)
+        key = packed.astype(np.uint32)
         if not whole:
             count = np.bincount(owner, minlength=n)
             rank = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
             keep = rank < ranking.listed(count)[owner]
             if ranking.cosine:
                 keep &= ranking.needed(owner, ranking.code(key), count)
-            owner, key, place = owner[keep], key[keep], place[keep]
-        parts.append((owner + lo, key, place))
+            owner, key = owner[keep], key[keep]
+        parts.append((owner + lo, key))
     if not parts:
-        return Postings(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int32))
+        return Postings(np.zeros(0, np.int64), np.zeros(0, np.uint32))
     return Postings(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
 
@@ -230,7 +225,7 @@ class Plan:
                     rows.append(own)
                     names.append(lists[own] | (np.minimum(chunk, other) * n + np.maximum(chunk, other) + 1).astype(np.uint64))
             rows, lists = np.concatenate(rows), np.concatenate(names)
-            p = Postings(p.text[rows], p.key[rows], p.pos[rows])
+            p = Postings(p.text[rows], p.key[rows])
         # A salted list goes by its chunks as well
         low = (lists & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         bucket = mix(mix(p.key) ^ (low * np.uint32(0x9E3779B1))) % np.uint32(self.buckets)
@@ -249,9 +244,9 @@ def listed_here(t: Texts, plan: Plan, bucket: int) -> tuple[Postings, np.ndarray
         few = t.take(rows)
         p, lists, where = plan.spread(tokens(few, plan.ranking), few.tid)
         own = np.flatnonzero(where == bucket)
-        parts.append((p.text[own] + lo, p.key[own], p.pos[own], lists[own]))
+        parts.append((p.text[own] + lo, p.key[own], lists[own]))
     cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    return Postings(*cols[:3]), cols[3]
+    return Postings(*cols[:2]), cols[2]
 
 
 def regroup(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Iterator[Texts]:
@@ -331,9 +326,8 @@ def candidates(t: Texts, plan: Plan, bucket: int, ratio: float, allowed: Callabl
     """Pairs of rows of t that share a list of this bucket and pass the bounds, each once."""
     p, lists = listed_here(t, plan, bucket)
     sort = np.lexsort((t.size[p.text], lists))
-    name, text, pos = lists[sort], p.text[sort], p.pos[sort].astype(np.int32)
+    name, text = lists[sort], p.text[sort]
     size, sig = t.size[text].astype(np.int32), signature(t)[:, text]  # in the lists' order: read in sequence below
-    tail = size - pos
     hot = (name & np.uint64(0xFFFFFFFF)) > 0
     chunk = np.zeros(len(name), np.int64)
     for k, n in plan.hot.items():
@@ -350,11 +344,10 @@ def candidates(t: Texts, plan: Plan, bucket: int, ratio: float, allowed: Callabl
             i, j, room = i[near], j[near], room[near]
         ok = np.flatnonzero(np.bitwise_count(sig[0, i] ^ sig[0, j]) + np.bitwise_count(sig[1, i] ^ sig[1, j]) < room)
         u, v = i[ok], j[ok]
-        shift = np.abs(pos[u] - pos[v]) + np.abs(tail[u] - tail[v])
-        fine = (shift < room[ok]) | (pos[u] == WILD) | (pos[v] == WILD)
         if plan.hot:
-            fine &= ((name[u] & np.uint64(0xFFFFFFFF)) == 0) | (chunk[u] != chunk[v]) | same_chunk(name[u], chunk[u], plan.hot)
-        a, b = text[u[fine]], text[v[fine]]
+            fine = ((name[u] & np.uint64(0xFFFFFFFF)) == 0) | (chunk[u] != chunk[v]) | same_chunk(name[u], chunk[u], plan.hot)
+            u, v = u[fine], v[fine]
+        a, b = text[u], text[v]
         if allowed is not None and len(a):
             ok = allowed(t, a, b)
             a, b = a[ok], b[ok]

@@ -45,6 +45,24 @@ def test_salted_lists_lose_nothing(spark, texts):
     assert run(spark, short, hot=4, buckets=5) == run(spark, short, buckets=3)
 
 
+def test_moved_blocks_are_found_at_any_number_of_buckets(spark, tmp_path):
+    """The first shared token of many of these pairs stands in a block that moved from one end to the other."""
+    r = random.Random(21)
+    out = []
+    for _ in range(60):
+        block, rest = ("".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n)) for n in (8, 42))
+        out += [block + rest, rest + block]
+    want = truth(out)
+    assert {(i, i + 1) for i in range(0, len(out), 2)} <= want
+    for buckets in (3, 500):
+        assert run(spark, out, buckets=buckets) == want
+    rows = [(i, t, i % 2) for i, t in enumerate(out)]
+    both = pairs.copies(table_of(spark, rows, "batch_no int"), "seq", 0, 25, "ord", "batch_no")
+    for buckets in (3, 100):
+        got = batches.BatchIndex(spark, str(tmp_path / f"m{buckets}"), buckets=buckets).ingest(both).collect()
+        assert {(x.ord_old, x.ord_new) for x in got} == naive_history(rows)
+
+
 def test_a_third_of_rows_is_one_text(spark, texts):
     few = [t for t in texts[:40] if t and len(t) < 100]
     many = few + [few[0]] * 60
