@@ -318,13 +318,20 @@ KMERS = f"""WITH t AS (SELECT {R} AS s, min(ord) AS id FROM conditioned_peptides
 
 @query("c8_kmer_join", KMERS)
 def c8(spark, sf):
+    """A part that SQL can follow: 3-mers of val texts. See c8_kmer_join_all."""
     return similarity.kmer_pairs(texts(spark, sf, "val").select(F.col("ord").alias("id"), F.col("s").alias("res")), k=3)
 
 
+@query("c8_kmer_join_all")
+def c8_all(spark, sf):
+    """All different texts by 2-mers, short ones with each other."""
+    return similarity.kmer_pairs(similarity.distinct_texts(by_split(spark, sf), "s"))
+
+
 @query("c9_nearest_train")
 def c9(spark, sf):
     """Every hundredth row against all training texts; also K9."""
-    rows = by_split(spark, sf).where("length <= 60")
+    rows = by_split(spark, sf)
     q = rows.where("ord % 100 = 0").select(F.col("ord").alias("id"), F.col("s").alias("res"))
     best = similarity.nearest_identity(q, rows.where("split = 'train'").select(F.col("ord").alias("id"), F.col("s").alias("res")))
     return best.select("id", F.round("identity", 6).alias("identity"), F.round("coverage", 6).alias("coverage"), "nearest")
@@ -368,7 +375,7 @@ def k7(spark, sf):
 
 @query("k8_single_linkage")
 def k8(spark, sf):
-    return similarity.single_linkage(by_split(spark, sf).where("split = 'val' and length <= 60"), seq="s")
+    return similarity.single_linkage(by_split(spark, sf), seq="s")
 
 
 # ---- L: statistics
