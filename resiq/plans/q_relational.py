@@ -35,6 +35,17 @@ def a1(spark, sf):
     return fasta.fasta_text(text, "text", "ord")
 
 
+#: Lines trimmed and joined without blank ones, as the parser does it: white space inside a line stays.
+JOINED = "upper(array_to_string(list_filter(list_transform(string_split(regexp_replace(sequence, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ''))"
+
+
+@query("a1_fasta_scan_all", f"SELECT ord, 1 AS pos, trim(header) AS header, {JOINED} AS sequence FROM antibacterial_fasta WHERE sequence IS NOT NULL")
+def a1_all(spark, sf):
+    """As a1_fasta_scan, with the sequences that hold spaces."""
+    text = records(spark, sf).where("sequence is not null").select("ord", F.concat(F.lit("; a remark\n>"), F.col("header"), F.lit("\r\n"), F.col("sequence"), F.lit("\n\n")).alias("text"))
+    return fasta.fasta_text(text, "text", "ord")
+
+
 @query("a4_first_n_fasta", "SELECT ord, header FROM antibacterial_fasta ORDER BY ord LIMIT 25")
 def a4(spark, sf):
     return fasta.first_records(records(spark, sf), 25).select("ord", "header")
@@ -52,6 +63,12 @@ def a7(spark, sf):
     return tables.json_cells(df)
 
 
+@query("a7_json_cells_all", "SELECT ord, to_json(string_split(dbs, '|'))::VARCHAR AS dbs FROM antibacterial_fasta WHERE dbs IS NOT NULL")
+def a7_all(spark, sf):
+    """As a7_json_cells, with the texts that JSON has to escape."""
+    return tables.json_cells(records(spark, sf).where("dbs is not null").select("ord", F.split("dbs", "[|]").alias("dbs")))
+
+
 @query("a8_score_csv", "SELECT ord, id, printf('%.6f', score) AS score, printf('%.6f', hc50) AS hc50 FROM scored_candidates WHERE score IS NOT NULL AND hc50 IS NOT NULL AND NOT isnan(hc50)")
 def a8(spark, sf):
     df = scored(spark, sf).where("score is not null and hc50 is not null and not isnan(hc50)").select("ord", "id", "score", "hc50")

@@ -1,5 +1,7 @@
 """Queries cover their whole tables: rows of every split, length and content."""
 
+import json
+
 from resiq.plans import catalog
 
 
@@ -36,3 +38,17 @@ def test_kmer_pairs_of_all_splits_with_short_texts(spark, tmp_path):
 def test_nearest_train_of_long_texts(spark, tmp_path):
     (r,) = run(spark, tmp_path, "c9_nearest_train", conditioned_peptides=peptides())
     assert (r.id, r.nearest, round(r.identity, 6)) == (100, 4, 0.975)
+
+
+def test_json_cells_escape(spark, tmp_path):
+    dbs = ['DRAMP|"a, b"|APD', "x\ty|z", "plain|", None]
+    rows = [(i, "h", d, "ACD") for i, d in enumerate(dbs)]
+    got = {r.ord: r.dbs for r in run(spark, tmp_path, "a7_json_cells_all", antibacterial_fasta=(rows, "ord long, header string, dbs string, sequence string"))}
+    assert {i: json.loads(x) for i, x in got.items()} == {i: d.split("|") for i, d in enumerate(dbs) if d is not None}
+
+
+def test_fasta_scan_of_sequences_with_spaces(spark, tmp_path):
+    seqs = ["AC DE", " ac\n\n d e \r\nFG", "ACD", None]
+    rows = [(i, "h", "d", s) for i, s in enumerate(seqs)]
+    got = {r.ord: r.sequence for r in run(spark, tmp_path, "a1_fasta_scan_all", antibacterial_fasta=(rows, "ord long, header string, dbs string, sequence string"))}
+    assert got == {0: "AC DE", 1: "ACD EFG", 2: "ACD"}
