@@ -305,11 +305,18 @@ def c3(spark, sf):
 
 @query("c4_max_similarity", f"WITH {CAND}, {REF}, c AS (SELECT ord, s AS b FROM cand WHERE length(s) BETWEEN 8 AND 50 AND regexp_full_match(s, '[{AA}]+') ORDER BY ord LIMIT 100), r AS (SELECT {MASKS.format(s='s')} AS m, length(s)::INT AS n FROM ref), x AS (SELECT ord, 2.0::DOUBLE * {LCS} / (length(b) + n) AS q FROM c, r) SELECT ord, round(max(q) FILTER (q > 0.5), 6) AS max_ratio FROM x GROUP BY 1")
 def c4(spark, sf):
-    """The 100 best candidates' largest similarity with the reference."""
+    """The largest similarity with the reference of the 100 candidates of smallest ord. See c4_max_similarity_all."""
     cand, ref = clean_candidates(spark, sf)
     return similarity.max_similarity(cand.orderBy("ord").limit(100), ref).withColumn("max_ratio", F.round("max_ratio", 6))
 
 
+@query("c4_max_similarity_all")
+def c4_all(spark, sf):
+    """Every candidate's largest similarity with the reference, so any top list's too."""
+    cand, ref = clean_candidates(spark, sf)
+    return similarity.max_similarity(cand, ref).withColumn("max_ratio", F.round("max_ratio", 6))
+
+
 KMERS = f"""WITH t AS (SELECT {R} AS s, min(ord) AS id FROM conditioned_peptides WHERE length({R}) BETWEEN 8 AND 50 AND split = 'val' GROUP BY 1),
  g AS (SELECT id, length(s) AS n, unnest(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)))) AS g FROM t),
  m AS (SELECT a.id AS a, b.id AS b, least(a.n, b.n) AS lo, greatest(a.n, b.n) AS hi, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3, 4)

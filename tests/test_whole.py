@@ -1,8 +1,10 @@
 """Queries cover their whole tables: rows of every split, length and content."""
 
 import json
+import random
 
 from resiq.plans import catalog
+from tests.brute import family, lcs
 
 
 def run(spark, path, name, **tables):
@@ -52,3 +54,14 @@ def test_fasta_scan_of_sequences_with_spaces(spark, tmp_path):
     rows = [(i, "h", "d", s) for i, s in enumerate(seqs)]
     got = {r.ord: r.sequence for r in run(spark, tmp_path, "a1_fasta_scan_all", antibacterial_fasta=(rows, "ord long, header string, dbs string, sequence string"))}
     assert got == {0: "AC DE", 1: "ACD EFG", 2: "ACD"}
+
+
+def test_largest_similarity_of_all_candidates(spark, tmp_path):
+    texts = family(4, 30, 7, (12, 40), 5)
+    random.Random(1).shuffle(texts)
+    rows = [(i, 1 if i < 40 else 9, s) for i, s in enumerate(texts)]
+    ref = {s for _, b, s in rows if b == 1 and 8 <= len(s) <= 50}
+    ratio = {i: max(2 * lcs(s, x) / (len(s) + len(x)) for x in ref) for i, b, s in rows if b == 9 and 8 <= len(s) <= 50}
+    want = {i: round(x, 6) if x > 0.5 else None for i, x in ratio.items()}
+    assert len(want) > 100
+    assert {r.ord: r.max_ratio for r in run(spark, tmp_path, "c4_max_similarity_all", scored_candidates=(rows, "ord long, batch_no int, seq string"))} == want
