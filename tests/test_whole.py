@@ -3,6 +3,7 @@
 import json
 import random
 
+from resiq.operators.segment import Segmenter
 from resiq.plans import catalog
 from tests.brute import family, lcs
 
@@ -65,3 +66,12 @@ def test_largest_similarity_of_all_candidates(spark, tmp_path):
     want = {i: round(x, 6) if x > 0.5 else None for i, x in ratio.items()}
     assert len(want) > 100
     assert {r.ord: r.max_ratio for r in run(spark, tmp_path, "c4_max_similarity_all", scored_candidates=(rows, "ord long, batch_no int, seq string"))} == want
+
+
+def test_quoted_lists_stay_whole():
+    for known in ([], ["A", "B"], ["A", "B", "C", "D"]):
+        s = Segmenter(known)
+        assert s('"x;A;B;y";z') == ["x;A;B;y", "z"]
+        assert s("A|'a;b;c;d;e;f;g;h;i;j'") == ["A", "a;b;c;d;e;f;g;h;i;j"]
+        assert s('"A;B;C;D;A;B";C') == ["A;B;C;D;A;B", "C"]
+        assert s('"a;B" c;A') == ['"a', 'B" c', "A"]
