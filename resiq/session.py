@@ -46,6 +46,41 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder wherever it lies."""
+    _, at, fs = _folder(spark, path)
+    fs.delete(at, True)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file on any file system, whole or not at all: written beside and renamed."""
+    jvm, at, fs = _folder(spark, path)
+    aside = jvm.org.apache.hadoop.fs.Path(at.getParent(), "_" + at.getName())
+    out = fs.create(aside, True)
+    out.write(bytearray(data))
+    out.close()
+    if not fs.rename(aside, at):
+        raise OSError(f"cannot rename to {path}")
+
+
+def read_folder(spark: SparkSession, path: str) -> dict[str, bytes]:
+    """The small files of a folder by name, without unfinished ones; none if there is no such folder."""
+    jvm, at, fs = _folder(spark, path)
+    out = {}
+    for f in fs.listStatus(at) if fs.exists(at) else []:
+        if not f.getPath().getName().startswith(("_", ".")):
+            stream = fs.open(f.getPath())
+            out[f.getPath().getName()] = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            stream.close()
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
