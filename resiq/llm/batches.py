@@ -1,114 +1,252 @@
-"""Deduplicating new batches against all history (problem 3) through an incremental inverted index."""
+"""Deduplicating new batches against all history (problem 3) through an incremental inverted index.
+
+The index is a folder:
+
+* `entries-*`, a table (bucket, part, n, blob) bucketed by token bucket: the rare-token prefixes of all accepted texts as
+  packed posting blocks. A delivery reads it where it lies: the buckets are the partitions of the probe, and nothing of the
+  history goes through a shuffle.
+* `plan-*`: the tokens' order, the number of buckets and the salted tokens, a *generation*. They are made from counts over a
+  corpus and frozen, as prefixes must share one order. When the index has grown by GROWTH, `refresh` makes a new
+  generation from the accepted texts, without repeated ones; that costs a pass, but a constant share of all work.
+* `marks`: a file a delivery, written last. A part without a mark does not count, so a delivery that broke off is simply
+  made again.
+
+A delivery's texts are packed into prefixes, and in each bucket only the lists in which a new text stands are walked, new
+against old.
+"""
 
 from __future__ import annotations
 
 import json
+import secrets
 import uuid
+import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from resiq.llm.blockjoin import Plan, Ranking, Texts, blocks, bucket_count, hot_tokens, join_blocks, shared, with_freq
-from resiq.llm.pairs import RATIO, copies, rows_of, texts_of
-from resiq.session import cut, shared_dir, table
+from resiq.llm.blockjoin import HOT, LEFT, RIGHT, Plan, at_home, blocks, broadcast_table, bucket_count, list_pairs, shared_of, sorted_out
+from resiq.llm.grams import MINI, Counts, Postings, Ranking, Texts, token_counts, tokens
+from resiq.llm.pairs import RATIO, copies, text_key
+from resiq.session import cut, drop_path, read_folder, shared_dir, table, write_bytes
 
 #: Texts that are alike share so many 5-grams at least (2 of 21 at 25 residues).
 OVERLAP = 2
+#: A new generation is made when there are this many times the entries that the present one was made for.
+GROWTH = 8
 
 
-def prefix(overlap: int = OVERLAP) -> Ranking:
+def prefix(overlap: int = OVERLAP, classes=None) -> Ranking:
     """Prefix filter: two texts that share `overlap` tokens share one among the first n - overlap + 1 of either,
     whatever the common order. Rarest first, so that the lists that are left out are the longest."""
-    return Ranking("rare", lambda n: np.maximum(n - overlap + 1, np.minimum(n, 1)))
+    return Ranking(lambda n: np.maximum(n - overlap + 1, np.minimum(n, 1)), classes)
+
+
+def overlap_verify(overlap: int = OVERLAP):
+    def verify(t: Texts, p: Postings, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        s = shared_of(p, count, a, b)
+        return np.bincount(s.pair, minlength=len(a)) >= np.minimum(overlap, np.minimum(s.one, s.two))
+
+    return verify
+
+
+def once(t: Texts) -> np.ndarray:
+    """A row for each different text: that of the smallest id. Texts are told apart by two sums of 64 bits."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    place = (np.arange(int(t.size.max(initial=0)), dtype=np.uint64) + np.uint64(1)) * odd
+    at = place[np.arange(len(t.flat)) - np.repeat(t.start, t.size)] + t.flat.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    sums = []
+    for shift in (29, 32):
+        at = (at ^ (at >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+        total = np.append(np.uint64(0), np.cumsum(at))
+        sums.append(total[t.start + t.size] - total[t.start])
+    order = np.lexsort((t.tid, *sums))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (*sums, t.size)], axis=0)
+    return np.sort(order[new])
+
+
+def probe(new: list[bytes], old: list[bytes], plan: Plan, bucket: int, overlap: int = OVERLAP, tally: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of new texts, ids of old ones) that are the same or alike and at home in this bucket. Only lists in which
+    a new text stands are walked, and only new against old; of equal old texts that of the smallest id counts.
+    `tally` gets the number of pairs of postings that were looked at."""
+    t, _, _, text, name = sorted_out(new, plan, bucket)
+    u, _, _, other, list_of = sorted_out(old, plan, bucket)
+    asked = np.unique(name)
+    at = np.minimum(np.searchsorted(asked, list_of), len(asked) - 1)
+    met = np.flatnonzero(asked[at] == list_of)
+    used = np.flatnonzero(np.bincount(other[met], minlength=len(u)))
+    few = u.take(used)
+    rows = once(few)
+    slot = np.full(len(u), -1, np.int64)
+    slot[used[rows]] = np.arange(len(rows)) + len(t)
+    met = met[slot[other[met]] >= 0]
+    side = lambda x, which: Texts(x.tid, x.flat, x.size, x.grp, np.full(len(x), which, np.int32))
+    both = Texts.concat([side(t, RIGHT), side(few.take(rows), LEFT)])
+    both, a, b = list_pairs(both, plan, bucket, np.concatenate([text, slot[other[met]]]), np.concatenate([name, list_of[met]]), overlap_verify(overlap), RATIO, True, tally)
+    return both.tid[np.minimum(a, b)], both.tid[np.maximum(a, b)]  # new texts stand before old ones
+
+
+def hash_of_int(v: np.ndarray) -> np.ndarray:
+    """Spark's hash of an integer column, by which it deals rows to buckets (Murmur3, seed 42)."""
+    u = np.uint32
+    turn = lambda x, k: (x << u(k)) | (x >> u(32 - k))
+    k = turn(v.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593)
+    h = turn(u(42) ^ k, 13) * u(5) + u(0xE6546B64) ^ u(4)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).view(np.int32)
+
+
+def numbers(n: int) -> list[int]:
+    """For each bucket a number that Spark deals to the partition of the bucket: each task gets one bucket."""
+    v = np.arange(n * (64 + 2 * n.bit_length()))
+    where, first = np.unique(hash_of_int(v).astype(np.int64) % n, return_index=True)
+    return [int(x) for x in v[first]]
 
 
 class BatchIndex:
-    """Inverted lists of accepted texts in a folder, partitioned by token bucket.
+    """Inverted lists of accepted texts in a folder; see the module.
 
-    `ingest` takes one or more batches: (ord, batch_no, res). It packs the rare-token prefixes of the new
-    texts, appends them to the folder, and probes the buckets that the new texts touch: a row meets the texts
-    whose first batch is earlier. Texts of earlier calls are neither read from their tables nor joined with
-    each other; their lists are walked only where a new text lists the same token.
+    counts: statistics of a corpus like what is to come, in place of the first delivery's. They and the number of
+    buckets bear on speed and memory only."""
 
-    The order of tokens (letter frequencies of the first call), the number of buckets and the salted tokens
-    are fixed when the folder is made. They bear on speed only. Deliveries must come in the order of their
-    batch numbers. A call that is broken off leaves a folder `delivery=n` without its mark, which the next
-    call overwrites. Ids are ords: unique over all deliveries."""
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, overlap: int = OVERLAP, counts: Counts | None = None, hot: int = HOT, growth: int = GROWTH) -> None:
+        self.spark, self.path, self.buckets, self.overlap, self.counts, self.hot, self.growth = spark, path, buckets, overlap, counts, hot, growth
+        self.plans: dict[int, Plan] = {}
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, overlap: int = OVERLAP) -> None:
-        self.spark, self.path, self.buckets, self.overlap = spark, path, buckets, overlap
-        self.allowed = lambda t, a, b: (t.x[a] < t.y[b]) | (t.x[b] < t.y[a])
+    def _marks(self) -> list[dict]:
+        """Of all finished deliveries, in order."""
+        return sorted(map(json.loads, read_folder(self.spark, f"{self.path}/marks").values()), key=lambda m: m["no"])
 
-    def _meta(self) -> dict | None:
-        try:
-            return json.loads(self.spark.read.text(f"{self.path}/meta").first()[0])
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+    def _mark(self, own: dict, part: int, no: int, n: int) -> None:
+        mark = {k: own[k] for k in ("generation", "buckets", "made_for")} | {"part": part, "no": no, "n": n}
+        write_bytes(self.spark, f"{self.path}/marks/{no:09d}-{part}", json.dumps(mark).encode())
 
-    def _write(self, meta: dict) -> None:
-        self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/meta")
+    def _entries(self, mark: dict) -> str:
+        """The name in this session's catalog of a table whose files are the index."""
+        folder = f"{self.path}/entries-{mark['generation']}"
+        name = f"resiq_entries_{zlib.crc32(folder.encode()):08x}_{mark['generation']:x}"
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} (bucket int, part long, n int, blob binary) USING parquet CLUSTERED BY (bucket) INTO {mark['buckets']} BUCKETS LOCATION '{folder}'")
+        return name
+
+    def _append(self, packed: DataFrame, mark: dict) -> None:
+        name = self._entries(mark)
+        packed.repartition(mark["buckets"], "bucket").write.mode("append").format("parquet").bucketBy(mark["buckets"], "bucket").saveAsTable(name)  # one file a bucket
+
+    def close(self) -> None:
+        """Forget the tables in the catalog and remove the folder."""
+        for mark in {m["generation"]: m for m in self._marks()}.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._entries(mark)}")
+        drop_path(self.spark, self.path)
+
+    def _generation(self, counts: Counts) -> dict:
+        n = self.buckets or bucket_count(self.spark, counts.postings)
+        own = {"generation": secrets.randbits(62), "buckets": n, "made_for": max(1, counts.n)}
+        plan = Plan.of(prefix(self.overlap), counts, n, self.hot)
+        for k, cell in {"df": counts.df, "hot": plan.hot, "chunks": plan.chunks, "spread": plan.spread_out}.items():
+            write_bytes(self.spark, f"{self.path}/plan-{own['generation']}/{k}", zlib.compress(cell.tobytes(), 1))
+        return own
+
+    def _plan(self, mark: dict) -> Plan:
+        """The generation's plan: a byte a token, 12 MB at any size, and the salted tokens."""
+        key = mark["generation"]
+        if key not in self.plans:
+            cell = {k: zlib.decompress(v) for k, v in read_folder(self.spark, f"{self.path}/plan-{key}").items()}
+            ranking = prefix(self.overlap, broadcast_table(self.spark, np.frombuffer(cell["df"], np.uint8)))
+            self.plans[key] = Plan(ranking, mark["buckets"], np.frombuffer(cell["hot"], np.uint32), np.frombuffer(cell["chunks"], np.int64), np.frombuffer(cell["spread"], bool)[:MINI])
+        return self.plans[key]
+
+    def _packed(self, texts: DataFrame, mark: dict, part: int) -> DataFrame:
+        number = F.element_at(F.array(*(F.lit(v) for v in numbers(mark["buckets"]))), F.col("bucket") + 1)
+        plain = texts.select("tid", "res", F.lit(0).alias("grp"), F.lit(0).alias("x"))
+        return blocks(plain, self._plan(mark)).select(number.alias("bucket"), F.lit(part).alias("part"), F.col("bucket").alias("n"), "blob")
+
+    def refresh(self) -> None:
+        """Make a new generation from the accepted texts: their counts, buckets and salted tokens, each text once."""
+        marks = self._marks()
+        if not marks:
+            return
+        last = marks[-1]
+        plan = self._plan(last)
+
+        def accepted(batches):
+            for b in batches:
+                for n, blob in zip(b.column("n").to_pylist(), b.column("blob"), strict=True):
+                    t, _, _ = Texts.unpack(blob.as_buffer())
+                    p = tokens(t, plan.ranking)
+                    first = np.flatnonzero(np.diff(p.text, prepend=-1))  # a text comes from the bucket of its first token
+                    own = at_home(plan, p.key[first], t.tid[p.text[first]], t.tid[p.text[first]], n)
+                    t = t.take(p.text[first][own])
+                    yield pa.RecordBatch.from_arrays([pa.array(t.tid), pa.array(t.letters())], ["tid", "res"])
+
+        parts = [m["part"] for m in marks if m["generation"] == last["generation"]]
+        rows = self.spark.table(self._entries(last)).where(F.col("part").isin(parts)).select("n", "blob").mapInArrow(accepted, "tid long, res string")
+        texts = cut(rows.groupBy("res").agg(F.min("tid").alias("tid")))
+        own = self._generation(token_counts(texts.select("tid", "res", F.lit(0).alias("grp"), F.lit(0).alias("x")), self.hot))
+        part = secrets.randbits(62)
+        self._append(self._packed(texts, own, part), own)
+        self._mark(own, part, last["no"] + 1, texts.count())
 
     def ingest(self, rows: DataFrame) -> DataFrame:
-        """(ord_old, ord_new) for each row that repeats an earlier batch's text or is alike to one: the smallest
-        such ord. Rows with a null batch_no are in no batch. An empty delivery gives no rows."""
-        rows = rows.where("batch_no is not null")
-        # A text is known by its first row in its first batch, so a pair tells that batch and ord by itself
-        texts = texts_of(rows, F.min("batch_no").cast("int").alias("x"), F.max("batch_no").cast("int").alias("y"), first=F.min_by("ord", F.struct("batch_no", "ord")))
-        meta = self._meta()
-        ranking = prefix(self.overlap)
-        if meta is None:
-            ranking = with_freq(ranking, texts)
-            plan = Plan(ranking, self.buckets or bucket_count(texts), hot_tokens(texts, ranking))
-            meta = {"freq": ranking.freq, "buckets": plan.buckets, "hot": [*plan.hot.items()], "deliveries": 0}
-        else:
-            plan = Plan(Ranking(ranking.order, ranking.listed, tuple(meta["freq"])), meta["buckets"], {int(k): n for k, n in meta["hot"]})
-        d = meta["deliveries"]
-        blocks(texts, plan).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks/delivery={d}")
-        steps(rows, texts).write.mode("overwrite").parquet(f"{self.path}/steps/delivery={d}")
-        self._write(meta | {"deliveries": d + 1})
-
-        kept = self.spark.read.schema("blob binary, delivery int, bucket int").parquet(f"{self.path}/blocks").where(F.col("delivery") <= d)
-        touched = [r[0] for r in kept.where(F.col("delivery") == d).select("bucket").distinct().collect()]  # at most `buckets`
-        packed = kept.where(F.col("bucket").isin(touched)).select("bucket", "blob", (F.col("delivery") < d).alias("old"))
-        # Equal texts of different deliveries meet as well: each pair of ids counts
-        pairs = join_blocks(packed, plan, self._verify(plan.ranking), RATIO, self.allowed)
-        return self._report(rows, texts, pairs, d)
-
-    def _verify(self, ranking: Ranking):
-        overlap = self.overlap
-
-        def verify(t: Texts, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            s = shared(t, a, b, ranking, whole=True)
-            return np.bincount(s.pair, minlength=len(a)) >= np.minimum(overlap, np.minimum(s.one, s.two))
-
-        return verify
-
-    def _report(self, rows: DataFrame, texts: DataFrame, pairs: DataFrame, d: int) -> DataFrame:
-        way = lambda old, new: pairs.where(f"{new}y > {old}x").select(F.col(new).alias("tid"), F.col(old).alias("other"), F.col(f"{old}x").alias("batch"))
-        ways = cut(way("a", "b").unionAll(way("b", "a")).unionAll(texts.where("x < y").select("tid", F.col("tid").alias("other"), F.col("x").alias("batch"))))
-        told = ways.select("tid", "batch", F.shiftright("other", 8).alias("first"))
-        # Texts that come back with a smaller ord in a later batch; none where ords follow the batches
-        more = self.spark.read.schema("other long, batch int, first long, delivery int").parquet(f"{self.path}/steps").where(F.col("delivery") <= d)
-        told = told.unionAll(ways.select("tid", "other").join(more.select("other", "batch", "first"), "other").select("tid", "batch", "first"))
-        # No more entries a text than there are batches
-        entries = told.groupBy("tid", "batch").agg(F.min("first").alias("first")).groupBy("tid").agg(F.collect_list(F.struct("batch", "first")).alias("entries"))
-        single = texts.where("n = 1").select("tid", F.shiftright("tid", 8).alias("ord"), F.col("x").alias("batch_no"))
-        every = rows_of(rows.withColumn("batch_no", F.col("batch_no").cast("int")), texts, "batch_no").unionAll(single)
-        earlier = F.expr("array_min(transform(filter(entries, e -> e.batch < batch_no), e -> e.first))")
-        return every.join(entries, "tid").select(earlier.alias("ord_old"), F.col("ord").alias("ord_new")).where("ord_old is not null")
-
-
-def steps(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(other, batch, first): for each text its later batches in which a smaller ord appears than in all earlier ones.
-    With ords in the order of batches there are none."""
-    many = rows_of(rows, texts, "batch_no").groupBy("tid", "batch_no").agg(F.min("ord").alias("first"))
-    before = W.partitionBy("tid").orderBy("batch_no").rowsBetween(W.unboundedPreceding, -1)
-    many = many.withColumn("least", F.min("first").over(before)).where("first < least")
-    return many.select(F.col("tid").alias("other"), F.col("batch_no").cast("int").alias("batch"), "first")
+        """(ord_old, ord_new) for each row of one delivery that repeats an accepted row's text or is alike to one: the
+        smallest such ord. rows: (ord, res), ord unique over all deliveries. Rows of one delivery are not compared
+        with each other. An empty delivery gives no rows and leaves a mark. The result is checkpointed, since by the
+        time it is read the index may have grown."""
+        keyed = rows.select("ord", "res", *text_key(F.lit(0)))
+        texts = cut(keyed.groupBy("k1", "k2").agg(F.min("ord").alias("tid"), F.first("res").alias("res")))
+        told = texts.join(self.accept(texts), "tid").select("k1", "k2", "old")
+        return cut(keyed.join(told, ["k1", "k2"]).select(F.col("old").alias("ord_old"), F.col("ord").alias("ord_new")))
+
+    def accept(self, texts: DataFrame) -> DataFrame:
+        """(tid, old) for each of a delivery's texts (tid, res), which are all different: the smallest id of the
+        accepted texts that are the same or alike, if there are any. Checkpointed."""
+        marks = self._marks()
+        mark = marks[-1] if marks else None
+        if mark is not None and sum(m["n"] for m in marks if m["generation"] == mark["generation"]) > self.growth * mark["made_for"]:
+            self.refresh()
+            marks = self._marks()
+            mark = marks[-1]
+        if mark is None:
+            mark = self._generation(self.counts or token_counts(texts.select("tid", "res", F.lit(0).alias("grp"), F.lit(0).alias("x")), self.hot))
+        parts = [m["part"] for m in marks if m["generation"] == mark["generation"]]
+        part, plan, overlap = secrets.randbits(62), self._plan(mark), self.overlap
+        self._append(self._packed(texts, mark, part), mark)
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            out = [np.zeros(0, np.int64)] * 2
+            if a.num_rows and b.num_rows:
+                get = lambda x: [v.as_buffer() for v in x.column("blob")]
+                fresh, known = probe(get(a), get(b), plan, a.column("n")[0].as_py(), overlap)
+                order = np.lexsort((known, fresh))  # the smallest of each
+                fresh, known = fresh[order], known[order]
+                one = np.diff(fresh, prepend=-(1 << 62)) != 0
+                out = [fresh[one], known[one]]
+            return pa.table([pa.array(c) for c in out], ["tid", "old"])
+
+        entries = self.spark.table(self._entries(mark))
+        new, old = entries.where(F.col("part") == part), entries.where(F.col("part").isin(parts))
+        near = new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(meet, "tid long, old long")
+        found = cut(near.groupBy("tid").agg(F.min("old").alias("old")))
+        self._mark(mark, part, marks[-1]["no"] + 1 if marks else 0, texts.count())
+        return found
+
+
+def ingest_all(index: BatchIndex, rows: DataFrame) -> DataFrame:
+    """The batches of (ord, batch_no, res) one after the other, by rising number: (ord_old, ord_new) as by `ingest`. Rows
+    with a null number are in no batch. The numbers of the batches come to the driver: one value a delivery."""
+    rows = rows.where("batch_no is not null")
+    keyed = rows.select("batch_no", "ord", "res", *text_key(F.lit(0)))
+    texts = cut(keyed.groupBy("batch_no", "k1", "k2").agg(F.min("ord").alias("tid"), F.first("res").alias("res"), F.count("*").alias("n")))
+    found = texts.sparkSession.createDataFrame([], "tid long, old long")
+    for (n,) in texts.select("batch_no").distinct().orderBy("batch_no").collect():
+        found = found.unionAll(index.accept(texts.where(F.col("batch_no") == n)))
+    told = cut(texts.join(found, "tid").select("batch_no", "k1", "k2", "tid", "old", "n"))
+    many = keyed.drop("res").join(told.where("n > 1"), ["batch_no", "k1", "k2"]).select("old", "ord")
+    return many.unionAll(told.where("n = 1").select("old", "tid")).toDF("ord_old", "ord_new")
 
 
 def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,9 +254,14 @@ def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """All batches as one delivery to a new index; see BatchIndex for deliveries one by one."""
-    index = BatchIndex(spark, f"{shared_dir(spark)}/p3-{uuid.uuid4().hex}")
-    return index.ingest(candidate_rows(spark, sf))
+    """Each batch in turn is a delivery to an index in the shared folder, which is removed in the end. The order of
+    tokens is made from counts over the whole table."""
+    rows = candidate_rows(spark, sf)
+    counts = token_counts(rows.select(F.col("ord").alias("tid"), "res", "grp", F.lit(0).alias("x")), HOT)
+    index = BatchIndex(spark, f"{shared_dir(spark)}/p3-{uuid.uuid4().hex}", counts=counts)
+    out = ingest_all(index, rows)
+    index.close()
+    return out
 
 
 def p3_batches(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,21 +1,16 @@
 """Inverted-list join of short sequences, moved through the shuffle in packed blocks.
 
-A *text* is a sequence of letters A-Z with an id, a group (texts of different groups never meet)
-and two integers for the caller's use. Its *tokens* are its different 5-grams. A `Ranking` puts the
-tokens of every text into one global order and says how many of the first ones are *listed* for
-each text. Two texts meet if they share a listed token.
-
-1. Each map task turns its texts into one compressed block for each bucket of tokens: a bucket's
-   block holds every text that lists one of its tokens. A row a posting would cost several times
-   the bytes and the CPU of the blocks.
-2. Each reduce task takes the blocks of one bucket, derives the listed tokens, sorts the postings by
-   token and walks the lists. Pairs pass exact bounds on length and letter counts first.
-   A pair is kept only in the bucket of its first shared listed token, so no later distinct is
-   needed. The caller's `verify` sees each pair once, with both texts at hand. The bounds are
-   therefore those of the pair: one that asks a single token (as for its place) would drop a pair
-   in its only bucket where that token stands in a block that moved.
-3. Tokens that very many texts list (`hot_tokens`) are salted: their texts fall into chunks, and
-   each pair of chunks is a list of its own in some bucket. No pair is lost, no task gets them all.
+1. Each map task turns its texts into one compressed block for each bucket of tokens: a bucket's block holds every text
+   that lists one of its tokens, once, and the places of these tokens. A token's bucket goes by its minimizer, the 3-gram
+   of smallest hash in it, so that neighbouring tokens mostly share a bucket: a text is copied about half as often as
+   it lists tokens, and no oftener however many buckets there are. Minimizers with too many postings for one bucket
+   are spread by 4-grams.
+2. Each reduce task takes the blocks of one bucket, sorts the postings by token and walks the lists, from each text over
+   those of fitting length. Pairs pass an exact bound on letter counts first. A pair is kept only in the list of
+   its first shared token, so no later distinct is needed: listed tokens are a prefix of the order, so the first
+   shared token of all is listed by both if any is. The caller's `verify` sees each pair once, with both texts at hand.
+3. Tokens that more than HOT texts hold are counted exactly (`token_counts`) and salted: their texts fall into
+   chunks, and each pair of chunks is a list of its own in some bucket. No pair is lost, no task gets them all.
 
 The bounds are those of the indel ratio r = 2 LCS / (m + n) > `ratio`: lengths and letter counts
 differ by no more than m + n - 2 LCS.
@@ -23,297 +18,131 @@ differ by no more than m + n - 2 LCS.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resiq.functions.lcs import lcs_codes, residue_codes
+from resiq.functions.lcs import lcs_codes
+from resiq.llm.grams import CHUNK, NONE, Counts, Postings, Ranking, Texts, codes_at, minimizer, minimizer4, mix, regroup, token_counts, tokens
 
-Q = 5
-SPAN = 26**Q
-CHUNK = 1 << 13
-#: A token with more postings than this is salted into chunks of this many texts.
+#: A token that more texts hold is salted into chunks of this many texts.
 HOT = 8192
-#: Texts for each bucket, which bounds a reduce task's memory: a bucket gets the postings of so many texts.
-TEXTS_A_BUCKET = 60_000
-
-TEXT_SCHEMA = "tid long, res string, grp int, x int, y int"
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 32-bit integers that looks random."""
-    x = x.astype(np.uint32, copy=True)
-    for shift, odd in ((16, 0x7FEB352D), (15, 0x846CA68B)):
-        x ^= x >> np.uint32(shift)
-        x *= np.uint32(odd)
-    return x ^ (x >> np.uint32(16))
-
-
-@dataclass(frozen=True)
-class Ranking:
-    """order: 'hash' (one hash function) or 'rare' (rarest first by the frequencies of letters, then hash).
-    listed(n): how many of n tokens to list, vectorised. cosine, norm: where cosine > 0, the last tokens of a
-    text stay unlisted as long as they cannot bring a dot product of unit vectors to `cosine` by themselves:
-    by their residual norm, or by the largest weight that each can have on the other side, whose vector's
-    norm is `norm` at least."""
-
-    order: str
-    listed: Callable[[np.ndarray], np.ndarray]
-    freq: tuple[float, ...] = ()
-    cosine: float = 0.0
-    norm: float = 1.0
-
-    def needed(self, owner: np.ndarray, code: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Which tokens, in order for each text, the bounds for the cosine leave to be listed."""
-        square = self.weights(code) ** 2
-        total = np.bincount(owner, weights=square, minlength=len(count))
-        sums = np.cumsum(square)
-        rest = (sums[np.maximum(np.cumsum(count) - 1, 0)])[owner] - sums + square  # of this token and all after it
-        return np.minimum(np.sqrt(rest / total[owner]), rest / (np.sqrt(total[owner]) * self.norm)) >= self.cosine * (1 - 1e-9)
-
-    def key(self, code: np.ndarray) -> np.ndarray:
-        """A 32-bit key for each token code, different for different codes; smaller comes first."""
-        if self.order == "hash":
-            return mix(code)
-        if int(code.max(initial=0)) >= SPAN:
-            raise ValueError("rarity order is for one group")
-        return (self.class_of(code) << np.uint32(24)) | code.astype(np.uint32)
-
-    @staticmethod
-    def code(key: np.ndarray) -> np.ndarray:
-        """Codes of keys of the order 'rare'."""
-        return key & np.uint32(0xFFFFFF)
-
-    def weights(self, code: np.ndarray) -> np.ndarray:
-        """-ln of the token's expected frequency: its inverse document frequency under the letters' frequencies."""
-        logs, left, total = -np.log(np.maximum(self.freq, 1e-6)), code.astype(np.int64), np.zeros(len(code))
-        for _ in range(Q):
-            total += logs[left % 26]
-            left //= 26
-        return total
-
-    def class_of(self, code: np.ndarray) -> np.ndarray:
-        w = self.weights(code)
-        top = -np.log(1e-6) * Q
-        return np.clip(255 - (w / top * 255).astype(np.int64), 0, 255).astype(np.uint32)
-
-
-@dataclass
-class Texts:
-    """Texts as columns; letters are codes 0..25."""
-
-    tid: np.ndarray
-    flat: np.ndarray
-    size: np.ndarray
-    grp: np.ndarray
-    x: np.ndarray
-    y: np.ndarray
-    start: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.start = np.cumsum(self.size) - self.size
-
-    def __len__(self) -> int:
-        return len(self.tid)
-
-    def take(self, rows: np.ndarray) -> Texts:
-        size = self.size[rows]
-        at = np.repeat(self.start[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return Texts(self.tid[rows], self.flat[at], size, self.grp[rows], self.x[rows], self.y[rows])
-
-    @staticmethod
-    def of(batch: pa.RecordBatch) -> Texts:
-        flat, _, size = residue_codes(batch.column("res"))
-        ints = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "x", "y")]
-        return Texts(batch.column("tid").to_numpy(zero_copy_only=False), flat, size, *ints)
-
-    @staticmethod
-    def concat(parts: list[Texts]) -> Texts:
-        return Texts(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("tid", "flat", "size", "grp", "x", "y")))
-
-    def pack(self) -> bytes:
-        """Compressed; integers as planes of bytes, so that high zero bytes cost nothing."""
-        order = np.argsort(self.tid, kind="stable")
-        t = self.take(order)
-        planes = [np.ascontiguousarray(v.astype(kind).view(np.uint8).reshape(len(t), -1).T).tobytes() for v, kind in ((np.diff(t.tid, prepend=0), "<i8"), (t.size, "<i4"), (t.grp, "<i4"), (t.x, "<i4"), (t.y, "<i4"))]
-        raw = b"".join(planes) + t.flat.astype(np.uint8).tobytes()
-        return struct.pack("<II", len(t), len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
-
-    @staticmethod
-    def unpack(blob: bytes) -> Texts:
-        n, total = struct.unpack_from("<II", blob)
-        raw = pa.decompress(memoryview(blob)[8:], decompressed_size=total, codec="zstd", asbytes=True)
-        cols, at = [], 0
-        for width in (8, 4, 4, 4, 4):
-            cols.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(f"<i{width}").reshape(n))
-            at += n * width
-        return Texts(np.cumsum(cols[0]), np.frombuffer(raw, np.uint8, total - at, at), cols[1].astype(np.int64), *cols[2:])
-
-
-@dataclass
-class Postings:
-    """Listed tokens in the order (text, key)."""
-
-    text: np.ndarray
-    key: np.ndarray
-
-
-def tokens(t: Texts, ranking: Ranking, whole: bool = False) -> Postings:
-    """Listed tokens (all tokens if `whole`) of the texts."""
-    parts = []
-    for lo in range(0, len(t), CHUNK):
-        rows = slice(lo, min(len(t), lo + CHUNK))
-        size, n = t.size[rows], min(len(t), lo + CHUNK) - lo
-        first = t.start[lo] if n else 0
-        flat = t.flat[first : first + size.sum()]
-        if len(flat) < Q:
-            continue
-        code = np.zeros(len(flat) - Q + 1, np.uint32)
-        for k in range(Q):
-            code = code * np.uint32(26) + flat[k : len(flat) - Q + 1 + k]
-        owner = np.repeat(np.arange(n, dtype=np.int32), size)
-        place = np.arange(len(flat), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
-        ok = np.flatnonzero((place <= size[owner] - Q)[: len(code)])
-        owner = owner[ok].astype(np.uint64)
-        code = code[ok] + t.grp[rows].astype(np.uint32)[owner.astype(np.int64)] * np.uint32(SPAN)
-        # owner and key in one number: one sort of integers orders both
-        packed = (owner << np.uint64(32)) | ranking.key(code).astype(np.uint64)
-        packed.sort()
-        new = np.ones(len(packed), bool)
-        np.not_equal(packed[1:], packed[:-1], out=new[1:])
-        packed = packed[new]
-        owner = (packed >> np.uint64(32)).astype(np.int64)
-        key = packed.astype(np.uint32)
-        if not whole:
-            count = np.bincount(owner, minlength=n)
-            rank = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
-            keep = rank < ranking.listed(count)[owner]
-            if ranking.cosine:
-                keep &= ranking.needed(owner, ranking.code(key), count)
-            owner, key = owner[keep], key[keep]
-        parts.append((owner + lo, key))
-    if not parts:
-        return Postings(np.zeros(0, np.int64), np.zeros(0, np.uint32))
-    return Postings(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+#: Postings of a bucket, which bound a reduce task's memory.
+POSTINGS_A_BUCKET = 2_000_000
+#: Chunks of a salted token; above HOT times this, chunks are larger.
+MOST_CHUNKS = 4096
+#: Pairs of postings that are compared at once, and pairs after which those found are handed on.
+STEP, FLUSH = 1 << 21, 1 << 20
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What both sides of the shuffle must agree on. hot: key of a salted token -> number of chunks."""
+    """What both sides of the shuffle must agree on. hot: codes of salted tokens, rising; chunks: of each of them.
+    spread_out: of each minimizer, whether its tokens are spread by 4-grams."""
 
     ranking: Ranking
     buckets: int
-    hot: dict[int, int]
-
-    def spread(self, p: Postings, tid: np.ndarray) -> tuple[Postings, np.ndarray, np.ndarray]:
-        """Postings with the salted ones repeated, the list of each (64 bits), and its bucket."""
-        lists = p.key.astype(np.uint64) << np.uint64(32)
-        if self.hot:
-            keys = np.array(sorted(self.hot), np.uint32)
-            where = np.minimum(np.searchsorted(keys, p.key), len(keys) - 1)
-            warm = keys[where] == p.key
-            rows, names = [np.flatnonzero(~warm)], [lists[~warm]]
-            for k in np.unique(where[warm]):
-                own, n = np.flatnonzero(warm & (where == k)), self.hot[int(keys[k])]
-                chunk = chunk_of(tid[p.text[own]], n)
-                for other in range(n):
-                    rows.append(own)
-                    names.append(lists[own] | (np.minimum(chunk, other) * n + np.maximum(chunk, other) + 1).astype(np.uint64))
-            rows, lists = np.concatenate(rows), np.concatenate(names)
-            p = Postings(p.text[rows], p.key[rows])
-        # A salted list goes by its chunks as well
-        low = (lists & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        bucket = mix(mix(p.key) ^ (low * np.uint32(0x9E3779B1))) % np.uint32(self.buckets)
-        return p, lists, bucket
-
-
-def chunk_of(tid: np.ndarray, n: int) -> np.ndarray:
-    return (mix((tid & 0xFFFFFFFF).astype(np.uint32) ^ np.uint32(0x5BD1E995)) % np.uint32(n)).astype(np.int64)
-
-
-def listed_here(t: Texts, plan: Plan, bucket: int) -> tuple[Postings, np.ndarray]:
-    """Postings of one bucket with their lists; the other buckets' are dropped chunk by chunk."""
-    parts = []
-    for lo in range(0, len(t), CHUNK):
-        rows = np.arange(lo, min(len(t), lo + CHUNK))
-        few = t.take(rows)
-        p, lists, where = plan.spread(tokens(few, plan.ranking), few.tid)
-        own = np.flatnonzero(where == bucket)
-        parts.append((p.text[own] + lo, p.key[own], lists[own]))
-    cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    return Postings(*cols[:2]), cols[2]
-
-
-def regroup(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Iterator[Texts]:
-    """Batches of texts joined to at least `rows` texts."""
-    held, n = [], 0
-    for b in batches:
-        if b.num_rows:
-            held.append(Texts.of(b))
-            n += b.num_rows
-        if n >= rows:
-            yield Texts.concat(held)
-            held, n = [], 0
-    if held:
-        yield Texts.concat(held)
-
-
-def hot_tokens(texts: DataFrame, ranking: Ranking, hot: int = HOT) -> dict[int, int]:
-    """Keys of the tokens listed by more than `hot` texts, with the number of chunks each is salted into.
-
-    Tasks report only tokens that make up at least 1/4096 of their texts, so what is shuffled and
-    brought to the driver has at most (postings / texts) x 4096 rows a task, and finally
-    postings / hot rows. A token that falls under this is merely not salted; no pair depends on it."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tokens(t, ranking).key for t in regroup(batches)]
-        if held:
-            key = np.concatenate(held)
-            least = max(64, len(key) // (4096 * 16))
-            slot = mix(key) >> np.uint32(12)  # a slot's count is that of its keys together: few slots are left
-            key = key[np.bincount(slot, minlength=1 << 20)[slot] >= least]
-            key, n = np.unique(key, return_counts=True)
-            keep = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep].astype(np.int64)), pa.array(n[keep].astype(np.int64))], ["key", "n"])
-
-    rows = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot).collect()
-    return {r.key: -(-r.n // hot) for r in rows}
+    hot: np.ndarray
+    chunks: np.ndarray
+    spread_out: np.ndarray
+
+    @staticmethod
+    def of(ranking: Ranking, counts: Counts, buckets: int, hot: int = HOT) -> Plan:
+        chunks = np.minimum(-(-counts.hot_n // hot), MOST_CHUNKS).astype(np.int64)
+        return Plan(ranking, buckets, counts.hot_code, chunks, counts.load > counts.postings / buckets)
+
+    def chunked(self, code: np.ndarray) -> np.ndarray:
+        """The number of chunks of each token; 0 where it is not salted."""
+        out = np.zeros(len(code), np.int64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, code), len(self.hot) - 1)
+            out = np.where(self.hot[at] == code, self.chunks[at], 0)
+        return out
+
+    def bucket(self, code: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """low: 0, or the number of the pair of chunks plus 1."""
+        own = minimizer(code).astype(np.uint32)
+        much = np.flatnonzero(self.spread_out[own])
+        own[much] = minimizer4(code[much]) | np.uint32(1 << 31)
+        salted = np.flatnonzero(low)
+        own[salted] = mix(code[salted]) ^ (low[salted].astype(np.uint32) * np.uint32(0x9E3779B1))
+        return mix(own) % np.uint32(self.buckets)
+
+    def lists(self, p: Postings, code: np.ndarray, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of p, list, bucket): a row for each list of each posting. A list is named by key, group and chunks."""
+        many = self.chunked(code)
+        rows, low = np.arange(len(code)), np.zeros(len(code), np.int64)
+        warm = np.flatnonzero(many)
+        if len(warm):
+            n = many[warm]
+            again = np.repeat(np.arange(len(warm)), n)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+            chunk = chunk_of(t.tid[p.text[warm]], n)[again]
+            cold = np.flatnonzero(many == 0)
+            rows = np.concatenate([cold, warm[again]])
+            low = np.concatenate([low[cold], np.minimum(chunk, other) * n[again] + np.maximum(chunk, other) + 1])
+        name = (p.key[rows].astype(np.uint64) << np.uint64(32)) | (t.grp[p.text[rows]].astype(np.uint64) << np.uint64(24)) | low.astype(np.uint64)
+        return rows, name, self.bucket(code[rows], low)
+
+
+def chunk_of(tid: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (mix((tid & 0xFFFFFFFF).astype(np.uint32) ^ np.uint32(0x5BD1E995)) % n.astype(np.uint32)).astype(np.int64)
+
+
+def pack_blocks(t: Texts, plan: Plan) -> Iterator[tuple[int, bytes]]:
+    """(bucket, block) of texts."""
+    t = t.take(np.argsort(t.tid, kind="stable"))
+    p = tokens(t, plan.ranking)
+    rows, _, bucket = plan.lists(p, plan.ranking.code(p.key), t)
+    # A salted token may have several lists in one bucket: its place is told once
+    name = (bucket.astype(np.int64) * len(t) + p.text[rows]) * (int(t.size.max(initial=0)) + 1) + p.place[rows]
+    name.sort()
+    name = name[np.diff(name, prepend=-1) > 0]
+    owner, place = np.divmod(name, int(t.size.max(initial=0)) + 1)
+    new = np.flatnonzero(np.diff(owner, prepend=-1))
+    many = np.diff(new, append=len(owner))
+    where, text = np.divmod(owner[new], len(t))
+    copies = t.take(text)
+    first = np.append(new, len(owner))
+    edges = np.flatnonzero(np.diff(where, prepend=-1))
+    for lo, hi in zip(edges, np.append(edges[1:], len(where)), strict=True):
+        yield int(where[lo]), copies.slice(lo, hi).pack(many[lo:hi], place[first[lo] : first[hi]])
 
 
 def blocks(texts: DataFrame, plan: Plan) -> DataFrame:
-    """(bucket, blob): the packed texts of each map task for each bucket. Texts shorter than Q list nothing."""
+    """(bucket, blob): the packed texts of each map task for each bucket. Texts without a token are in none."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in regroup(batches, 4 * CHUNK):
-            both = []
-            for lo in range(0, len(t), CHUNK):
-                few = t.take(np.arange(lo, min(len(t), lo + CHUNK)))
-                p, _, bucket = plan.spread(tokens(few, plan.ranking), few.tid)
-                if plan.buckets <= 1024:
-                    seen = np.zeros((plan.buckets, len(few)), bool)
-                    seen[bucket, p.text] = True
-                    where, text = np.nonzero(seen)
-                else:
-                    where, text = np.divmod(np.unique(bucket.astype(np.int64) * len(few) + p.text), len(few))
-                both.append(where * len(t) + text + lo)
-            owner, text = np.divmod(np.sort(np.concatenate(both)), len(t))
-            for b in np.unique(owner):
-                blob = t.take(text[np.searchsorted(owner, b) : np.searchsorted(owner, b, "right")]).pack()
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
-
-    return texts.select("tid", "res", "grp", "x", "y").mapInArrow(pack, "bucket int, blob binary")
+            for bucket, blob in pack_blocks(t, plan):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+    return texts.select("tid", "res", "grp", "x").mapInArrow(pack, "bucket int, blob binary")
+
+
+def unpack_blocks(blobs: list[bytes], plan: Plan, bucket: int) -> tuple[Texts, np.ndarray, np.ndarray]:
+    """(texts, text, list) of a bucket's blocks: the texts and a row a posting and list."""
+    parts = [Texts.unpack(b) for b in blobs]
+    shift = np.cumsum([0, *(len(t) for t, _, _ in parts)])
+    t = Texts.concat([t for t, _, _ in parts])
+    text = np.concatenate([own + s for (_, own, _), s in zip(parts, shift, strict=False)])
+    place = np.concatenate([at for _, _, at in parts])
+    code = codes_at(t, text, place)
+    p = Postings(text, plan.ranking.key(code), place)
+    rows, name, where = plan.lists(p, code, t)
+    own = where == bucket
+    return t, text[rows[own]], name[own]
 
 
 def signature(t: Texts) -> np.ndarray:
     """Counts of letters in unary, up to 4 a letter in 104 of 128 bits: XOR counts a lower bound of their distance."""
     out = np.zeros((2, len(t)), np.uint64)
     for lo in range(0, len(t), CHUNK):
-        few = t.take(np.arange(lo, min(len(t), lo + CHUNK)))
+        few = t.slice(lo, min(len(t), lo + CHUNK))
         owner = np.repeat(np.arange(len(few)), few.size)
         count = np.bincount(owner * 26 + few.flat, minlength=len(few) * 26).reshape(-1, 26)
         for letter in range(26):
@@ -322,42 +151,84 @@ def signature(t: Texts) -> np.ndarray:
     return out
 
 
-def candidates(t: Texts, plan: Plan, bucket: int, ratio: float, allowed: Callable[[Texts, np.ndarray, np.ndarray], np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of t that share a list of this bucket and pass the bounds, each once."""
-    p, lists = listed_here(t, plan, bucket)
-    sort = np.lexsort((t.size[p.text], lists))
-    name, text = lists[sort], p.text[sort]
-    size, sig = t.size[text].astype(np.int32), signature(t)[:, text]  # in the lists' order: read in sequence below
-    hot = (name & np.uint64(0xFFFFFFFF)) > 0
-    chunk = np.zeros(len(name), np.int64)
-    for k, n in plan.hot.items():
-        rows = np.flatnonzero(hot & ((name >> np.uint64(32)) == np.uint64(k)))
-        chunk[rows] = chunk_of(t.tid[text[rows]], n)
-    found = []
-    lag, i = 1, np.flatnonzero(name[1:] == name[:-1]).astype(np.int32)
-    while len(i):
-        j = i + lag
-        gap = size[j] - size[i]
-        room = (1 - ratio) * (2 * size[i] + gap)  # indels must be fewer
-        near = gap < room
-        if not near.all():  # sizes grow along a list: later ones are no nearer
-            i, j, room = i[near], j[near], room[near]
-        ok = np.flatnonzero(np.bitwise_count(sig[0, i] ^ sig[0, j]) + np.bitwise_count(sig[1, i] ^ sig[1, j]) < room)
-        u, v = i[ok], j[ok]
-        if plan.hot:
-            fine = ((name[u] & np.uint64(0xFFFFFFFF)) == 0) | (chunk[u] != chunk[v]) | same_chunk(name[u], chunk[u], plan.hot)
-            u, v = u[fine], v[fine]
-        a, b = text[u], text[v]
-        if allowed is not None and len(a):
-            ok = allowed(t, a, b)
-            a, b = a[ok], b[ok]
+#: Sides of texts in a join of two sets, as bits of x.
+LEFT, RIGHT = 1, 2
+
+
+def walk(t: Texts, plan: Plan, text: np.ndarray, name: np.ndarray, ratio: tuple[int, int], cross: bool, tally: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(a, b, first key, last key): pairs of rows of t that share a list and pass the bounds, each once within a turn;
+    a turn walks the lists of whole keys from the first to the last. cross: only pairs of a LEFT with a RIGHT text.
+    tally: gets the number of pairs of postings that were looked at."""
+    num, den = ratio
+    order = np.argsort(name, kind="stable")
+    name, text = name[order], text[order]
+    new = np.diff(name, prepend=name[:1] ^ np.uint64(1)) != 0
+    rank = np.cumsum(new) - 1
+    # Lists that can have no pair leave at once
+    of_list = lambda some: np.bincount(rank, weights=some, minlength=int(rank[-1]) + 1 if len(rank) else 0)
+    if cross:
+        good = (of_list(t.x[text] & LEFT) > 0) & (of_list(t.x[text] & RIGHT) > 0)
+    else:
+        good = of_list(np.ones(len(rank))) > 1
+    keep = np.flatnonzero(good[rank]) if len(rank) else rank
+    name, text, rank = name[keep], text[keep], rank[keep]
+    used = np.flatnonzero(np.bincount(text, minlength=len(t)))
+    sig = np.zeros((2, len(t)), np.uint64)
+    sig[:, used] = signature(t.take(used))
+    wide = int(t.size.max(initial=0)) + 1
+    order = np.argsort(rank * wide + t.size[text], kind="stable")
+    name, text, rank = name[order], text[order], rank[order]
+    size = t.size[text]
+    at = rank * wide + size
+    # n > m (2 - r) / r cannot be alike to m
+    most = np.minimum(size * (2 * den - num) // num, wide - 1)
+    if cross:
+        q, d = np.flatnonzero(t.x[text] & RIGHT), np.flatnonzero(t.x[text] & LEFT)
+        least = -(-size[q] * num // (2 * den - num))
+        start, end = np.searchsorted(at[d], rank[q] * wide + least), np.searchsorted(at[d], rank[q] * wide + most[q], "right")
+    else:
+        q = d = np.arange(len(text))
+        start, end = q + 1, np.searchsorted(at, rank * wide + most, "right")
+    n = end - start
+    some = np.flatnonzero(n > 0)
+    q, start, n = q[some], start[some], n[some]
+    key = (name >> np.uint64(32)).astype(np.int64)
+    sig_q, sig_d, size_q, size_d = sig[:, text[q]], sig[:, text[d]], size[q], size[d]
+    low = (name & np.uint64(0xFFFFFF)).astype(np.int64)
+    salted = bool(low.any())
+    if salted:
+        many = plan.chunked(plan.ranking.code(key.astype(np.uint32)))
+        chunk = np.where(many > 0, chunk_of(t.tid[text], np.maximum(many, 1)), 0)
+        both = np.maximum(low - 1, 0)
+        alone = both // np.maximum(many, 1) == both % np.maximum(many, 1)
+    sums = np.cumsum(n)
+    found: list[np.ndarray] = []
+    held, lo, first = 0, 0, 0
+    if tally is not None:
+        tally.append(int(sums[-1]) if len(sums) else 0)
+    while lo < len(q):
+        hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + STEP, "right")))
+        i = np.repeat(np.arange(lo, hi), n[lo:hi])
+        j = np.repeat(start[lo:hi] - (np.cumsum(n[lo:hi]) - n[lo:hi]), n[lo:hi]) + np.arange(len(i))
+        apart = np.bitwise_count(sig_q[0, i] ^ sig_d[0, j]).astype(np.int32) + np.bitwise_count(sig_q[1, i] ^ sig_d[1, j])
+        apart = np.maximum(apart, np.abs(size_q[i] - size_d[j]))
+        ok = np.flatnonzero(den * apart < (den - num) * (size_q[i] + size_d[j]))
+        i, j = q[i[ok]], d[j[ok]]
+        if salted:
+            ok = (low[i] == 0) | (chunk[i] != chunk[j]) | alone[i]
+            i, j = i[ok], j[ok]
+        a, b = text[i], text[j]
+        if cross:
+            a, b = a[a != b], b[a != b]
         found.append(np.minimum(a, b) * len(t) + np.maximum(a, b))
-        lag += 1
-        i = i[i + lag < len(name)]
-        i = i[name[i] == name[i + lag]]
-    pairs = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    pairs = pairs[np.diff(pairs, prepend=-1) > 0]  # far quicker than np.unique
-    return np.divmod(pairs, max(1, len(t)))
+        held += len(a)
+        if hi == len(q) or (held > FLUSH and key[q[hi]] != key[q[hi - 1]]):
+            pairs = np.sort(np.concatenate(found))
+            pairs = pairs[np.diff(pairs, prepend=-1) > 0]  # far quicker than np.unique
+            if len(pairs):
+                yield *np.divmod(pairs, len(t)), int(key[q[first]]), int(key[q[hi - 1]])
+            found, held, first = [], 0, hi
+        lo = hi
 
 
 def only(t: Texts, a: np.ndarray, b: np.ndarray) -> tuple[Texts, np.ndarray, np.ndarray]:
@@ -368,13 +239,6 @@ def only(t: Texts, a: np.ndarray, b: np.ndarray) -> tuple[Texts, np.ndarray, np.
     return t.take(rows), slot[a], slot[b]
 
 
-def same_chunk(name: np.ndarray, chunk: np.ndarray, hot: dict[int, int]) -> np.ndarray:
-    """Whether the list of a salted token is that of one chunk with itself."""
-    n = np.array([hot.get(int(k), 1) for k in (name >> np.uint64(32))], np.int64)
-    both = (name & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
-    return both // n == both % n
-
-
 @dataclass
 class Shared:
     """The shared tokens of pairs; `pair` says whose. one, two: numbers of tokens of each side."""
@@ -385,9 +249,6 @@ class Shared:
     two: np.ndarray
 
 
-NONE = np.uint32(0xFFFFFFFF)
-
-
 def key_table(p: Postings, count: np.ndarray, width: int) -> np.ndarray:
     """The first `width` keys of each text as a row, filled up with NONE, which is no token's key."""
     rank = np.arange(len(p.text)) - np.repeat(np.cumsum(count) - count, count)
@@ -404,13 +265,8 @@ def equal_keys(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
     return both[:, 1:], (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
 
 
-def shared(t: Texts, a: np.ndarray, b: np.ndarray, ranking: Ranking, whole: bool) -> Shared:
-    """Shared tokens (listed ones unless `whole`), in the order (pair, key)."""
-    p = tokens(t, ranking, whole)
-    return shared_of(p, np.bincount(p.text, minlength=len(t)), a, b)
-
-
 def shared_of(p: Postings, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> Shared:
+    """Shared tokens among those of p, in the order (pair, key)."""
     if count.max(initial=0) <= 64:
         keys, same = equal_keys(key_table(p, count, int(count.max(initial=1))), a, b)
         return Shared(np.nonzero(same)[0], keys[same], count[a], count[b])
@@ -426,35 +282,36 @@ def shared_of(p: Postings, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> S
     return Shared((hit >> np.uint64(32)).astype(np.int64), (hit & np.uint64(0xFFFFFFFF)).astype(np.uint32), count[a], count[b])
 
 
-#: Widths of the tables of listed keys in which `first_shared` looks, in turn.
-WIDTHS = (8, 32)
+#: Widths of the tables of keys in which `first_shared` looks, in turn.
+WIDTHS = (8, 24)
+AT_ONCE = 1 << 16
 
 
-def first_shared(t: Texts, a: np.ndarray, b: np.ndarray, ranking: Ranking) -> np.ndarray:
-    """The smallest listed key that both texts of each pair have; each pair must have one.
+def first_shared(p: Postings, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest key that both texts of each pair have; each pair must have one.
 
     A key that is smallest in both sides' first few keys is smallest in all, so a narrow table settles most
-    pairs; the rest take a wider one, and texts with longer lists the general way. (No token has key NONE.)"""
-    p = tokens(t, ranking)
-    count = np.bincount(p.text, minlength=len(t))
+    pairs; the rest take a wider one, and then the general way. (No token has key NONE.)"""
     out, left = np.full(len(a), NONE), np.arange(len(a))
     for width in WIDTHS:
         table = key_table(p, count, width)
-        for at in range(0, len(left), 1 << 16):
-            rows = left[at : at + (1 << 16)]
+        for at in range(0, len(left), AT_ONCE):
+            rows = left[at : at + AT_ONCE]
             keys, same = equal_keys(table, a[rows], b[rows])
             hit = same.argmax(axis=1)
             ok = np.flatnonzero(same[np.arange(len(rows)), hit])
             out[rows[ok]] = keys[ok, hit[ok]]
         left = left[out[left] == NONE]
-    if len(left):
-        s = shared(t, a[left], b[left], ranking, whole=False)
+    for at in range(0, len(left), AT_ONCE):
+        rows = left[at : at + AT_ONCE]
+        s = shared_of(p, count, a[rows], b[rows])
         pair, first = np.unique(s.pair, return_index=True)
-        out[left[pair]] = s.key[first]
+        out[rows[pair]] = s.key[first]
     return out
 
 
-Verify = Callable[[Texts, np.ndarray, np.ndarray], np.ndarray]
+#: (texts, all their tokens, numbers of tokens, a, b) -> which pairs pass
+Verify = Callable[[Texts, Postings, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def alike(t: Texts, a: np.ndarray, b: np.ndarray, ratio_num: int, ratio_den: int) -> np.ndarray:
@@ -463,73 +320,72 @@ def alike(t: Texts, a: np.ndarray, b: np.ndarray, ratio_num: int, ratio_den: int
     return 2 * ratio_den * lcs > ratio_num * (t.size[a] + t.size[b])
 
 
-def join_blocks(packed: DataFrame, plan: Plan, verify: Verify, ratio: tuple[int, int], allowed: Verify | None = None, pairs_at_once: int = 1 << 16) -> DataFrame:
-    """(a, b, ax, ay, bx, by) for each pair of different texts that meets, passes `verify` and is alike; a < b are tids."""
+def at_home(plan: Plan, key: np.ndarray, one: np.ndarray, two: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether this bucket is that of the pair's first shared token, with the chunks of both ids where it is salted."""
+    code = plan.ranking.code(key)
+    n, low = plan.chunked(code), np.zeros(len(key), np.int64)
+    rows = np.flatnonzero(n)
+    if len(rows):
+        c, d = chunk_of(one[rows], n[rows]), chunk_of(two[rows], n[rows])
+        low[rows] = np.minimum(c, d) * n[rows] + np.maximum(c, d) + 1
+    return plan.bucket(code, low) == bucket
+
+
+def list_pairs(t: Texts, plan: Plan, bucket: int, text: np.ndarray, name: np.ndarray, verify: Verify, ratio: tuple[int, int], cross: bool, tally: list[int] | None = None) -> tuple[Texts, np.ndarray, np.ndarray]:
+    """(texts, a, b): the pairs of a bucket that are at home there, pass `verify` and are alike."""
+    out = [(np.zeros(0, np.int64),) * 2]
+    for a, b, low, high in walk(t, plan, text, name, ratio, cross, tally):
+        few, u, v = only(t, a, b)
+        p = tokens(few, plan.ranking, whole=True)
+        count = np.bincount(p.text, minlength=len(few))
+        key = first_shared(p, count, u, v)
+        mine = np.flatnonzero((key >= low) & (key <= high))
+        mine = mine[at_home(plan, key[mine], few.tid[u[mine]], few.tid[v[mine]], bucket)]
+        for at in range(0, len(mine), AT_ONCE):
+            rows = mine[at : at + AT_ONCE]
+            rows = rows[verify(few, p, count, u[rows], v[rows])]
+            rows = rows[alike(few, u[rows], v[rows], *ratio)]
+            out.append((a[rows], b[rows]))
+    return t, *(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def join_blocks(packed: DataFrame, plan: Plan, verify: Verify, ratio: tuple[int, int], cross: bool = False) -> DataFrame:
+    """(a, b) for each pair of different texts that meets, passes `verify` and is alike; a < b are tids."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[Texts]] = {}
-        for blobs in batches:
-            old = blobs.column("old").to_pylist() if "old" in blobs.schema.names else [False] * blobs.num_rows
-            for bucket, blob, known in zip(blobs.column("bucket").to_pylist(), blobs.column("blob"), old, strict=True):
-                part = Texts.unpack(blob.as_buffer())
-                if known:  # texts of earlier deliveries are met, but ask for nothing
-                    part.y = np.full(len(part), -(2**31), np.int32)
-                held.setdefault(bucket, []).append(part)
+        held: dict[int, list[bytes]] = {}
+        for b in batches:
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob"), strict=True):
+                held.setdefault(bucket, []).append(blob.as_buffer())
         for bucket in sorted(held):
-            yield bucket_pairs(bucket, held.pop(bucket))
-
-    def bucket_pairs(bucket: int, parts: list[Texts]) -> pa.RecordBatch:
-        t = Texts.concat(parts)
-        _, once = np.unique(t.tid, return_index=True)  # a delivery may be packed twice after a lost task
-        t = t if len(once) == len(t) else t.take(once)
-        a, b = candidates(t, plan, bucket, ratio[0] / ratio[1], allowed)
-        if len(a):
-            t, a, b = only(t, a, b)
-            mine = at_home(plan, first_shared(t, a, b, plan.ranking), t.tid[a], t.tid[b], bucket)
-            a, b = a[mine], b[mine]
-        out = []
-        for at in range(0, len(a), pairs_at_once):
-            u, v = a[at : at + pairs_at_once], b[at : at + pairs_at_once]
-            few, u, v = only(t, u, v)
-            ok = verify(few, u, v)
-            u, v = u[ok], v[ok]
-            ok = alike(few, u, v, *ratio)
-            u, v = u[ok], v[ok]
-            swap = few.tid[u] > few.tid[v]
-            u, v = np.where(swap, v, u), np.where(swap, u, v)
-            out.append([few.tid[u], few.tid[v], few.x[u], few.y[u], few.x[v], few.y[v]])
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 6
-        kinds = [pa.int64()] * 2 + [pa.int32()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "ax", "ay", "bx", "by"])
+            t, a, b = list_pairs(*sorted_out(held.pop(bucket), plan, bucket), verify, ratio, cross)
+            a, b = t.tid[a], t.tid[b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     # A task a bucket, by its number: hashing the few numbers would put several into one task
-    return packed.repartitionById(plan.buckets, F.col("bucket")).mapInArrow(reduce, "a long, b long, ax int, ay int, bx int, by int")
+    return packed.repartitionById(plan.buckets, F.col("bucket")).mapInArrow(reduce, "a long, b long")
 
 
-def at_home(plan: Plan, key: np.ndarray, one: np.ndarray, two: np.ndarray, bucket: int) -> np.ndarray:
-    """Whether this bucket is that of the pair's first shared token, with the chunks of both ids where it is salted."""
-    low = np.zeros(len(key), np.uint32)
-    for k, n in plan.hot.items():
-        rows = np.flatnonzero(key == np.uint32(k))
-        c, d = chunk_of(one[rows], n), chunk_of(two[rows], n)
-        low[rows] = (np.minimum(c, d) * n + np.maximum(c, d) + 1).astype(np.uint32)
-    return mix(mix(key) ^ (low * np.uint32(0x9E3779B1))) % np.uint32(plan.buckets) == bucket
+def sorted_out(blobs: list[bytes], plan: Plan, bucket: int) -> tuple[Texts, Plan, int, np.ndarray, np.ndarray]:
+    t, text, name = unpack_blocks(blobs, plan, bucket)
+    return t, plan, bucket, text, name
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucket_count(texts: DataFrame) -> int:
-    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // TEXTS_A_BUCKET))
+def bucket_count(spark: SparkSession, postings: int) -> int:
+    return max(partitions(spark), -(-postings // POSTINGS_A_BUCKET))
 
 
-def meet(texts: DataFrame, ranking: Ranking, verify: Verify, ratio: tuple[int, int], allowed: Verify | None = None, buckets: int | None = None, hot: int = HOT) -> DataFrame:
+def meet(texts: DataFrame, ranking: Ranking, verify: Verify, ratio: tuple[int, int], counts: Counts | None = None, cross: bool = False, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """The whole join over a table of different texts (TEXT_SCHEMA); see the module."""
-    n = buckets or bucket_count(texts)
-    plan = Plan(ranking, n, hot_tokens(texts, ranking, hot))
-    return join_blocks(blocks(texts, plan), plan, verify, ratio, allowed)
+    counts = token_counts(texts, hot) if counts is None else counts
+    plan = Plan.of(ranking, counts, buckets or bucket_count(texts.sparkSession, counts.postings), hot)
+    return join_blocks(blocks(texts, plan), plan, verify, ratio, cross)
 
 
-def with_freq(ranking: Ranking, texts: DataFrame) -> Ranking:
-    """The ranking with the frequencies of letters over all texts: 26 sums, whatever the data's size."""
-    letters = [chr(65 + k) for k in range(26)]
-    sums = texts.agg(*(F.sum(F.length("res") - F.length(F.replace(F.col("res"), F.lit(c), F.lit("")))).alias(c) for c in letters)).first()
-    n = np.array([sums[c] or 0 for c in letters], float)
-    return replace(ranking, freq=tuple((n / max(1.0, n.sum())).tolist()))
+def broadcast_table(spark: SparkSession, table: np.ndarray):
+    """A byte a token: 12 MB, whatever the data's size."""
+    return spark.sparkContext.broadcast(table.tobytes()) if table.any() else None

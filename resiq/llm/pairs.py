@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resiq.functions.text import residues
-from resiq.llm.blockjoin import Ranking, Texts, equal_keys, key_table, meet, shared_of, tokens
+from resiq.llm.blockjoin import HOT, broadcast_table, equal_keys, key_table, meet, shared_of
+from resiq.llm.grams import Counts, Postings, Ranking, Texts, token_counts
 from resiq.operators.graph import connected_components
 from resiq.session import cut, table
 
@@ -29,9 +30,9 @@ def copies(df: DataFrame, column: str, grp: int = 0, least: int = LEAST, order:
     return eligible(df, column, least).select(F.col(order).alias("ord"), "res", F.lit(grp).alias("grp"), *more)
 
 
-def text_key() -> list:
+def text_key(grp="grp") -> list:
     """128 bits for a text: different texts share them with a chance below 1e-16 among 1e11 texts."""
-    return [F.xxhash64("grp", "res").alias("k1"), F.xxhash64("res", F.lit(7), "grp").alias("k2")]
+    return [F.xxhash64(grp, "res").alias("k1"), F.xxhash64("res", F.lit(7), grp).alias("k2")]
 
 
 def texts_of(rows: DataFrame, *aggs, first=None) -> DataFrame:
@@ -48,23 +49,34 @@ def rows_of(rows: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
     return rows.select("ord", *more, *text_key()).join(many, ["k1", "k2"]).select("tid", "ord", *more)
 
 
-def bottom_k(k: int = 32) -> Ranking:
-    """Sketches: the k tokens of smallest hash."""
-    return Ranking("hash", lambda n: np.full(len(n), k))
+#: Retained values of a sketch.
+SKETCH = 32
+#: Tokens of more texts than this come later in the order of hashes, the commoner the later: a token that a large part of
+#: the texts has tells little, and its list would be the longest.
+COMMON = 1024
+
+
+def bottom_k(k: int = SKETCH, counts: Counts | None = None, table=None) -> Ranking:
+    """Sketches: the k tokens of smallest hash. With `counts`, the hashes of tokens of more than COMMON texts rise by
+    class, a class for each doubling."""
+    if counts is not None:
+        late = np.clip((counts.df.astype(np.int64) - 8 * int(np.log2(COMMON)) + 7) // 8, 0, 254).astype(np.uint8)
+        table = table(late) if table else late
+    return Ranking(lambda n: np.full(n.shape, k), table)
 
 
 def sketch_verify(k: int, estimate: float, jaccard: float):
     """Union sketches estimate the Jaccard similarity of token sets: of the k smallest hashes of the union,
     the share that both sketches hold. Pairs at or above `estimate` get the exact similarity, which must
     reach `jaccard`."""
-    ranking = bottom_k(k)
 
-    def verify(t: Texts, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        p = tokens(t, ranking, whole=True)
-        count = np.bincount(p.text, minlength=len(t))
+    def verify(t: Texts, p: Postings, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         sketch, size = key_table(p, count, k), np.minimum(count, k)  # the first keys of all are the sketch
-        hits = equal_keys(sketch, a, b)[1].sum(axis=1)
-        union = np.minimum(k, size[a] + size[b] - hits)
+        keys, same = equal_keys(sketch, a, b)
+        # The place in the union of each value that both hold; values up to k count
+        place = np.cumsum(np.pad(~same, ((0, 0), (1, 0)), constant_values=True), axis=1)[:, 1:]
+        union = np.minimum(k, size[a] + size[b] - same.sum(axis=1))
+        hits = (same & (place <= k)).sum(axis=1)
         ok = np.flatnonzero(hits >= estimate * union)
         e = shared_of(p, count, a[ok], b[ok])
         both = np.bincount(e.pair, minlength=len(ok))
@@ -75,13 +87,15 @@ def sketch_verify(k: int, estimate: float, jaccard: float):
     return verify
 
 
-def similar_texts(texts: DataFrame, k: int = 32, estimate: float = 0.02, jaccard: float = 0.015, ratio: tuple[int, int] = RATIO, **how) -> DataFrame:
+def similar_texts(texts: DataFrame, k: int = SKETCH, estimate: float = 0.03, jaccard: float = 0.03, ratio: tuple[int, int] = RATIO, hot: int = HOT, **how) -> DataFrame:
     """Pairs (a, b) of different texts whose 5-gram sketches overlap and whose indel ratio is above `ratio`.
 
     The thresholds on 5-grams are low because one edit breaks five of them: at a ratio of 0.8 and
     30 residues two of 26 5-grams may be left. The ratio decides last."""
-    plain = texts.select("tid", "res", "grp", F.lit(0).alias("x"), F.lit(0).alias("y"))
-    return meet(plain, bottom_k(k), sketch_verify(k, estimate, jaccard), ratio, **how).select("a", "b")
+    plain = texts.select("tid", "res", "grp", F.lit(0).alias("x"))
+    counts = token_counts(plain, hot)
+    ranking = bottom_k(k, counts, lambda late: broadcast_table(texts.sparkSession, late))
+    return meet(plain, ranking, sketch_verify(k, estimate, jaccard), ratio, counts, hot=hot, **how)
 
 
 def near_pairs(rows: DataFrame, **how) -> DataFrame:

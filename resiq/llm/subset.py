@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from resiq.functions.lcs import residue_codes
 from resiq.functions.text import residues
-from resiq.llm.blockjoin import mix
+from resiq.llm.grams import mix
 from resiq.session import cut, table
 
 SEED = 11
