@@ -32,11 +32,11 @@ from resiq.llm.grams import CHUNK, NONE, Counts, Postings, Ranking, Texts, codes
 #: A token that more texts hold is salted into chunks of this many texts.
 HOT = 8192
 #: Postings of a bucket, which bound a reduce task's memory.
-POSTINGS_A_BUCKET = 2_000_000
+POSTINGS_A_BUCKET = 1_000_000
 #: Chunks of a salted token; above HOT times this, chunks are larger.
 MOST_CHUNKS = 4096
 #: Pairs of postings that are compared at once, and pairs after which those found are handed on.
-STEP, FLUSH = 1 << 21, 1 << 20
+STEP, FLUSH = 1 << 20, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -335,16 +335,15 @@ def list_pairs(t: Texts, plan: Plan, bucket: int, text: np.ndarray, name: np.nda
     """(texts, a, b): the pairs of a bucket that are at home there, pass `verify` and are alike."""
     out = [(np.zeros(0, np.int64),) * 2]
     for a, b, low, high in walk(t, plan, text, name, ratio, cross, tally):
-        few, u, v = only(t, a, b)
-        p = tokens(few, plan.ranking, whole=True)
-        count = np.bincount(p.text, minlength=len(few))
-        key = first_shared(p, count, u, v)
-        mine = np.flatnonzero((key >= low) & (key <= high))
-        mine = mine[at_home(plan, key[mine], few.tid[u[mine]], few.tid[v[mine]], bucket)]
-        for at in range(0, len(mine), AT_ONCE):
-            rows = mine[at : at + AT_ONCE]
+        for at in range(0, len(a), AT_ONCE):  # whole token sets are made for so many pairs at once
+            few, u, v = only(t, a[at : at + AT_ONCE], b[at : at + AT_ONCE])
+            p = tokens(few, plan.ranking, whole=True)
+            count = np.bincount(p.text, minlength=len(few))
+            key = first_shared(p, count, u, v)
+            rows = np.flatnonzero((key >= low) & (key <= high))
+            rows = rows[at_home(plan, key[rows], few.tid[u[rows]], few.tid[v[rows]], bucket)]
             rows = rows[verify(few, p, count, u[rows], v[rows])]
-            rows = rows[alike(few, u[rows], v[rows], *ratio)]
+            rows = rows[alike(few, u[rows], v[rows], *ratio)] + at
             out.append((a[rows], b[rows]))
     return t, *(np.concatenate(c) for c in zip(*out, strict=True))
 
