@@ -129,7 +129,7 @@ def pairs(c: Column) -> Column:
 
 def unstable_share(c: Sequence) -> Column:
     """100 times the share of unstable dipeptides; 0 for fewer than two residues."""
-    unstable = "|".join(f"{a}[{b}]" for a, b in S.UNSTABLE.items())
+    unstable = "|".join(S.UNSTABLE)
     # Overlapping hits: a lookahead counts places, not stretches
     hits = F.regexp_count(text(c), F.lit(f"(?=({unstable})).")).cast("double")
     return F.when(size(c) < 2, 0.0).otherwise(100.0 * hits / F.greatest(size(c) - 1, F.lit(1)))
@@ -195,7 +195,7 @@ def summary(c: Sequence) -> dict[str, Column]:
         "acidic_frac": share(c, "DE"),
         "hydrophobic_frac": share(c, "AILMFVW"),
         "aliphatic_index": aliphatic_index(c),
-        "boman_index": mean_scale(c, S.BINDING),
+        "boman_index": mean_scale(c, S.BOMAN),
         "instability_index": unstable_share(c),
         "helical_propensity": mean_scale(c, S.HELIX),
         "aggregation_propensity": eisenberg + 0.5 * aromatic - 0.3 * F.abs(charge),

@@ -1,4 +1,4 @@
-"""Seeded samples, matched cohorts and splits (J). Draws are hash-ordered: xxhash64 of the id and the seed, then the id.
+"""Seeded samples, matched cohorts and splits (J). Draws are hash-ordered: MD5 of the seed and the id, then the id.
 
 A quota of each length is met by salting large lengths: rows are ranked within (length, salt) and salts are filled in
 turn, so a length that holds a third of all rows is never ranked in one task."""
@@ -16,7 +16,7 @@ RANKED = 100_000
 
 
 def draw(key: str, seed: int) -> Column:
-    return F.xxhash64(key, F.lit(seed))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
 def sample(df: DataFrame, key: str, size: int | None, seed: int = 42) -> DataFrame:
@@ -27,7 +27,7 @@ def sample(df: DataFrame, key: str, size: int | None, seed: int = 42) -> DataFra
 def take_by_group(df: DataFrame, group: str, key: str, quotas: DataFrame, seed: int = 42, ranked: int = RANKED) -> DataFrame:
     """The first rows of each group in the order of the draw... of a salt, as many as `quotas` (group, want) says."""
     counts = df.groupBy(group).agg(F.count("*").alias("__n")).select(F.col(group).alias("__g"), F.ceil(F.col("__n") / ranked).alias("__salts"))
-    own = df.join(counts, df[group].eqNullSafe(counts["__g"])).withColumn("__salt", F.pmod(draw(key, seed + 1), F.col("__salts"))).drop("__g", "__salts")
+    own = df.join(counts, df[group].eqNullSafe(counts["__g"])).withColumn("__salt", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.col("__salts"))).drop("__g", "__salts")
     parts = own.groupBy(group, "__salt").agg(F.count("*").alias("__m"))
     before = F.coalesce(F.sum("__m").over(W.partitionBy(group).orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("__before", before).join(quotas, group).select(F.col(group).alias("__g"), F.col("__salt").alias("__s"), (F.col("want") - F.col("__before")).alias("__want"))
@@ -65,24 +65,30 @@ def stratified_split(df: DataFrame, key: str, stratum: str, share: float = 0.1,
 
 
 def pair_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """(a, b) at most n different unordered pairs of ids, drawn without forming all pairs: each of 2n + 16 draws
-    takes two rows by their places; repeated and equal ones fall out."""
+    """(a, b): n different unordered pairs of ids, all of them if there are fewer, without forming all pairs of a table
+    that has many more: each draw takes two rows by their places, equal and repeated ones fall out, and draws go on
+    until there are enough. A table of at most 4n pairs is taken in full, in the order of a hash."""
     from resiq.operators.ranks import positions
     from resiq.session import cut
 
     rows = cut(positions(df.select(key), [draw(key, seed), F.col(key)], "place"))
-    total = rows.count()
-    spark = df.sparkSession
-    if total < 2 or n <= 0:
-        return spark.createDataFrame([], f"a {dict(df.dtypes)[key]}, b {dict(df.dtypes)[key]}")
+    total, spark = rows.count(), df.sparkSession
     most = total * (total - 1) // 2
-    if n >= most // 2 and total <= 2000:  # hardly fewer than all pairs of a small table: all pairs in hash order
-        a, b = rows.select(F.col(key).alias("a"), F.lit(1).alias("one")), rows.select(F.col(key).alias("b"), F.lit(1).alias("one"))
-        return a.join(b, "one").where("a < b").orderBy(F.xxhash64("a", "b", F.lit(seed))).limit(n).select("a", "b")
-    at = spark.range(2 * n + 16).select("id", (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)) + 1).alias("i"), (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(total)) + 1).alias("j"))
-    both = at.join(rows.toDF("a", "i"), "i").join(rows.toDF("b", "j"), "j").where("i <> j")
-    once = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("id").alias("id"))
-    return once.orderBy("id").limit(n).select("a", "b")
+    if most <= 0 or n <= 0:
+        return spark.createDataFrame([], f"a {dict(df.dtypes)[key]}, b {dict(df.dtypes)[key]}")
+    if most <= 4 * n:
+        at = spark.range(total * total).select((F.floor(F.col("id") / total) + 1).alias("i"), (F.col("id") % total + 1).alias("j")).where("i < j")
+        both = at.join(rows.toDF("a", "i"), "i").join(rows.toDF("b", "j"), "j")
+        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).orderBy(F.md5(F.concat_ws(":", F.lit(seed), "a", "b"))).limit(n)
+    place = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(f"{s}:"), F.col("id").cast("string"))), 1, 12), 16, 10).cast("long") % total + 1
+    draws = 2 * n + 16
+    while True:
+        at = spark.range(draws).select("id", place(seed).alias("i"), place(seed + 1).alias("j"))
+        both = at.join(rows.toDF("a", "i"), "i").join(rows.toDF("b", "j"), "j").where("i <> j")
+        once = cut(both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("id").alias("id")))
+        if once.count() >= n:
+            return once.orderBy("id").limit(n).select("a", "b")
+        draws *= 2
 
 
 def dealt(load: list[int], n: int, many: int) -> list[int]:

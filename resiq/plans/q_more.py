@@ -47,13 +47,6 @@ def m9(spark, sf):
     return scored(spark, sf).where(OK).select("ord", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
 
-@query("m12_solvent_one_hot", "SELECT ord, (lower(trim(cluster)) = 'cluster0')::INT AS c0, (lower(trim(cluster)) = 'cluster1')::INT AS c1 FROM scored_candidates WHERE cluster IS NOT NULL")
-def m12(spark, sf):
-    """One-hot columns of a category."""
-    c = F.lower(F.trim("cluster"))
-    return scored(spark, sf).where("cluster is not null").select("ord", *((c == f"cluster{k}").cast("int").alias(f"c{k}") for k in (0, 1)))
-
-
 @query("o3_condition_zscore", f"WITH g AS (SELECT * FROM controllability_sequences WHERE {GOOD}), s AS (SELECT avg(charge_ph7_4) AS m, stddev_samp(charge_ph7_4) AS d FROM g) SELECT ord, round((charge_ph7_4 - m) / greatest(d, 1e-6) + 1e-9, 6) AS z FROM g, s")
 def o3(spark, sf):
     g = controlled(spark, sf).where(GOOD)

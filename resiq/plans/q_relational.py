@@ -28,20 +28,13 @@ def observations(spark, sf):
 # ---- A: sources and sinks
 
 
-@query("a1_fasta_scan", "SELECT ord, 1 AS pos, trim(header) AS header, upper(regexp_replace(sequence, '\\s', '', 'g')) AS sequence FROM antibacterial_fasta WHERE sequence IS NOT NULL AND NOT contains(sequence, ' ')")
-def a1(spark, sf):
-    """Each record's FASTA text, sequences with line breaks as they are, back to header and sequence."""
-    text = records(spark, sf).where("sequence is not null and not contains(sequence, ' ')").select("ord", F.concat(F.lit("; a remark\n>"), F.col("header"), F.lit("\r\n"), F.col("sequence"), F.lit("\n\n")).alias("text"))
-    return fasta.fasta_text(text, "text", "ord")
-
-
 #: Lines trimmed and joined without blank ones, as the parser does it: white space inside a line stays.
 JOINED = "upper(array_to_string(list_filter(list_transform(string_split(regexp_replace(sequence, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ''))"
 
 
-@query("a1_fasta_scan_all", f"SELECT ord, 1 AS pos, trim(header) AS header, {JOINED} AS sequence FROM antibacterial_fasta WHERE sequence IS NOT NULL")
-def a1_all(spark, sf):
-    """As a1_fasta_scan, with the sequences that hold spaces."""
+@query("a1_fasta_scan", f"SELECT ord, 1 AS pos, trim(header) AS header, {JOINED} AS sequence FROM antibacterial_fasta WHERE sequence IS NOT NULL")
+def a1(spark, sf):
+    """Each record's FASTA text, sequences with line breaks as they are, back to header and sequence."""
     text = records(spark, sf).where("sequence is not null").select("ord", F.concat(F.lit("; a remark\n>"), F.col("header"), F.lit("\r\n"), F.col("sequence"), F.lit("\n\n")).alias("text"))
     return fasta.fasta_text(text, "text", "ord")
 
@@ -57,15 +50,8 @@ def a5(spark, sf):
     return fasta.fasta_lines(rows, prefix="amp")
 
 
-@query("a7_json_cells", "SELECT ord, '[' || array_to_string(list_transform(string_split(dbs, '|'), lambda x: '\"' || x || '\"'), ',') || ']' AS dbs FROM antibacterial_fasta WHERE dbs IS NOT NULL AND NOT contains(dbs, '\"') AND NOT contains(dbs, chr(9))")
+@query("a7_json_cells", "SELECT ord, to_json(string_split(dbs, '|'))::VARCHAR AS dbs FROM antibacterial_fasta WHERE dbs IS NOT NULL")
 def a7(spark, sf):
-    df = records(spark, sf).where("dbs is not null and not contains(dbs, '\"') and not contains(dbs, '\t')").select("ord", F.split("dbs", "[|]").alias("dbs"))
-    return tables.json_cells(df)
-
-
-@query("a7_json_cells_all", "SELECT ord, to_json(string_split(dbs, '|'))::VARCHAR AS dbs FROM antibacterial_fasta WHERE dbs IS NOT NULL")
-def a7_all(spark, sf):
-    """As a7_json_cells, with the texts that JSON has to escape."""
     return tables.json_cells(records(spark, sf).where("dbs is not null").select("ord", F.split("dbs", "[|]").alias("dbs")))
 
 
@@ -143,6 +129,14 @@ def c12(spark, sf):
 # ---- D: aggregates
 
 ORGANISM = "array_to_string(list_transform(regexp_extract_all(regexp_replace(trim(bacterium), '\\s+', ' ', 'g'), '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), '')"
+def sql_phi(z: str) -> str:
+    """The normal distribution function by formula 7.1.26 of Abramowitz and Stegun. Fixed values."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    t = f"(1 / (1 + 0.3275911::DOUBLE * {x}))"
+    tail = f"(0.5 * {t} * (0.254829592::DOUBLE + {t} * (-0.284496736::DOUBLE + {t} * (1.421413741::DOUBLE + {t} * (-1.453152027::DOUBLE + {t} * 1.061405429::DOUBLE)))) * exp(-{x} * {x}))"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END"
+
+
 NAME = f"CASE WHEN bacterium IS NULL THEN 'unknown' WHEN len(string_split(regexp_replace(trim(bacterium), '\\s+', ' ', 'g'), ' ')) <= 2 THEN {ORGANISM} ELSE regexp_replace(trim(bacterium), '\\s+', ' ', 'g') END"
 MICS = f"""mic AS (SELECT upper(sequence) AS sequence, {NAME} AS bacterium, TRY_CAST(nullif(regexp_extract(value, '(\\d+(\\.\\d+)?)', 1), '') AS DOUBLE) AS mic
  FROM mic_observations WHERE sequence IS NOT NULL AND bacterium IS NOT NULL AND value IS NOT NULL),
@@ -191,9 +185,11 @@ def d4(spark, sf):
     return n.withColumn("fraction", F.round(F.col("n") / F.sum("n").over(W.partitionBy("split")), 6))
 
 
-@query("d5_tag_counts", "SELECT x AS tag, count(*) AS n FROM (SELECT unnest(string_split(dbs, '|')) AS x FROM antibacterial_fasta) GROUP BY 1")
+@query("d5_tag_counts", "SELECT field, x AS tag, count(*) AS n FROM (SELECT 'dbs' AS field, unnest(string_split(dbs, '|')) AS x FROM antibacterial_fasta UNION ALL SELECT 'activity', unnest(string_split(activity, '|')) FROM antibacterial_fasta) GROUP BY 1, 2")
 def d5(spark, sf):
-    return records(spark, sf).where("dbs is not null").select(F.explode(F.split("dbs", "[|]")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    """Tags between bars; p2 splits by every sign."""
+    both = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("v")) for c in ("dbs", "activity"))))
+    return records(spark, sf).select(both.alias("b")).select("b.field", F.explode(F.split("b.v", "[|]")).alias("tag")).groupBy("field", "tag").agg(F.count("*").alias("n"))
 
 
 @query("d6_aa_composition", f"WITH a AS (SELECT unnest(string_split({residues('sequence')}, '')) AS aa FROM antibacterial_fasta), c AS (SELECT aa, count(*) AS n FROM a WHERE aa <> '' GROUP BY 1), r AS (SELECT unnest(string_split('{AA}', '')) AS aa) SELECT r.aa, coalesce(n, 0) AS n, round(100 * coalesce(n, 0) / (SELECT sum(n) FROM c), 6) AS percent FROM r LEFT JOIN c ON r.aa = c.aa")
@@ -306,10 +302,10 @@ def d16(spark, sf):
     return scored(spark, sf).groupBy("batch_no").agg(F.mode("cluster", True).alias("cluster"))
 
 
-@query("d17_ensemble_stats", "SELECT ord, round((score + mic / 100 + hc50 / 1000) / 3, 6) AS mean, round(sqrt((score * score + (mic / 100) ** 2 + (hc50 / 1000) ** 2) / 3 - ((score + mic / 100 + hc50 / 1000) / 3) ** 2), 6) AS std FROM scored_candidates WHERE score IS NOT NULL AND mic IS NOT NULL AND hc50 IS NOT NULL AND NOT isnan(hc50) AND NOT isnan(mic) AND hc50 < 100000")
+@query("d17_ensemble_stats", "SELECT ord, round((score + mic / 100 + hc50 / 1000) / 3, 6) AS mean, round(sqrt((score * score + (mic / 100) ** 2 + (hc50 / 1000) ** 2) / 3 - ((score + mic / 100 + hc50 / 1000) / 3) ** 2), 6) AS std FROM scored_candidates WHERE score IS NOT NULL AND mic IS NOT NULL AND hc50 IS NOT NULL AND NOT isnan(hc50) AND NOT isnan(mic)")
 def d17(spark, sf):
     """Mean and population deviation over a row's models."""
-    df = scored(spark, sf).where("score is not null and mic is not null and hc50 is not null and not isnan(hc50) and not isnan(mic) and hc50 < 100000").select("ord", F.array(F.col("score"), F.col("mic") / 100, F.col("hc50") / 1000).alias("m"))
+    df = scored(spark, sf).where("score is not null and mic is not null and hc50 is not null and not isnan(hc50) and not isnan(mic)").select("ord", F.array(F.col("score"), F.col("mic") / 100, F.col("hc50") / 1000).alias("m"))
     mean = F.aggregate("m", F.lit(0.0), lambda s, x: s + x) / F.size("m")
     df = df.withColumn("mean", mean)
     var = F.aggregate("m", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("m")
@@ -415,11 +411,11 @@ def f6(spark, sf):
     return ranks.positions(s, [F.desc(F.length("s")), F.col("s")], "place")
 
 
-@query("f7_hash_order")
+@query("f7_hash_order", f"SELECT s, md5('42:' || s) AS score FROM (SELECT DISTINCT {residues('seq')} AS s FROM scored_candidates WHERE seq IS NOT NULL) ORDER BY 2 LIMIT 100")
 def f7(spark, sf):
     """A stand-in score: a seeded hash of the sequence, the 100 smallest."""
     s = scored(spark, sf).where("seq is not null").select(X.residues(F.col("seq")).alias("s")).distinct()
-    return s.withColumn("score", F.xxhash64("s", F.lit(42))).orderBy("score").limit(100)
+    return s.withColumn("score", F.md5(F.concat(F.lit("42:"), F.col("s")))).orderBy("score").limit(100)
 
 
 # ---- G: sets
@@ -458,9 +454,9 @@ def h1(spark, sf):
     return scored(spark, sf).select("ord", F.length(s).alias("n"), (F.length(s) - F.length(F.replace(s, F.lit("K"), F.lit("")))).alias("n_k"), F.substring(s, 1, 3).alias("head"), F.reverse(s).alias("back"), F.replace(s, F.lit("KK"), F.lit(".")).alias("replaced"))
 
 
-@query("h2_header_parse", "SELECT ord, nullif(regexp_extract(header, '\\scharge=(\\S*)', 1), '') AS charge, nullif(regexp_extract(header, '\\sdisulfide=(\\S*)', 1), '') AS disulfide FROM antibacterial_fasta WHERE NOT contains(regexp_extract(header, '\\sdbs=.*'), 'charge=')")
+@query("h2_header_parse", "SELECT ord, nullif(regexp_extract_all(header, '\\scharge=(\\S*)', 1)[-1], '') AS charge, nullif(regexp_extract_all(header, '\\sdisulfide=(\\S*)', 1)[-1], '') AS disulfide FROM antibacterial_fasta")
 def h2(spark, sf):
-    df = records(spark, sf).where(~F.contains(F.regexp_extract("header", r"\sdbs=.*", 0), F.lit("charge="))).select("ord", X.header_fields(F.col("header")).alias("m"))
+    df = records(spark, sf).select("ord", X.header_fields(F.col("header")).alias("m"))
     get = lambda k: F.nullif(F.try_element_at("m", F.lit(k)), F.lit(""))
     return df.select("ord", get("charge").alias("charge"), get("disulfide").alias("disulfide"))
 
@@ -480,13 +476,13 @@ def h5(spark, sf):
     return observations(spark, sf).select("ord", F.round(-F.log10(X.number_in(F.col("value")) + 1e-6), 6).alias("pmic"))
 
 
-@query("h6_math", "SELECT ord, round(exp(-mic / 100), 6) AS e, round(sqrt(mic), 6) AS r, round(cos(radians(mic)), 6) AS c, floor(mic)::BIGINT AS f, ceil(mic)::BIGINT AS k, round(least(greatest(mic, 1), 10), 6) AS clipped FROM scored_candidates WHERE mic > 0 AND mic < 100000")
+@query("h6_math", "SELECT ord, round(exp(-mic / 100), 6) AS e, round(sqrt(mic), 6) AS r, round(cos(radians(mic)), 6) AS c, floor(mic)::BIGINT AS f, ceil(mic)::BIGINT AS k, round(least(greatest(mic, 1), 10), 6) AS clipped FROM scored_candidates WHERE mic > 0 AND NOT isnan(mic)")
 def h6(spark, sf):
     m = F.col("mic")
-    return scored(spark, sf).where("mic > 0 and mic < 100000").select("ord", F.round(F.exp(-m / 100), 6).alias("e"), F.round(F.sqrt(m), 6).alias("r"), F.round(F.cos(F.radians(m)), 6).alias("c"), F.floor(m).alias("f"), F.ceil(m).alias("k"), F.round(F.least(F.greatest(m, F.lit(1.0)), F.lit(10.0)), 6).alias("clipped"))
+    return scored(spark, sf).where("mic > 0 and not isnan(mic)").select("ord", F.round(F.exp(-m / 100), 6).alias("e"), F.round(F.sqrt(m), 6).alias("r"), F.round(F.cos(F.radians(m)), 6).alias("c"), F.floor(m).alias("f"), F.ceil(m).alias("k"), F.round(F.least(F.greatest(m, F.lit(1.0)), F.lit(10.0)), 6).alias("clipped"))
 
 
-@query("h7_normal_cdf")
+@query("h7_normal_cdf", f"SELECT ord, round({sql_phi('(score - 0.5) * 4')}, 6) AS phi FROM scored_candidates WHERE score IS NOT NULL AND NOT isnan(score)")
 def h7(spark, sf):
     """Phi of the standardised scores; tested against the error function."""
     return scored(spark, sf).where("score is not null and not isnan(score)").select("ord", F.round(stats.normal_cdf((F.col("score") - 0.5) * 4), 6).alias("phi"))

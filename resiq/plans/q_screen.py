@@ -136,9 +136,9 @@ def b12(spark, sf):
     return table(spark, sf, "scored_candidates").agg(F.count("*").alias("n"), F.count_if(good).alias("n_good"), F.count_if(~good).alias("n_bad"))
 
 
-@query("b15_drop_columns", "SELECT ord, record_id, value FROM mic_observations WHERE bacterium IS NULL")
+@query("b15_drop_columns", "SELECT ord, record_id, value FROM mic_observations")
 def b15(spark, sf):
-    df = table(spark, sf, "mic_observations").where("bacterium is null")
+    df = table(spark, sf, "mic_observations")
     return df.drop(*(c for c in df.columns if "bacter" in c.lower() or "sequence" in c.lower() or c.endswith("_at")))
 
 
@@ -165,18 +165,23 @@ def e3(spark, sf):
     return screen.dedup_first(candidates(spark, sf).select("ord", X.tidy(F.col("seq")).alias("s")), "s")
 
 
-@query(
-    "e5_quota_accept",
-    f"""WITH RECURSIVE ref AS (SELECT DISTINCT {tidy('sequence')} AS s FROM conditioned_peptides),
- d AS (SELECT target, ord AS draw, {tidy('sequence')} AS s FROM controllability_sequences WHERE target IN ('lowQ_lowH', 'midQ_lowH')),
- v AS (SELECT *, CASE WHEN s IS NULL OR length(s) NOT BETWEEN 8 AND 50 THEN 'length' WHEN NOT regexp_full_match(s, '[{AA}]+') THEN 'alphabet' WHEN s IN (SELECT s FROM ref WHERE s IS NOT NULL) THEN 'exact_reference' END AS bad FROM d),
- a1 AS (SELECT *, coalesce(bad, CASE WHEN row_number() OVER (PARTITION BY s, bad ORDER BY draw) > 1 THEN 'duplicate' ELSE 'accept' END) AS reason FROM v WHERE target = 'lowQ_lowH'),
- b1 AS (SELECT *, sum((reason = 'accept')::INT) OVER (ORDER BY draw) AS n FROM a1), c1 AS (SELECT * FROM b1 WHERE n < 200 OR (n = 200 AND reason = 'accept')),
- a2 AS (SELECT *, coalesce(bad, CASE WHEN row_number() OVER (PARTITION BY s, bad ORDER BY draw) > 1 OR s IN (SELECT s FROM c1 WHERE reason = 'accept') THEN 'duplicate' ELSE 'accept' END) AS reason FROM v WHERE target = 'midQ_lowH'),
- b2 AS (SELECT *, sum((reason = 'accept')::INT) OVER (ORDER BY draw) AS n FROM a2), c2 AS (SELECT * FROM b2 WHERE n < 100 OR (n = 100 AND reason = 'accept'))
- SELECT target, draw, reason FROM c1 UNION ALL SELECT target, draw, reason FROM c2""",
-)
+#: Targets in turn, with what each must accept.
+QUOTAS = [("lowQ_lowH", 200), ("midQ_lowH", 100), ("highQ_lowH", 150), ("lowQ_midH", 100), ("midQ_midH", 300), ("highQ_midH", 250)]
+
+
+def sql_quotas() -> str:
+    parts = [f"""ref AS (SELECT DISTINCT {tidy('sequence')} AS s FROM conditioned_peptides), d AS (SELECT target, ord AS draw, {tidy('sequence')} AS s FROM controllability_sequences),
+ v AS (SELECT *, CASE WHEN s IS NULL OR length(s) NOT BETWEEN 8 AND 50 THEN 'length' WHEN NOT regexp_full_match(s, '[{AA}]+') THEN 'alphabet' WHEN s IN (SELECT s FROM ref WHERE s IS NOT NULL) THEN 'exact_reference' END AS bad FROM d)"""]
+    for k, (target, quota) in enumerate(QUOTAS):
+        seen = "".join(f" OR s IN (SELECT s FROM c{j} WHERE reason = 'accept')" for j in range(k))
+        parts.append(f"""a{k} AS (SELECT *, coalesce(bad, CASE WHEN row_number() OVER (PARTITION BY s, bad ORDER BY draw) > 1{seen} THEN 'duplicate' ELSE 'accept' END) AS reason FROM v WHERE target = '{target}'),
+ b{k} AS (SELECT *, sum((reason = 'accept')::INT) OVER (ORDER BY draw) AS n FROM a{k}), c{k} AS (SELECT * FROM b{k} WHERE n < {quota} OR (n = {quota} AND reason = 'accept'))""")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT target, draw, reason FROM c{k}" for k in range(len(QUOTAS)))
+
+
+@query("e5_quota_accept", sql_quotas())
 def e5(spark, sf):
+    """All targets in turn, up to a quota each."""
     draws = table(spark, sf, "controllability_sequences").select("target", F.col("ord").alias("draw"), X.tidy(F.col("sequence")).alias("seq"))
     ref = table(spark, sf, "conditioned_peptides").select(X.tidy(F.col("sequence")).alias("seq"))
-    return screen.quota_accept(draws, ref, [("lowQ_lowH", 200), ("midQ_lowH", 100)]).select("target", "draw", "reason")
+    return screen.quota_accept(draws, ref, QUOTAS).select("target", "draw", "reason")

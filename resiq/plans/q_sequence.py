@@ -10,7 +10,7 @@ from resiq.functions import scales as S
 from resiq.functions import text as X
 from resiq.operators import models, ranks, sampling, similarity, stats, vectors
 from resiq.operators.blocks import nearest
-from resiq.plans.q_relational import DESCRIPTORS, LONG, controlled, long, scored, training_rows
+from resiq.plans.q_relational import DESCRIPTORS, LONG, controlled, long, scored, sql_phi, training_rows
 from resiq.plans.q_screen import split_candidates
 from resiq.plans.registry import AA, CAND, REF, query, residues
 from resiq.session import cut, table
@@ -64,13 +64,6 @@ def i2(spark, sf):
     return sequences(spark, sf).select("ord", F.round(D.mean_scale(s, S.INTERFACE) + NUDGE, 6).alias("interface"), F.round(D.mean_scale(s, S.KYTE_DOOLITTLE) + NUDGE, 6).alias("kyte_doolittle"), F.round(D.mean_scale(s, S.EISENBERG) + NUDGE, 6).alias("eisenberg"))
 
 
-@query("i3_descriptor_row", f"WITH {SEQS} SELECT ord, length(s) AS length, round({sql_sum(S.MASS)} + {S.WATER}, 4) AS molecular_weight, round({sql_charge(7.4, S.LEHNINGER)}, 6) AS charge, round({sql_share('KR')}, 6) AS basic, round({sql_share('DE')}, 6) AS acidic, round({sql_share('AVILMFWY')}, 6) AS hydrophobic, round({sql_share('FWY')}, 6) AS aromatic, round({sql_share('GP')}, 6) AS gp, round({sql_share('C')}, 6) AS c FROM q")
-def i3(spark, sf):
-    s = F.col("s")
-    shares = {"basic": "KR", "acidic": "DE", "hydrophobic": "AVILMFWY", "aromatic": "FWY", "gp": "GP", "c": "C"}
-    return sequences(spark, sf).select("ord", F.length(s).alias("length"), F.round(D.mass(s), 4).alias("molecular_weight"), F.round(D.net_charge(s, 7.4, S.LEHNINGER), 6).alias("charge"), *(F.round(D.share(s, v), 6).alias(k) for k, v in shares.items()))
-
-
 WINDOWED = f"""w AS (SELECT ord, s, least(11, length(s)) AS w, list_transform(string_split(s, ''), lambda x: coalesce({sql_map(S.EISENBERG)}[x], 0.0::DOUBLE)) AS v FROM q)
  SELECT ord, round(list_max(list_transform(range(length(s) - w + 1), lambda k: sqrt(list_sum(list_transform(range(w), lambda i: v[k + i + 1] * cos(i * radians(100)))) ** 2 + list_sum(list_transform(range(w), lambda i: v[k + i + 1] * sin(i * radians(100)))) ** 2) / w)), 6) AS moment FROM w"""
 
@@ -80,21 +73,15 @@ def i4(spark, sf):
     return sequences(spark, sf).select("ord", F.round(D.window_moment(F.col("s")), 6).alias("moment"))
 
 
-@query("i5_ranker_features", f"WITH {SEQS} SELECT ord, round({sql_sum(S.KYTE_DOOLITTLE)} / length(s) + {NUDGE}, 6) AS gravy, round({sql_share('FWY')}, 6) AS aromaticity, round({sql_charge(3.0, S.SAFETY)}, 6) AS charge_ph3, round({sql_charge(9.0, S.SAFETY)}, 6) AS charge_ph9, length(regexp_replace(s, '[^KR]', '', 'g')) AS n_pos, length(regexp_replace(s, '[^DE]', '', 'g')) AS n_neg, round({sql_share('AILMFWV')}, 6) AS hydrophobic_ratio FROM q")
-def i5(spark, sf):
-    s = F.col("s")
-    return sequences(spark, sf).select("ord", F.round(D.mean_scale(s, S.KYTE_DOOLITTLE) + NUDGE, 6).alias("gravy"), F.round(D.share(s, "FWY"), 6).alias("aromaticity"), F.round(D.net_charge(s, 3.0), 6).alias("charge_ph3"), F.round(D.net_charge(s, 9.0), 6).alias("charge_ph9"), D.count(s, "KR").alias("n_pos"), D.count(s, "DE").alias("n_neg"), F.round(D.share(s, "AILMFWV"), 6).alias("hydrophobic_ratio"))
-
-
 @query("i6_training_features", f"WITH {SEQS} SELECT ord, length(s) AS length, round({sql_sum(S.MASS)} + {S.WATER}, 4) AS mw, round({sql_sum(S.KYTE_DOOLITTLE)} / length(s) + {NUDGE}, 6) AS gravy, round({sql_share('FWY')}, 6) AS aromaticity FROM q")
 def i6(spark, sf):
     s = F.col("s")
     return sequences(spark, sf).select("ord", F.length(s).alias("length"), F.round(D.mass(s), 4).alias("mw"), F.round(D.mean_scale(s, S.KYTE_DOOLITTLE) + NUDGE, 6).alias("gravy"), F.round(D.share(s, "FWY"), 6).alias("aromaticity"))
 
 
-@query("i7_mean_scales", f"WITH {SEQS} SELECT ord, " + ", ".join(f"round({sql_sum(v)} / length(s) + {NUDGE}, 6) AS {k}" for k, v in (("ww", S.INTERFACE_CHARGED), ("hopp_woods", S.HOPP_WOODS), ("janin", S.JANIN), ("helix", S.HELIX), ("binding", S.BINDING))) + " FROM q")
+@query("i7_mean_scales", f"WITH {SEQS} SELECT ord, " + ", ".join(f"round({sql_sum(v)} / length(s) + {NUDGE}, 6) AS {k}" for k, v in (("ww", S.INTERFACE_CHARGED), ("hopp_woods", S.HOPP_WOODS), ("janin", S.JANIN), ("helix", S.HELIX), ("boman", S.BOMAN))) + " FROM q")
 def i7(spark, sf):
-    own = {"ww": S.INTERFACE_CHARGED, "hopp_woods": S.HOPP_WOODS, "janin": S.JANIN, "helix": S.HELIX, "binding": S.BINDING}
+    own = {"ww": S.INTERFACE_CHARGED, "hopp_woods": S.HOPP_WOODS, "janin": S.JANIN, "helix": S.HELIX, "boman": S.BOMAN}
     return sequences(spark, sf).select("ord", *(F.round(D.mean_scale(F.col("s"), v) + NUDGE, 6).alias(k) for k, v in own.items()))
 
 
@@ -108,8 +95,8 @@ def i9(spark, sf):
     return sequences(spark, sf).select("ord", F.round(D.net_charge(F.col("s")), 6).alias("ph74"), F.round(D.net_charge(F.col("s"), 5.0), 6).alias("ph5"))
 
 
-def sql_pi() -> str:
-    plus, minus, n_end, c_end = S.SAFETY
+def sql_pi(pka=S.SAFETY) -> str:
+    plus, minus, n_end, c_end = pka
     n = {a: f"(length(s) - length(replace(s, '{a}', '')))" for a in [*plus, *minus]}
     counts = ", ".join(f"{v}::DOUBLE AS n{a}" for a, v in n.items())
     m = "(lo + hi) * 0.5"
@@ -139,7 +126,7 @@ def i12(spark, sf):
     return sequences(spark, sf).select("ord", F.round(D.aliphatic_index(F.col("s")), 6).alias("aliphatic"))
 
 
-UNSTABLE = "[" + ", ".join(f"'{a}{b}'" for a, bs in S.UNSTABLE.items() for b in bs) + "]"
+UNSTABLE = "[" + ", ".join(f"'{d}'" for d in S.UNSTABLE) + "]"
 
 
 @query("i13_instability", f"WITH {SEQS} SELECT ord, CASE WHEN length(s) < 2 THEN 0.0 ELSE round(100.0::DOUBLE * len(list_filter(range(1, length(s)), lambda i: list_contains({UNSTABLE}, substr(s, i, 2)))) / (length(s) - 1), 6) END AS instability FROM q")
@@ -172,7 +159,7 @@ def sql_summary() -> str:
         "hydrophobicity_kd": mean(S.KYTE_DOOLITTLE), "hydrophobicity_eisenberg": eis, "hydrophobicity_ww": mean(S.INTERFACE_CHARGED), "hydrophobicity_hoppwoods": mean(S.HOPP_WOODS), "hydrophobicity_janin": mean(S.JANIN),
         "hydrophobic_moment_helix": sql_moment(100), "hydrophobic_moment_beta": sql_moment(180), "aromatic_frac": arom, "trp_frac": sql_share("W"), "phe_frac": sql_share("F"), "tyr_frac": sql_share("Y"),
         "lys_arg_frac": sql_share("KR"), "acidic_frac": sql_share("DE"), "hydrophobic_frac": sql_share("AILMFVW"), "aliphatic_index": f"100 * {sql_share('A')} + 2.9 * 100 * {sql_share('V')} + 3.9 * 100 * {sql_share('IL')}",
-        "boman_index": mean(S.BINDING), "instability_index": unstable, "helical_propensity": mean(S.HELIX), "aggregation_propensity": f"{eis} + 0.5 * {arom} - 0.3 * abs({charge})", "amphipathicity": sql_moment(100),
+        "boman_index": mean(S.BOMAN), "instability_index": unstable, "helical_propensity": mean(S.HELIX), "aggregation_propensity": f"{eis} + 0.5 * {arom} - 0.3 * abs({charge})", "amphipathicity": sql_moment(100),
         **{f"cleavage_{k}".lower(): sql_share(v) for k, v in S.CUTS.items()}, "oxidation_sensitive": sql_share("MCW"), "deamidation_prone": sql_share("NQ"), "camsol_like": f"0.5 * abs({charge}) - 1.2 * {eis} - 0.8 * {arom}",
     }
     return f"WITH {SEQS} SELECT q.ord, p.pi, " + ", ".join(f"round({v} + {NUDGE}, 5) AS {k}" for k, v in cols.items()) + f" FROM q JOIN ({sql_pi()}) p ON q.ord = p.ord"
@@ -200,32 +187,52 @@ def by_split(spark, sf):
     return table(spark, sf, "conditioned_peptides").select("ord", "split", "source", X.residues(F.col("sequence")).alias("s")).where("length(s) > 0").withColumn("length", F.length("s"))
 
 
-@query("j1_unmatched_sample")
+MASKS = "list_transform(range(1, 27), lambda c: coalesce(list_sum(list_transform(list_filter(range(1, length({s}) + 1), lambda i: ascii(substr({s}, i, 1)) = 64 + c), lambda i: 1::BIGINT << (i - 1))), 0)::BIGINT)"
+#: LCS of text b against masks m and length n of another of at most 62 letters.
+LCS = "(n - bit_count(list_reduce(list_prepend((1::BIGINT << n) - 1, list_transform(string_split(b, ''), lambda c: m[ascii(c) - 64])), lambda v, k: ((v + (v & k)) | (v & xor(k, (1::BIGINT << n) - 1))) & ((1::BIGINT << n) - 1))))"
+
+
+def sql_draw(key: str, seed: int = 42) -> str:
+    return f"md5('{seed}:' || {key})"
+
+
+@query("j1_unmatched_sample", f"SELECT ord FROM conditioned_peptides WHERE length({R}) > 0 ORDER BY {sql_draw('ord')}, ord LIMIT 200")
 def j1(spark, sf):
     return sampling.sample(by_split(spark, sf), "ord", 200).select("ord")
 
 
-LENGTHS = f"p AS (SELECT ord, split, length({R}) AS length FROM conditioned_peptides WHERE length({R}) > 0), a AS (SELECT length, count(*) AS n FROM p WHERE split = 'train' GROUP BY 1), b AS (SELECT length, count(*) AS n FROM p WHERE split = 'test' GROUP BY 1)"
+PARTS = f"p AS (SELECT ord, split, length({R}) AS length FROM conditioned_peptides WHERE length({R}) > 0), a AS (SELECT length, count(*) AS n FROM p WHERE split = 'train' GROUP BY 1), b AS (SELECT length, count(*) AS n FROM p WHERE split = 'test' GROUP BY 1)"
+
 
+def sql_first(rows: str, want: str, by: str = "length", key: str = "ord") -> str:
+    """The first rows of each group by the draw, as many as `want` (by, n) says."""
+    return f"SELECT r.* EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {sql_draw(key)}, {key}) AS rn FROM ({rows})) r JOIN ({want}) w ON r.{by} = w.{by} WHERE rn <= w.n"
 
-@query("j2_length_matched", f"WITH {LENGTHS} SELECT b.length, b.n FROM b")
+
+@query("j2_length_matched", f"WITH {PARTS} SELECT ord, length FROM ({sql_first('FROM p', 'FROM b')})")
 def j2(spark, sf):
-    """As many rows of each length as the test split has, from all rows; their lengths."""
+    """As many rows of each length as the test split has, from all rows."""
     rows = by_split(spark, sf)
-    return sampling.length_matched(rows, rows.where("split = 'test'")).groupBy("length").agg(F.count("*").alias("n"))
+    return sampling.length_matched(rows, rows.where("split = 'test'")).select("ord", "length")
+
 
+BOTH = "SELECT a.length, least(a.n, b.n) AS n FROM a JOIN b ON a.length = b.length"
+TRAIN_ROWS, TEST_ROWS = ("SELECT * FROM p WHERE split = '" + x + "'" for x in ("train", "test"))
 
-@query("j3_length_matched_pairs", f"WITH {LENGTHS} SELECT a.length, least(a.n, b.n) AS n_one, least(a.n, b.n) AS n_two FROM a JOIN b ON a.length = b.length")
+
+@query("j3_length_matched_pairs", f"WITH {PARTS} SELECT ord, split FROM ({sql_first(TRAIN_ROWS, BOTH)}) UNION ALL SELECT ord, split FROM ({sql_first(TEST_ROWS, BOTH)})")
 def j3(spark, sf):
     rows = by_split(spark, sf)
     one, two = sampling.length_matched_pairs(rows.where("split = 'train'"), rows.where("split = 'test'"))
-    n = lambda d, c: d.groupBy("length").agg(F.count("*").alias(c))
-    return n(one, "n_one").join(n(two, "n_two"), "length", "full_outer")
+    return one.select("ord", "split").unionAll(two.select("ord", "split"))
+
 
+HELD = "SELECT length, least(CASE WHEN count(*) >= 10 THEN greatest(round_even(count(*) * 0.1, 0), 1) ELSE round_even(count(*) * 0.1, 0) END, count(*) - 1)::BIGINT AS n FROM p GROUP BY 1"
 
-@query("j4_stratified_split", f"WITH p AS (SELECT length({R}) AS length, count(*) AS n FROM conditioned_peptides WHERE length({R}) > 0 GROUP BY 1) SELECT length, n AS n_rows, least(CASE WHEN n >= 10 THEN greatest(round_even(n * 0.1, 0), 1) ELSE round_even(n * 0.1, 0) END, n - 1)::BIGINT AS n_val FROM p")
+
+@query("j4_stratified_split", f"WITH {PARTS}, v AS ({sql_first('FROM p', HELD)}) SELECT p.ord, CASE WHEN v.ord IS NULL THEN 'train' ELSE 'val' END AS split FROM p LEFT JOIN v ON p.ord = v.ord")
 def j4(spark, sf):
-    return sampling.stratified_split(by_split(spark, sf).drop("split"), "ord", "length").groupBy("length").agg(F.count("*").alias("n_rows"), F.count_if(F.col("split") == "val").alias("n_val"))
+    return sampling.stratified_split(by_split(spark, sf).drop("split"), "ord", "length").select("ord", "split")
 
 
 @query("j5_stored_split", "SELECT split, count(*) AS n FROM conditioned_peptides GROUP BY 1")
@@ -234,7 +241,16 @@ def j5(spark, sf):
     return table(spark, sf, "conditioned_peptides").groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("j6_unique_pairs")
+PLACE = "('0x' || substr(md5('{}:' || i), 1, 12))::BIGINT % (SELECT count(*) FROM p) + 1"
+RANDOM_PAIRS = f"""WITH p AS (SELECT ord, s, row_number() OVER (ORDER BY {sql_draw('ord')}, ord) AS place FROM (SELECT ord, {R} AS s FROM conditioned_peptides WHERE length({R}) > 0)),
+ d AS (SELECT i, {PLACE.format(42)} AS x, {PLACE.format(43)} AS y FROM range(2 * 500 + 16) t(i)),
+ k AS (SELECT least(a.ord, b.ord) AS a, greatest(a.ord, b.ord) AS b, min(i) AS i FROM d JOIN p a ON a.place = x JOIN p b ON b.place = y WHERE x <> y GROUP BY 1, 2 ORDER BY i LIMIT 500),
+ t AS (SELECT CASE WHEN length(a.s) <= length(b.s) THEN a.s ELSE b.s END AS s, CASE WHEN length(a.s) <= length(b.s) THEN b.s ELSE a.s END AS b FROM k JOIN p a ON a.ord = k.a JOIN p b ON b.ord = k.b),
+ l AS (SELECT b, {MASKS.format(s='s')} AS m, length(s)::INT AS n FROM t), r AS (SELECT 2.0::DOUBLE * {LCS} / (length(b) + n) AS r FROM l)
+ SELECT count(*) AS n, round(avg(r), 6) AS mean, round(median(r), 6) AS median, round(avg((r > 0.6)::INT), 6) AS above_60, round(avg((r > 0.8)::INT), 6) AS above_80 FROM r"""
+
+
+@query("j6_unique_pairs", RANDOM_PAIRS)
 def j6(spark, sf):
     """Similarity over 500 random pairs: mean, median, share above 0.6 and 0.8."""
     rows = by_split(spark, sf)
@@ -244,28 +260,31 @@ def j6(spark, sf):
     return both.agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.percentile("r", F.lit(0.5)), 6).alias("median"), F.round(F.avg((F.col("r") > 0.6).cast("int")), 6).alias("above_60"), F.round(F.avg((F.col("r") > 0.8).cast("int")), 6).alias("above_80"))
 
 
-@query("j7_group_kfold")
+FOLDS = """WITH RECURSIVE s AS (SELECT cluster, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, cluster) AS i FROM scored_candidates WHERE cluster IS NOT NULL GROUP BY 1),
+ r AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, NULL::VARCHAR AS cluster, NULL::BIGINT AS n, NULL::INT AS fold
+  UNION ALL SELECT s.i, list_transform(range(1, 6), lambda k: load[k] + CASE WHEN k = list_position(load, list_min(load)) THEN s.n ELSE 0 END), s.cluster, s.n, (list_position(load, list_min(load)) - 1)::INT FROM r JOIN s ON s.i = r.i + 1)
+ SELECT fold, sum(n)::BIGINT AS n_rows, count(*) AS n_groups FROM r WHERE fold IS NOT NULL GROUP BY 1"""
+
+
+@query("j7_group_kfold", FOLDS)
 def j7(spark, sf):
     rows = scored(spark, sf).where("cluster is not null")
     return rows.join(sampling.group_folds(rows, "cluster"), "cluster").groupBy("fold").agg(F.count("*").alias("n_rows"), F.count_distinct("cluster").alias("n_groups"))
 
 
-@query("j8_locked_split", "SELECT count(*) AS n_groups, greatest(1, round_even(0.18 * count(*), 0))::BIGINT AS n_test FROM (SELECT DISTINCT record_id FROM mic_observations WHERE record_id IS NOT NULL)")
+@query("j8_locked_split", f"WITH g AS (SELECT DISTINCT record_id FROM mic_observations WHERE record_id IS NOT NULL), o AS (SELECT record_id, row_number() OVER (ORDER BY {sql_draw('record_id')}, record_id) AS rn FROM g) SELECT record_id, CASE WHEN rn <= (SELECT greatest(1, round_even(0.18 * count(*), 0)) FROM g) THEN 'test' ELSE 'train' END AS split FROM o")
 def j8(spark, sf):
     rows = table(spark, sf, "mic_observations").where("record_id is not null")
-    return sampling.locked_split(rows, "record_id").agg(F.count("*").alias("n_groups"), F.count_if(F.col("split") == "test").alias("n_test"))
+    return sampling.locked_split(rows, "record_id")
 
 
-@query("j9_row_sample")
+@query("j9_row_sample", f"SELECT ord FROM scored_candidates ORDER BY {sql_draw('ord', 7)}, ord LIMIT 100")
 def j9(spark, sf):
     return sampling.sample(scored(spark, sf), "ord", 100, seed=7).select("ord")
 
 
 # ---- C3-C9, K: similarity
 
-MASKS = "list_transform(range(1, 27), lambda c: coalesce(list_sum(list_transform(list_filter(range(1, length({s}) + 1), lambda i: ascii(substr({s}, i, 1)) = 64 + c), lambda i: 1::BIGINT << (i - 1))), 0)::BIGINT)"
-#: LCS of text b against masks m and length n of another of at most 62 letters.
-LCS = "(n - bit_count(list_reduce(list_prepend((1::BIGINT << n) - 1, list_transform(string_split(b, ''), lambda c: m[ascii(c) - 64])), lambda v, k: ((v + (v & k)) | (v & xor(k, (1::BIGINT << n) - 1))) & ((1::BIGINT << n) - 1))))"
 TEXTS = f"t AS (SELECT DISTINCT {R} AS s FROM conditioned_peptides WHERE length({R}) BETWEEN 8 AND 50 AND split = 'val'), u AS (SELECT s, {MASKS.format(s='s')} AS m, length(s)::INT AS n FROM (SELECT DISTINCT {R} AS s FROM conditioned_peptides WHERE length({R}) BETWEEN 8 AND 50 AND split = 'test'))"
 
 
@@ -303,34 +322,15 @@ def c3(spark, sf):
     return similarity.novelty(cand, ref).select("ord")
 
 
-@query("c4_max_similarity", f"WITH {CAND}, {REF}, c AS (SELECT ord, s AS b FROM cand WHERE length(s) BETWEEN 8 AND 50 AND regexp_full_match(s, '[{AA}]+') ORDER BY ord LIMIT 100), r AS (SELECT {MASKS.format(s='s')} AS m, length(s)::INT AS n FROM ref), x AS (SELECT ord, 2.0::DOUBLE * {LCS} / (length(b) + n) AS q FROM c, r) SELECT ord, round(max(q) FILTER (q > 0.5), 6) AS max_ratio FROM x GROUP BY 1")
+@query("c4_max_similarity")
 def c4(spark, sf):
-    """The largest similarity with the reference of the 100 candidates of smallest ord. See c4_max_similarity_all."""
-    cand, ref = clean_candidates(spark, sf)
-    return similarity.max_similarity(cand.orderBy("ord").limit(100), ref).withColumn("max_ratio", F.round("max_ratio", 6))
-
-
-@query("c4_max_similarity_all")
-def c4_all(spark, sf):
     """Every candidate's largest similarity with the reference, so any top list's too."""
     cand, ref = clean_candidates(spark, sf)
     return similarity.max_similarity(cand, ref).withColumn("max_ratio", F.round("max_ratio", 6))
 
 
-KMERS = f"""WITH t AS (SELECT {R} AS s, min(ord) AS id FROM conditioned_peptides WHERE length({R}) BETWEEN 8 AND 50 AND split = 'val' GROUP BY 1),
- g AS (SELECT id, length(s) AS n, unnest(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)))) AS g FROM t),
- m AS (SELECT a.id AS a, b.id AS b, least(a.n, b.n) AS lo, greatest(a.n, b.n) AS hi, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3, 4)
- SELECT a, b FROM m WHERE lo >= 0.7::DOUBLE * hi AND shared >= greatest(1, trunc(0.5::DOUBLE * (greatest(1, lo - 2) - 3 * (1.0::DOUBLE - 0.7::DOUBLE) * hi)))"""
-
-
-@query("c8_kmer_join", KMERS)
+@query("c8_kmer_join")
 def c8(spark, sf):
-    """A part that SQL can follow: 3-mers of val texts. See c8_kmer_join_all."""
-    return similarity.kmer_pairs(texts(spark, sf, "val").select(F.col("ord").alias("id"), F.col("s").alias("res")), k=3)
-
-
-@query("c8_kmer_join_all")
-def c8_all(spark, sf):
     """All different texts by 2-mers, short ones with each other."""
     return similarity.kmer_pairs(similarity.distinct_texts(by_split(spark, sf), "s"))
 
@@ -497,10 +497,15 @@ def m4(spark, sf):
     return models.rank_and_judge(training_rows(spark, sf))
 
 
-@query("m7_hc50_report", "SELECT ord, round(exp(ln(hc50) - 1.959963984540054 * 0.6), 4) AS lower_95_um, round(exp(ln(hc50) + 1.959963984540054 * 0.6), 4) AS upper_95_um FROM scored_candidates WHERE hc50 > 0 AND NOT isnan(hc50)")
+P_GT = f"0.5 * least(greatest(coalesce(score, 0.5), 0.0), 1.0) + 0.5 * (1 - {sql_phi('(ln(128.0::DOUBLE) - ln(hc50)) / 0.6::DOUBLE')})"
+REPORT = {"hc50_um": "exp(ln(hc50))", "lower_95_um": "exp(ln(hc50) - 1.959963984540054 * 0.6)", "upper_95_um": "exp(ln(hc50) + 1.959963984540054 * 0.6)", "p_gt_128": P_GT, "risk": f"1 - ({P_GT})", "uncertainty": "0.6::DOUBLE"}
+
+
+@query("m7_hc50_report", "SELECT ord, " + ", ".join(f"round({v}, 4) AS {k}" for k, v in REPORT.items()) + " FROM scored_candidates WHERE hc50 > 0 AND NOT isnan(hc50) AND (score IS NULL OR NOT isnan(score))")
 def m7(spark, sf):
-    df = scored(spark, sf).where("hc50 > 0 and not isnan(hc50)").select("ord", F.log("hc50").alias("mu"), F.lit(0.6).alias("sigma"), F.lit(0.5).alias("p"))
-    return vectors.hc50_report(df, "mu", "sigma", "p").select("ord", F.round("lower_95_um", 4).alias("lower_95_um"), F.round("upper_95_um", 4).alias("upper_95_um"))
+    p = F.least(F.greatest(F.coalesce("score", F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
+    df = scored(spark, sf).where("hc50 > 0 and not isnan(hc50) and (score is null or not isnan(score))").select("ord", F.log("hc50").alias("mu"), F.lit(0.6).alias("sigma"), p.alias("p"))
+    return vectors.hc50_report(df, "mu", "sigma", "p").select("ord", *(F.round(c, 4).alias(c) for c in REPORT))
 
 
 @query("m8_conformal_q", "WITH g AS (SELECT abs(charge_ph7_4 - target_charge) AS r FROM controllability_sequences WHERE charge_ph7_4 IS NOT NULL AND NOT isnan(charge_ph7_4) AND target_charge IS NOT NULL), n AS (SELECT least(1.0, ceil((count(*) + 1) * 0.95) / count(*)) AS p FROM g) SELECT round((SELECT list_sort(list(r)) FROM g)[(floor(p * ((SELECT count(*) FROM g) - 1)) + 1)::INT] * (1 - (p * ((SELECT count(*) FROM g) - 1)) % 1) + (SELECT list_sort(list(r)) FROM g)[(ceil(p * ((SELECT count(*) FROM g) - 1)) + 1)::INT] * ((p * ((SELECT count(*) FROM g) - 1)) % 1), 6) AS q FROM n")

@@ -33,3 +33,8 @@ def p2_found(spark, sf):
 @query("p2_counts", f"{VALUES} SELECT field, value, count(DISTINCT ord) AS n_rows, count(*) AS n_values FROM d GROUP BY 1, 2")
 def p2_counts(spark, sf):
     return segment.p2_counts(spark, sf)
+
+
+@query("p2_protected")
+def p2_protected(spark, sf):
+    return segment.p2_protected(spark, sf)

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 
-def csv_scan(spark: SparkSession, path: str, schema: StructType | str, required: list[str] = ()) -> DataFrame:
-    """CSV with a header under a given schema; fails if a required column isn't in the header."""
+def csv_scan(spark: SparkSession, path: str, schema: StructType | str, required: list[str] = (), **options) -> DataFrame:
+    """CSV with a header under a given schema; fails if a required column isn't in the header. options: of Spark's
+    reader."""
     head = spark.read.csv(path, header=True).columns
     missing = sorted(set(required) - set(head))
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+    return spark.read.options(**options).csv(path, header=True, schema=schema, enforceSchema=False)
 
 
 def json_cells(df: DataFrame) -> DataFrame:
@@ -55,11 +56,11 @@ def layered(path: str | Path, load: Callable[[str], Any], key: str = "extends",
         raise ValueError(f"configuration cycle at {path}")
     own = dict(load(path.read_text()) or {})
     parent = own.pop(key, None)
-    return own if parent is None else deep_merge(layered(path.parent / parent, load, key, (*seen, path)), own)
+    return own if parent is None else merged(layered(path.parent / parent, load, key, (*seen, path)), own)
 
 
-def deep_merge(base: dict, over: dict) -> dict:
+def merged(base: dict, over: dict) -> dict:
     out = dict(base)
     for k, v in over.items():
-        out[k] = deep_merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
