@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from resiq.operators.graph import connected_components
+from resiq.operators.ranks import positions
 from resiq.session import cut, table
 
 UNIT = 1_000_000
@@ -120,6 +121,5 @@ def p1_clusters(spark: SparkSession, sf: str, members: int = 5) -> DataFrame:
     first = near.withColumn("rn", F.row_number().over(W.partitionBy("grp").orderBy("far", "ord"))).where(F.col("rn") <= members)
     named = first.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "ord"))), lambda s: s["ord"]).alias("members"))
     known = seeds.join(cells, "cell").groupBy("grp").agg(F.array_sort(F.collect_set("cluster")).alias("clusters"))
-    number = F.row_number().over(W.orderBy(F.desc("size"), "grp"))
-    out = per.drop("densest").join(known, "grp", "left").join(named, "grp", "left")
-    return out.select(number.alias("group_no"), "size", "clusters", F.round("centre_x", 6).alias("centre_charge"), F.round("centre_y", 6).alias("centre_hydrophobicity"), "members")
+    out = positions(per.drop("densest").join(known, "grp", "left").join(named, "grp", "left"), [F.desc("size"), F.col("grp")], "group_no")
+    return out.select("group_no", "size", "clusters", F.round("centre_x", 6).alias("centre_charge"), F.round("centre_y", 6).alias("centre_hydrophobicity"), "members")

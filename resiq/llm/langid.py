@@ -424,9 +424,11 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Every segment of every document."""
+    """Every segment of every document. Where no document has a usable label, each has one segment of no language."""
     docs = documents(spark, sf)
-    net = fit(docs) or Tagger()
+    net = fit(docs)
+    if net is None:  # no label to learn from: no language is told
+        return tag(docs.withColumn("text", F.lit(None).cast("string")), Tagger())
     return tag(docs, net)
 
 

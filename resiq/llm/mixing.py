@@ -100,7 +100,8 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = SEED, ranked: int = RA
     before = F.sum("m").over(W.partitionBy("source", "tokens").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
     parts = parts.withColumn("before", F.coalesce(before, F.lit(0)))
     near = docs.join(plan.drop("n"), ["source", "tokens"]).join(parts, ["source", "tokens", "salt"], "left")
-    near = near.withColumn("quota", F.when(F.col("m").isNull(), F.col("more")).otherwise(F.greatest(F.lit(0), F.least("m", F.col("more") - F.col("before")))))
+    near = near.where("more > 0 or passes > 0").withColumn("quota", F.when(F.col("m").isNull(), F.col("more")).otherwise(F.greatest(F.lit(0), F.least("m", F.col("more") - F.col("before")))))
+    near = near.where("quota > 0 or passes > 0")  # what is in no list need not be ranked
     draw = F.xxhash64("doc_id", "mix_id", F.lit(seed + 1))
     rank = F.row_number().over(W.partitionBy("mix_id", "source", "tokens", "salt").orderBy(draw, "doc_id"))
     copies = (F.col("passes") + (F.col("rank") <= F.col("quota")).cast("int")).alias("copies")

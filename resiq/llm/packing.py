@@ -6,8 +6,8 @@ takes the smallest residual that fits and goes on to the next larger one until i
 a conflict. Copies of one text are one run of equal items, which a single walk over the bins places.
 
 A text above the capacity is cut into pieces of exactly the capacity, which are full containers, and a rest.
-The whole table is packed in shards of about SHARD tokens, each by one task; a shard leaves at most about one
-container badly filled, so the loss falls with the size of the shard, and no task gets more than a shard.
+The whole table is packed in shards of about SHARD tokens, at most about two and a half times as many, each by one task; a
+shard leaves at most about one container a source badly filled, so the loss falls with the size of the shard.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resiq.llm.tokens import VOCABULARY, sized
+from resiq.operators.ranks import running
 from resiq.session import cut, table
 
 #: Tokens of a shard.
@@ -116,12 +117,15 @@ def pack(items: DataFrame, specs: list[tuple[int, int, bool]], shard: int = SHAR
     total = items.agg(F.sum("tokens")).first()[0] or 0
     shards = max(1, round(total / shard))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(shards))
-    by_source = {r.source: max(1, round(r.t / shard)) for r in items.groupBy("source").agg(F.sum("tokens").alias("t")).where(F.col("t") > 1.5 * shard).collect()}  # at most total / shard rows
-    salt = F.lit(1)
-    for s, n in by_source.items():
-        salt = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(n)).otherwise(salt)
-    # Where sources may not mix, a source's documents stay together as far as they fit a shard
-    own = F.pmod(F.xxhash64(F.coalesce("source", F.lit("\0")), F.pmod(F.xxhash64("doc_id"), salt)), F.lit(shards))
+    # Where sources may not mix, a large source has shards of its own, and small ones in turn fill common shards
+    large = F.col("t") > 1.5 * shard
+    sources = items.groupBy("source").agg(F.sum("tokens").alias("t")).withColumn("parts", F.when(large, F.rint(F.col("t") / shard).cast("long")).otherwise(0)).withColumn("small", F.when(large, 0).otherwise(F.col("t")))
+    placed = cut(running(sources, ["source"], {"before": "parts", "room": "small"}))
+    top = placed.agg(F.sum("parts")).first()[0] or 0
+    first = F.when(F.col("parts") > 0, F.col("before")).otherwise(top + F.floor(F.col("room") / shard))
+    placed = placed.select(F.col("source").alias("of"), first.alias("first"), F.greatest("parts", F.lit(1)).alias("parts"))
+    items = items.join(placed, items["source"].eqNullSafe(placed["of"]))
+    own = F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("parts"))
     spec = F.explode(F.array(*(F.struct(F.lit(i).cast("int").alias("spec_id"), F.lit(c).alias("capacity"), F.lit(bool(p)).alias("per_source")) for i, c, p in specs)))
     rows = items.select("doc_id", "source", "tokens", "dup", spread.alias("any"), own.alias("own"), spec.alias("s"))
     rows = rows.select("s.*", F.when(F.col("s.per_source"), F.col("own")).otherwise(F.col("any")).alias("shard"), "doc_id", "source", "tokens", "dup")

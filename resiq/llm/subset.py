@@ -7,7 +7,7 @@ exponential waiting time with that rate from a seeded hash, and the smallest `si
 reservoir of Efraimidis and Spirakis, 2006).
 
 Buckets are counted by a partial aggregate and an equi-join, so a crowd is never gathered in one task. The cut is
-found from a quantile sketch with a margin on both sides: only rows within the margin are sorted.
+found by counting in ever finer ranges of waiting times: only the rows of one last cell are sorted.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from resiq.functions.lcs import residue_codes
 from resiq.functions.text import residues
 from resiq.llm.grams import mix
+from resiq.operators.screen import nth
 from resiq.session import cut, table
 
 SEED = 11
@@ -73,19 +74,16 @@ def densities(texts: DataFrame, repeats: int = REPEATS, bands: int = BANDS) -> D
 def choose(scored: DataFrame, size: int, seed: int = SEED) -> DataFrame:
     """The `size` rows of (id, density) that come first; all rows if there are fewer. Ties go to the smaller id."""
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    timed = cut(scored.withColumn("wait", -F.log(u) * F.col("density")))
-    n = timed.count()
+    wait = -F.log(u) * F.col("density")
+    timed = cut(scored.withColumn("wait", wait).withColumn("cell", F.floor(wait * 1e6)))  # cells of a millionth hold few rows
     if size <= 0:
-        return timed.limit(0)
-    if size >= n:
-        return timed
-    margin = 0.002
-    lo, hi = timed.agg(F.percentile_approx("wait", F.array(F.lit(max(0.0, size / n - margin)), F.lit(min(1.0, size / n + margin))), 10_000)).first()[0]
-    sure = timed.where(F.col("wait") < lo)
-    left = size - sure.count()
-    if left < 0 or left > timed.where((F.col("wait") >= lo) & (F.col("wait") <= hi)).count():
-        return timed.orderBy("wait", "id").limit(size)  # the sketch was off; the plain way is exact as well
-    return sure.unionAll(timed.where((F.col("wait") >= lo) & (F.col("wait") <= hi)).orderBy("wait", "id").limit(left))
+        return timed.limit(0).drop("cell")
+    edge = nth(timed, "cell", size)
+    if edge is None:
+        return timed.drop("cell")
+    sure = timed.where(F.col("cell") < edge)
+    last = timed.where(F.col("cell") == edge).orderBy("wait", "id").limit(size - sure.count())
+    return sure.unionAll(last).drop("cell")
 
 
 def varied(rows: DataFrame, size: int | None = None, share: float = 0.05, seed: int = SEED, **lsh) -> DataFrame:
