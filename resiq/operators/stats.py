@@ -75,6 +75,11 @@ def normalizer(long: DataFrame) -> DataFrame:
     return per.select("descriptor", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))))
 
 
+def finite_points(df: DataFrame, *columns: str) -> DataFrame:
+    """df without rows in which one of the columns is null, NaN or infinite."""
+    return df.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in columns))
+
+
 def compare(long: DataFrame, cls: str, one: str, two: str) -> DataFrame:
     """L1: for each descriptor the two classes' sizes, means, medians and quartiles, Mann-Whitney's U and its
     asymptotic two-sided p (tie-corrected, continuity-corrected), Cliff's delta, the Kolmogorov-Smirnov distance and

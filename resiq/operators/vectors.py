@@ -123,8 +123,9 @@ def kernel_density(points: DataFrame, at: DataFrame, factor: float = 1.0) -> Dat
         total = np.zeros(len(ids))
         for batch in batches:
             p = np.column_stack([batch.column(k).to_numpy() for k in "xy"]) @ root
-            for lo in range(0, len(p), 512):
-                q = p[lo : lo + 512]
+            step = max(1, (1 << 21) // max(1, len(ids)))
+            for lo in range(0, len(p), step):
+                q = p[lo : lo + step]
                 d = (grid**2).sum(1)[:, None] + (q**2).sum(1)[None, :] - 2 * grid @ q.T
                 total += np.exp(-0.5 * np.maximum(d, 0)).sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "s"])

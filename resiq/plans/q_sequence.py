@@ -409,7 +409,14 @@ def l1(spark, sf):
     return out.select("descriptor", "n_one", "n_two", "one_mean", "two_mean", "one_median", "two_median", "mwu_u", "cliffs_delta", "ks", "wasserstein", "wasserstein_iqr")
 
 
-@query("l1_p_values")
+P_VALUES = COMPARE.split("\n SELECT s.descriptor")[0] + f""",
+ t AS (SELECT descriptor, sum((a + b)::DOUBLE ** 3 - (a + b)) AS ties FROM v GROUP BY 1),
+ z AS (SELECT s.descriptor, n1::DOUBLE AS x, n2::DOUBLE AS y, rs - n1 * (n1 + 1) / 2 AS u, ks, ties FROM s JOIN k ON s.descriptor = k.descriptor JOIN t ON s.descriptor = t.descriptor),
+ o AS (SELECT descriptor, greatest(abs(u - x * y / 2) - 0.5, 0) / sqrt(x * y / 12 * (x + y + 1 - ties / ((x + y) * (x + y - 1)))) AS zz, sqrt(x * y / (x + y)) * ks AS kk FROM z)
+ SELECT descriptor, round(least(1.0, 2 * (1 - {sql_phi('zz')})), 6) AS mwu_p, round(CASE WHEN kk < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 21), lambda i: (-1.0::DOUBLE) ** (i - 1) * 2 * exp(-2.0::DOUBLE * i * i * kk * kk))))) END, 6) AS ks_p FROM o"""
+
+
+@query("l1_p_values", P_VALUES)
 def l1_p(spark, sf):
     return stats.compare(high_low(spark, sf), "side", "high", "low").select("descriptor", "mwu_p", "ks_p")
 
@@ -422,41 +429,63 @@ def l2(spark, sf):
     return stats.spearman(controlled(spark, sf), "ord", DESCRIPTORS)
 
 
-GRID = "grid AS (SELECT i * 20 + j AS id, -10 + i AS x, -1 + j * 0.1 AS y FROM (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j))"
+#: Places a side of the grid, between the quantiles of all points.
+SIDE, EDGES = 200, (0.005, 0.995)
 
 
 def kde_points(spark, sf):
     q, h = DESCRIPTORS
-    return controlled(spark, sf).select("target", F.col(q).alias("x"), F.col(h).alias("y")).where("abs(x) < 100 and abs(y) < 100")
+    return stats.finite_points(controlled(spark, sf).select("target", F.col(q).alias("x"), F.col(h).alias("y")), "x", "y")
+
 
+def grid(points):
+    """SIDE x SIDE places between the 0.5 % and the 99.5 % quantile of either coordinate."""
+    (x0, x1), (y0, y1) = (stats.quantiles(points.select(F.col(c).alias("v")), [], EDGES, "v").first()[0] for c in "xy")
+    i, j, n = F.floor(F.col("id") / SIDE), F.col("id") % SIDE, SIDE - 1.0
+    return points.sparkSession.range(SIDE * SIDE).select("id", (F.lit(x0) + F.lit(x1 - x0) * i / n).alias("x"), (F.lit(y0) + F.lit(y1 - y0) * j / n).alias("y"))
 
-def grid(spark):
-    return spark.range(400).select("id", (F.lit(-10.0) + F.floor(F.col("id") / 20)).alias("x"), (F.lit(-1.0) + F.col("id") % 20 * 0.1).alias("y"))
 
+POINTS = """p AS (SELECT target, charge_ph7_4 AS x, hydrophobicity_interfacescale_ph8 AS y FROM controllability_sequences WHERE isfinite(charge_ph7_4) AND isfinite(hydrophobicity_interfacescale_ph8)),
+ e AS (SELECT quantile_cont(x, 0.005) AS x0, quantile_cont(x, 0.995) AS x1, quantile_cont(y, 0.005) AS y0, quantile_cont(y, 0.995) AS y1 FROM p),
+ grid AS (SELECT i * 200 + j AS id, x0 + (x1 - x0) * i / 199.0::DOUBLE AS x, y0 + (y1 - y0) * j / 199.0::DOUBLE AS y FROM e, range(200) a(i), range(200) b(j))"""
 
-P = "p AS (SELECT target, charge_ph7_4 AS x, hydrophobicity_interfacescale_ph8 AS y FROM controllability_sequences WHERE abs(charge_ph7_4) < 100 AND abs(hydrophobicity_interfacescale_ph8) < 100)"
-KDE = f"WITH {P}, {GRID}, c AS (SELECT count(*) AS n, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS d FROM p), k AS (SELECT *, a * d - b * b AS det, n ** (-1.0 / 3) * {{f}} AS sc FROM c) SELECT id, round(sum(exp(-0.5 * (d * (grid.x - p.x) ** 2 - 2 * b * (grid.x - p.x) * (grid.y - p.y) + a * (grid.y - p.y) ** 2) / det / sc)) / any_value(n * 2 * pi() * sqrt(det) * sc), 6) AS density FROM grid, p, k GROUP BY 1"
 
+def sql_density(name: str, points: str, factor: str = "1") -> str:
+    return f"""c{name} AS (SELECT count(*) AS n, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS d FROM {points}), k{name} AS (SELECT *, a * d - b * b AS det, n ** (-1.0 / 3) * {factor} AS sc FROM c{name}),
+ {name} AS (SELECT id, sum(exp(-0.5 * (d * (grid.x - o.x) ** 2 - 2 * b * (grid.x - o.x) * (grid.y - o.y) + a * (grid.y - o.y) ** 2) / det / sc)) / any_value(n * 2 * pi() * sqrt(det) * sc) AS density FROM grid, {points} o, k{name} GROUP BY 1)"""
 
-@query("l4_kde2d", KDE.format(f="1"))
+
+@query("l4_kde2d", f"WITH {POINTS}, {sql_density('r', 'p')} SELECT id, round(density, 6) AS density FROM r")
 def l4(spark, sf):
-    return vectors.kernel_density(kde_points(spark, sf), grid(spark)).select("id", F.round("density", 6).alias("density"))
+    p = cut(kde_points(spark, sf))
+    return vectors.kernel_density(p, grid(p)).select("id", F.round("density", 6).alias("density"))
 
 
-@query("l5_log_enrichment")
+@query(
+    "l5_log_enrichment",
+    f"""WITH {POINTS}, u AS (SELECT * FROM p WHERE target LIKE 'high%'), w AS (SELECT * FROM p WHERE target LIKE 'low%'), {sql_density('one', 'u')}, {sql_density('two', 'w')},
+ m AS (SELECT one.id, one.density AS a, two.density AS b FROM one JOIN two ON one.id = two.id) SELECT id, round(ln(a + 1e-12::DOUBLE) - ln(b + 1e-12::DOUBLE), 4) AS enrichment, a + b >= (SELECT quantile_cont(a + b, 0.1) FROM m) AS supported FROM m""",
+)
 def l5(spark, sf):
     """Where high targets are denser than low ones, on places with at least the 10 % quantile of total density."""
-    p = kde_points(spark, sf)
-    a = vectors.kernel_density(p.where("target like 'high%'"), grid(spark)).withColumnRenamed("density", "one")
-    b = vectors.kernel_density(p.where("target like 'low%'"), grid(spark)).withColumnRenamed("density", "two")
+    p = cut(kde_points(spark, sf))
+    at = cut(grid(p))
+    a = vectors.kernel_density(p.where("target like 'high%'"), at).withColumnRenamed("density", "one")
+    b = vectors.kernel_density(p.where("target like 'low%'"), at).withColumnRenamed("density", "two")
     both = cut(a.join(b, "id").withColumn("total", F.col("one") + F.col("two")))
-    floor = both.agg(F.percentile("total", F.lit(0.1)).alias("floor"))  # one row
+    floor = both.agg(F.percentile("total", F.lit(0.1)).alias("floor"))  # one row, from the places of the grid
     return ranks.attach(both, floor).select("id", F.round(vectors.log_enrichment(F.col("one"), F.col("two")), 4).alias("enrichment"), (F.col("total") >= F.col("floor")).alias("supported"))
 
 
-@query("l6_bandwidths", KDE.format(f="0.5625"))
+FACTORS = (0.75, 1.0, 1.5)
+
+
+@query("l6_bandwidths", f"WITH {POINTS}, " + ", ".join(sql_density(f"r{i}", "p", str(f * f)) for i, f in enumerate(FACTORS)) + " " + " UNION ALL ".join(f"SELECT {f}::DOUBLE AS factor, id, round(density, 6) AS density FROM r{i}" for i, f in enumerate(FACTORS)))
 def l6(spark, sf):
-    return vectors.kernel_density(kde_points(spark, sf), grid(spark), 0.75).select("id", F.round("density", 6).alias("density"))
+    p = cut(kde_points(spark, sf))
+    at = cut(grid(p))
+    parts = [vectors.kernel_density(p, at, f).select(F.lit(f).alias("factor"), "id", F.round("density", 6).alias("density")) for f in FACTORS]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
 @query("l7_kmeans_medoids")
