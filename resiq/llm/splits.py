@@ -59,7 +59,8 @@ def cross_pairs(rows: DataFrame, threshold: float = COSINE, hot: int = HOT, **ho
     ranking = term_weights(texts, counts, threshold)
     near = meet(texts, ranking, cosine_verify(ranking, threshold), RATIO, counts, cross=True, hot=hot, **how)
     same = texts.where(F.col("x") == TRAIN | EVAL).select(F.col("tid").alias("a"), F.col("tid").alias("b"))
-    both = near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(same)
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # the join runs once
+    both = near.select(ways.alias("w")).select("w.a", "w.b").unionAll(same)
     single = texts.where("n = 1").select("tid", F.shiftright("tid", 8).alias("ord"), F.col("x").alias("side"))
     every = rows_of(rows, texts, "side").unionAll(single)
     train = every.where(F.col("side") == TRAIN).select(F.col("tid").alias("a"), F.col("ord").alias("i"))
