@@ -72,8 +72,9 @@ class Plan:
         own[salted] = mix(code[salted]) ^ (low[salted].astype(np.uint32) * np.uint32(0x9E3779B1))
         return mix(own) % np.uint32(self.buckets)
 
-    def lists(self, p: Postings, code: np.ndarray, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows of p, list, bucket): a row for each list of each posting. A list is named by key, group and chunks."""
+    def lists(self, p: Postings, code: np.ndarray, t: Texts, bucket: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of p, list, bucket): a row for each list of each posting. A list is named by key, group and chunks.
+        bucket: the one that all of p came through, so that only salted lists have to be told apart."""
         many = self.chunked(code)
         rows, low = np.arange(len(code)), np.zeros(len(code), np.int64)
         warm = np.flatnonzero(many)
@@ -86,7 +87,11 @@ class Plan:
             rows = np.concatenate([cold, warm[again]])
             low = np.concatenate([low[cold], np.minimum(chunk, other) * n[again] + np.maximum(chunk, other) + 1])
         name = (p.key[rows].astype(np.uint64) << np.uint64(32)) | (t.grp[p.text[rows]].astype(np.uint64) << np.uint64(24)) | low.astype(np.uint64)
-        return rows, name, self.bucket(code[rows], low)
+        if bucket is None:
+            return rows, name, self.bucket(code[rows], low)
+        where, salted = np.full(len(rows), bucket), np.flatnonzero(low)
+        where[salted] = self.bucket(code[rows[salted]], low[salted])
+        return rows, name, where
 
 
 def chunk_of(tid: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -133,8 +138,8 @@ def unpack_blocks(blobs: list[bytes], plan: Plan, bucket: int) -> tuple[Texts, n
     place = np.concatenate([at for _, _, at in parts])
     code = codes_at(t, text, place)
     p = Postings(text, plan.ranking.key(code), place)
-    rows, name, where = plan.lists(p, code, t)
-    own = where == bucket
+    rows, name, where = plan.lists(p, code, t, bucket)
+    own = np.flatnonzero(where == bucket)
     return t, text[rows[own]], name[own]
 
 
