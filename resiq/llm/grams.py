@@ -285,8 +285,8 @@ class Counts:
         return tuple(np.log1p(self.n / 2 ** (np.arange(256) / 8)).tolist())
 
 
-def token_counts(texts: DataFrame, hot: int) -> Counts:
-    """In how many texts each token stands, exactly. A task sends its counts in RANGES compressed pieces; what comes to
+def token_counts(texts: DataFrame, hot: int, least: int = 0) -> Counts:
+    """In how many texts each token stands, exactly; `df` tells tokens of at most `least` texts as 0. A task sends its counts in RANGES compressed pieces; what comes to
     the driver is a byte a token (SPAN, 12 MB, whatever the data's size), a sum a minimizer, and the hot tokens, which
     are at most postings / hot and at most SPAN."""
 
@@ -322,7 +322,7 @@ def token_counts(texts: DataFrame, hot: int) -> Counts:
             code = np.flatnonzero(total)
             c = total[code]
             df = np.zeros(WIDTH, np.uint8)
-            df[code] = np.minimum(254, np.ceil(8 * np.log2(c)))
+            df[code] = np.where(c > least, np.minimum(254, np.ceil(8 * np.log2(c))), 0)
             code += r * WIDTH
             load = np.bincount(minimizer(code.astype(np.uint32)), weights=c, minlength=MINI).astype(np.int64)
             many = c > hot

@@ -93,7 +93,7 @@ def similar_texts(texts: DataFrame, k: int = SKETCH, estimate: float = 0.03, jac
     The thresholds on 5-grams are low because one edit breaks five of them: at a ratio of 0.8 and
     30 residues two of 26 5-grams may be left. The ratio decides last."""
     plain = texts.select("tid", "res", "grp", F.lit(0).alias("x"))
-    counts = token_counts(plain, hot)
+    counts = token_counts(plain, hot, COMMON)
     ranking = bottom_k(k, counts, lambda late: broadcast_table(texts.sparkSession, late))
     return meet(plain, ranking, sketch_verify(k, estimate, jaccard), ratio, counts, hot=hot, **how)
 
