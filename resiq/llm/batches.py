@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resiq.llm.blockjoin import HOT, LEFT, RIGHT, Plan, at_home, blocks, broadcast_table, bucket_count, list_pairs, shared_of, sorted_out
-from resiq.llm.grams import MINI, Counts, Postings, Ranking, Texts, token_counts, tokens
+from resiq.llm.grams import CHUNK, MINI, Counts, Postings, Ranking, Texts, token_counts, tokens
 from resiq.llm.pairs import RATIO, copies, text_key
 from resiq.session import cut, drop_path, read_folder, shared_dir, table, write_bytes
 
@@ -54,14 +54,16 @@ def overlap_verify(overlap: int = OVERLAP):
 
 def once(t: Texts) -> np.ndarray:
     """A row for each different text: that of the smallest id. Texts are told apart by two sums of 64 bits."""
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    place = (np.arange(int(t.size.max(initial=0)), dtype=np.uint64) + np.uint64(1)) * odd
-    at = place[np.arange(len(t.flat)) - np.repeat(t.start, t.size)] + t.flat.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    sums = []
-    for shift in (29, 32):
-        at = (at ^ (at >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
-        total = np.append(np.uint64(0), np.cumsum(at))
-        sums.append(total[t.start + t.size] - total[t.start])
+    place = (np.arange(int(t.size.max(initial=0)), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    sums = np.zeros((2, len(t)), np.uint64)
+    for lo in range(0, len(t), CHUNK):
+        few = t.slice(lo, min(len(t), lo + CHUNK))
+        some = np.flatnonzero(few.size)
+        at = place[np.arange(len(few.flat)) - np.repeat(few.start, few.size)] + few.flat.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for k, shift in enumerate((29, 32)):
+            at = (at ^ (at >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+            if len(some):
+                sums[k, lo + some] = np.add.reduceat(at, few.start[some])
     order = np.lexsort((t.tid, *sums))
     new = np.ones(len(order), bool)
     new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (*sums, t.size)], axis=0)
@@ -181,7 +183,7 @@ class BatchIndex:
                     first = np.flatnonzero(np.diff(p.text, prepend=-1))  # a text comes from the bucket of its first token
                     own = at_home(plan, p.key[first], t.tid[p.text[first]], t.tid[p.text[first]], n)
                     t = t.take(p.text[first][own])
-                    yield pa.RecordBatch.from_arrays([pa.array(t.tid), pa.array(t.letters())], ["tid", "res"])
+                    yield pa.RecordBatch.from_arrays([pa.array(t.tid, pa.int64()), pa.array(t.letters(), pa.string())], ["tid", "res"])
 
         parts = [m["part"] for m in marks if m["generation"] == last["generation"]]
         rows = self.spark.table(self._entries(last)).where(F.col("part").isin(parts)).select("n", "blob").mapInArrow(accepted, "tid long, res string")
