@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and benchmarks on one machine; clusters bring their own."""
+    """A session for tests and benchmarks on one machine; clusters bring their own. Checkpoints go to a folder that is
+    removed with the process."""
+    folder = tempfile.mkdtemp(prefix="resiq-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -18,6 +23,8 @@ def local_session(cpus: int | str = "*", shuffle: int = 8, memory: str = "8g") -
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", folder)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from resiq.functions import text as X
 from resiq.plans.registry import AA, query, tidy
-from resiq.session import shared_dir, table
+from resiq.session import cut, drop_path, shared_dir, table
 
 
 def accepted(draws: DataFrame, reference: DataFrame, seq: str = "seq", time: str | None = None, horizon: str = "7 days") -> DataFrame:
@@ -39,4 +39,6 @@ def s1(spark: SparkSession, sf: str) -> DataFrame:
     ref = table(spark, sf, "conditioned_peptides").where("sequence is not null").select(X.tidy(F.col("sequence")).alias("seq"))
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     drain(accepted(draws, ref), path)
-    return spark.read.schema("s string").parquet(f"{path}/out")
+    out = cut(spark.read.schema("s string").parquet(f"{path}/out"))
+    drop_path(spark, path)
+    return out

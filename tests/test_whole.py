@@ -34,7 +34,7 @@ def test_single_linkage_links_through_all_splits_and_lengths(spark, tmp_path):
 
 
 def test_kmer_pairs_of_all_splits_with_short_texts(spark, tmp_path):
-    got = {(r.a, r.b) for r in run(spark, tmp_path, "c8_kmer_join_all", conditioned_peptides=peptides())}
+    got = {(r.a, r.b) for r in run(spark, tmp_path, "c8_kmer_join", conditioned_peptides=peptides())}
     assert got == {(1, 2), (1, 3), (2, 3), (4, 5), (4, 100), (5, 100), (7, 8)}
 
 
@@ -46,14 +46,14 @@ def test_nearest_train_of_long_texts(spark, tmp_path):
 def test_json_cells_escape(spark, tmp_path):
     dbs = ['DRAMP|"a, b"|APD', "x\ty|z", "plain|", None]
     rows = [(i, "h", d, "ACD") for i, d in enumerate(dbs)]
-    got = {r.ord: r.dbs for r in run(spark, tmp_path, "a7_json_cells_all", antibacterial_fasta=(rows, "ord long, header string, dbs string, sequence string"))}
+    got = {r.ord: r.dbs for r in run(spark, tmp_path, "a7_json_cells", antibacterial_fasta=(rows, "ord long, header string, dbs string, sequence string"))}
     assert {i: json.loads(x) for i, x in got.items()} == {i: d.split("|") for i, d in enumerate(dbs) if d is not None}
 
 
 def test_fasta_scan_of_sequences_with_spaces(spark, tmp_path):
     seqs = ["AC DE", " ac\n\n d e \r\nFG", "ACD", None]
     rows = [(i, "h", "d", s) for i, s in enumerate(seqs)]
-    got = {r.ord: r.sequence for r in run(spark, tmp_path, "a1_fasta_scan_all", antibacterial_fasta=(rows, "ord long, header string, dbs string, sequence string"))}
+    got = {r.ord: r.sequence for r in run(spark, tmp_path, "a1_fasta_scan", antibacterial_fasta=(rows, "ord long, header string, dbs string, sequence string"))}
     assert got == {0: "AC DE", 1: "ACD EFG", 2: "ACD"}
 
 
@@ -65,7 +65,7 @@ def test_largest_similarity_of_all_candidates(spark, tmp_path):
     ratio = {i: max(2 * lcs(s, x) / (len(s) + len(x)) for x in ref) for i, b, s in rows if b == 9 and 8 <= len(s) <= 50}
     want = {i: round(x, 6) if x > 0.5 else None for i, x in ratio.items()}
     assert len(want) > 100
-    assert {r.ord: r.max_ratio for r in run(spark, tmp_path, "c4_max_similarity_all", scored_candidates=(rows, "ord long, batch_no int, seq string"))} == want
+    assert {r.ord: r.max_ratio for r in run(spark, tmp_path, "c4_max_similarity", scored_candidates=(rows, "ord long, batch_no int, seq string"))} == want
 
 
 def test_quoted_lists_stay_whole():
