@@ -140,10 +140,15 @@ class BatchIndex:
         packed.repartition(mark["buckets"], "bucket").write.mode("append").format("parquet").bucketBy(mark["buckets"], "bucket").saveAsTable(name)  # one file a bucket
 
     def close(self) -> None:
-        """Forget the tables in the catalog and remove the folder."""
+        """Forget the tables in the catalog, remove the folder and what the deliveries left on the executors' disks."""
         for mark in {m["generation"]: m for m in self._marks()}.values():
             self.spark.sql(f"DROP TABLE IF EXISTS {self._entries(mark)}")
         drop_path(self.spark, self.path)
+        for plan in self.plans.values():
+            if plan.ranking.classes is not None:
+                plan.ranking.classes.held.destroy()
+        self.plans.clear()
+        self.spark.sparkContext._jvm.System.gc()  # shuffle files go with the driver's last references to them
 
     def _generation(self, counts: Counts) -> dict:
         n = self.buckets or bucket_count(self.spark, counts.postings)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resiq.functions.lcs import lcs_codes
-from resiq.llm.grams import CHUNK, NONE, Counts, Postings, Ranking, Texts, codes_at, minimizer, minimizer4, mix, regroup, token_counts, tokens
+from resiq.llm.grams import CHUNK, NONE, Counts, Packed, Postings, Ranking, Texts, codes_at, minimizer, minimizer4, mix, regroup, token_counts, tokens
 
 #: A token that more texts hold is salted into chunks of this many texts.
 HOT = 8192
@@ -391,5 +391,5 @@ def meet(texts: DataFrame, ranking: Ranking, verify: Verify, ratio: tuple[int, i
 
 
 def broadcast_table(spark: SparkSession, table: np.ndarray):
-    """A byte a token: 12 MB, whatever the data's size."""
-    return spark.sparkContext.broadcast(table.tobytes()) if table.any() else None
+    """A byte a token: 12 MB before compression, whatever the data's size."""
+    return Packed(spark.sparkContext.broadcast(pa.compress(table.tobytes(), codec="zstd", asbytes=True))) if table.any() else None

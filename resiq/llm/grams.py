@@ -57,12 +57,28 @@ def unmix24(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Packed:
+    """A byte for each token as a broadcast of compressed bytes, opened once a task."""
+
+    def __init__(self, held) -> None:
+        self.held, self._table = held, None
+
+    def __getstate__(self) -> dict:
+        return {"held": self.held, "_table": None}
+
+    @property
+    def value(self) -> np.ndarray:
+        if self._table is None:
+            self._table = np.frombuffer(pa.decompress(self.held.value, decompressed_size=SPAN, codec="zstd", asbytes=True), np.uint8)
+        return self._table
+
+
 @dataclass(frozen=True)
 class Ranking:
     """The order of tokens: by class (0 to 254), then by a hash.
 
-    listed(n): how many of n tokens to list, vectorised. classes: a byte for each of the SPAN tokens, as an array or a
-    broadcast of one; None for one class. idf: the weight of each class. cosine, norm: where cosine > 0, the last tokens
+    listed(n): how many of n tokens to list, vectorised. classes: a byte for each of the SPAN tokens, as an array or
+    `Packed`; None for one class. idf: the weight of each class. cosine, norm: where cosine > 0, the last tokens
     of a text stay unlisted as long as they cannot bring a dot product of unit vectors to `cosine` by themselves:
     by their residual norm, or by the largest weight that each can have on the other side, whose vector's
     norm is `norm` at least."""
@@ -74,8 +90,7 @@ class Ranking:
     norm: float = 1.0
 
     def table(self) -> np.ndarray | None:
-        held = getattr(self.classes, "value", self.classes)
-        return np.frombuffer(held, np.uint8) if isinstance(held, bytes) else held
+        return getattr(self.classes, "value", self.classes)
 
     def key(self, code: np.ndarray) -> np.ndarray:
         """A 32-bit key for each token's code, different for different codes; smaller comes first."""
