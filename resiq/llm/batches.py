@@ -12,7 +12,8 @@ The index is a folder:
   made again.
 
 A delivery's texts are packed into prefixes, and in each bucket only the lists in which a new text stands are walked, new
-against old.
+against old. A backlog of batches is one delivery: its texts carry the number of their batch and are compared with the
+history once and among themselves, an earlier batch's text being old to a later one's.
 """
 
 from __future__ import annotations
@@ -72,9 +73,16 @@ def once(t: Texts) -> np.ndarray:
 
 def probe(new: list[bytes], old: list[bytes], plan: Plan, bucket: int, overlap: int = OVERLAP, tally: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of new texts, ids of old ones) that are the same or alike and at home in this bucket. Only lists in which
-    a new text stands are walked, and only new against old; of equal old texts that of the smallest id counts.
-    `tally` gets the number of pairs of postings that were looked at."""
+    a new text stands are walked, and only new against old; of equal old texts that of the smallest id counts. Of two
+    new texts the one of the smaller `x` is old. `tally` gets the number of pairs of postings that were looked at."""
     t, _, _, text, name = sorted_out(new, plan, bucket)
+    batch = t.x
+    backlog = bool((batch != batch[:1]).any())
+    if not old:
+        if not backlog:
+            return (np.zeros(0, np.int64),) * 2
+        t, a, b = list_pairs(t, plan, bucket, text, name, overlap_verify(overlap), RATIO, False, tally)
+        return in_turn(t.tid, batch, a, b)
     u, _, _, other, list_of = sorted_out(old, plan, bucket)
     asked = np.unique(name)
     at = np.minimum(np.searchsorted(asked, list_of), len(asked) - 1)
@@ -86,9 +94,19 @@ def probe(new: list[bytes], old: list[bytes], plan: Plan, bucket: int, overlap:
     slot[used[rows]] = np.arange(len(rows)) + len(t)
     met = met[slot[other[met]] >= 0]
     side = lambda x, which: Texts(x.tid, x.flat, x.size, x.grp, np.full(len(x), which, np.int32))
-    both = Texts.concat([side(t, RIGHT), side(few.take(rows), LEFT)])
+    both = Texts.concat([side(t, RIGHT | LEFT if backlog else RIGHT), side(few.take(rows), LEFT)])
     both, a, b = list_pairs(both, plan, bucket, np.concatenate([text, slot[other[met]]]), np.concatenate([name, list_of[met]]), overlap_verify(overlap), RATIO, True, tally)
-    return both.tid[np.minimum(a, b)], both.tid[np.maximum(a, b)]  # new texts stand before old ones
+    before = np.full(len(both), int(batch.min(initial=0)) - 1, np.int64)
+    before[: len(t)] = batch
+    return in_turn(both.tid, before, a, b)
+
+
+def in_turn(tid: np.ndarray, batch: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the later, ids of the earlier) texts of pairs of different batches."""
+    some = batch[a] != batch[b]
+    a, b = a[some], b[some]
+    late = batch[a] > batch[b]
+    return tid[np.where(late, a, b)], tid[np.where(late, b, a)]
 
 
 def hash_of_int(v: np.ndarray) -> np.ndarray:
@@ -138,6 +156,8 @@ class BatchIndex:
     def _append(self, packed: DataFrame, mark: dict) -> None:
         name = self._entries(mark)
         packed.repartition(mark["buckets"], "bucket").write.mode("append").format("parquet").bucketBy(mark["buckets"], "bucket").saveAsTable(name)  # one file a bucket
+        del packed
+        self.spark.sparkContext._jvm.System.gc()  # else the shuffled blocks lie on disk beside the table
 
     def close(self) -> None:
         """Forget the tables in the catalog, remove the folder and what the deliveries left on the executors' disks."""
@@ -169,7 +189,7 @@ class BatchIndex:
 
     def _packed(self, texts: DataFrame, mark: dict, part: int) -> DataFrame:
         number = F.element_at(F.array(*(F.lit(v) for v in numbers(mark["buckets"]))), F.col("bucket") + 1)
-        plain = texts.select("tid", "res", F.lit(0).alias("grp"), F.lit(0).alias("x"))
+        plain = texts.select("tid", "res", F.lit(0).alias("grp"), F.col("x") if "x" in texts.columns else F.lit(0).alias("x"))
         return blocks(plain, self._plan(mark)).select(number.alias("bucket"), F.lit(part).alias("part"), F.col("bucket").alias("n"), "blob")
 
     def refresh(self) -> None:
@@ -210,7 +230,8 @@ class BatchIndex:
 
     def accept(self, texts: DataFrame) -> DataFrame:
         """(tid, old) for each of a delivery's texts (tid, res), which are all different: the smallest id of the
-        accepted texts that are the same or alike, if there are any. Checkpointed."""
+        accepted texts that are the same or alike, if there are any. Checkpointed. With a column x (int) the delivery is a
+        backlog of batches numbered by it: texts are different within a batch, and those of earlier ones count as accepted."""
         marks = self._marks()
         mark = marks[-1] if marks else None
         if mark is not None and sum(m["n"] for m in marks if m["generation"] == mark["generation"]) > self.growth * mark["made_for"]:
@@ -225,7 +246,7 @@ class BatchIndex:
 
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
             out = [np.zeros(0, np.int64)] * 2
-            if a.num_rows and b.num_rows:
+            if a.num_rows:
                 get = lambda x: [v.as_buffer() for v in x.column("blob")]
                 fresh, known = probe(get(a), get(b), plan, a.column("n")[0].as_py(), overlap)
                 order = np.lexsort((known, fresh))  # the smallest of each
@@ -243,14 +264,12 @@ class BatchIndex:
 
 
 def ingest_all(index: BatchIndex, rows: DataFrame) -> DataFrame:
-    """The batches of (ord, batch_no, res) one after the other, by rising number: (ord_old, ord_new) as by `ingest`. Rows
-    with a null number are in no batch. The numbers of the batches come to the driver: one value a delivery."""
+    """(ord_old, ord_new) as by `ingest` of the batches of (ord, batch_no, res) one after the other, by rising number; they
+    are delivered as one backlog. batch_no: an int; rows with a null number are in no batch."""
     rows = rows.where("batch_no is not null")
     keyed = rows.select("batch_no", "ord", "res", *text_key(F.lit(0)))
     texts = cut(keyed.groupBy("batch_no", "k1", "k2").agg(F.min("ord").alias("tid"), F.first("res").alias("res"), F.count("*").alias("n")))
-    found = texts.sparkSession.createDataFrame([], "tid long, old long")
-    for (n,) in texts.select("batch_no").distinct().orderBy("batch_no").collect():
-        found = found.unionAll(index.accept(texts.where(F.col("batch_no") == n)))
+    found = index.accept(texts.withColumn("x", F.col("batch_no").cast("int")))
     told = cut(texts.join(found, "tid").select("batch_no", "k1", "k2", "tid", "old", "n"))
     many = keyed.drop("res").join(told.where("n > 1"), ["batch_no", "k1", "k2"]).select("old", "ord")
     return many.unionAll(told.where("n = 1").select("old", "tid")).toDF("ord_old", "ord_new")
@@ -261,12 +280,9 @@ def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Each batch in turn is a delivery to an index in the shared folder, which is removed in the end. The order of
-    tokens is made from counts over the whole table."""
-    rows = candidate_rows(spark, sf)
-    counts = token_counts(rows.select(F.col("ord").alias("tid"), "res", "grp", F.lit(0).alias("x")), HOT)
-    index = BatchIndex(spark, f"{shared_dir(spark)}/p3-{uuid.uuid4().hex}", counts=counts)
-    out = ingest_all(index, rows)
+    """All batches are a backlog: one delivery to an index in the shared folder, which is removed in the end."""
+    index = BatchIndex(spark, f"{shared_dir(spark)}/p3-{uuid.uuid4().hex}")
+    out = ingest_all(index, candidate_rows(spark, sf))
     index.close()
     return out
 

@@ -204,6 +204,20 @@ def test_indexes_that_are_opened_again_or_refreshed_give_the_same(spark, deliver
         assert (len(generations) > 2) == (name == "c")  # the others outgrow the first delivery once
 
 
+def test_a_backlog_is_one_delivery(spark, deliveries, tmp_path):
+    """Batches that wait together cost one pass, with or without a history, and give what batches in turn give."""
+    rows = as_rows(spark, deliveries)
+    index = batches.BatchIndex(spark, str(tmp_path / "turn"), buckets=4)
+    want = set()
+    for n in range(10):
+        want |= {(r.ord_old, r.ord_new) for r in index.ingest(rows.where(f"batch_no = {n}").select("ord", "res")).collect()}
+    index = batches.BatchIndex(spark, str(tmp_path / "whole"), buckets=4)
+    assert found(index, rows) == want and len(index._marks()) == 1
+    index = batches.BatchIndex(spark, str(tmp_path / "two"), buckets=4, hot=2)
+    assert found(index, rows.where("batch_no < 4")) | found(index, rows.where("batch_no >= 4")) == want
+    assert len(index._marks()) == 2
+
+
 def test_a_delivery_that_broke_off_is_made_again(spark, deliveries, tmp_path, monkeypatch):
     rows = as_rows(spark, deliveries)
     want = found(batches.BatchIndex(spark, str(tmp_path / "a"), buckets=4), rows)
