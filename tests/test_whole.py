@@ -3,6 +3,7 @@
 import json
 import random
 
+from resiq.operators import segment
 from resiq.operators.segment import Segmenter
 from resiq.plans import catalog
 from tests.brute import family, lcs
@@ -75,3 +76,15 @@ def test_quoted_lists_stay_whole():
         assert s("A|'a;b;c;d;e;f;g;h;i;j'") == ["A", "a;b;c;d;e;f;g;h;i;j"]
         assert s('"A;B;C;D;A;B";C') == ["A;B;C;D;A;B", "C"]
         assert s('"a;B" c;A') == ['"a', 'B" c', "A"]
+
+
+def test_a_dictionary_is_made_only_where_it_bears_on_the_values(spark, tmp_path, monkeypatch):
+    made, count = [], segment.known_values
+    monkeypatch.setattr(segment, "known_values", lambda *a: made.append(1) or count(*a))
+    rows = [(i, x, None) for i, x in enumerate(['"a;b"|c', "a;b", '"a;b"', '"a;b"', None])]
+    spark.createDataFrame(rows, "ord long, dbs string, activity string").write.parquet(f"{tmp_path}/antibacterial_fasta.parquet")
+    values = lambda q: sorted((r.ord, r.pos, r.value) for r in q(spark, str(tmp_path)).collect())
+    plain = values(segment.p2_found)
+    assert not made
+    assert plain == [(0, 1, "a;b"), (0, 2, "c"), (1, 1, "a"), (1, 2, "b"), (2, 1, "a;b"), (3, 1, "a;b")]
+    assert (1, 1, "a;b") in values(segment.p2_protected) and made
