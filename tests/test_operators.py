@@ -217,3 +217,16 @@ def test_models_on_edges(spark):
     assert same.where("calibrated <> x").count() == 0
     up = models.calibrated(df.withColumn("l", (F.col("x") > 1).cast("double")), "x", "l", "isotonic")
     assert {r.x: r.calibrated for r in up.select("x", "calibrated").distinct().collect()} == {0.0: 0.0, 1.0: 0.0, 2.0: 1.0}
+
+
+def test_a_walk_with_a_target_stops_there(spark, monkeypatch):
+    r = random.Random(12)
+    texts = family(13, 5, 30, (25, 40), 2) + ["".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(30)) for _ in range(2000)] + [None]
+    df = spark.createDataFrame([(7 * i, t) for i, t in enumerate(texts)], "ord long, seq string")
+    whole = sorted(x.ord for x in similarity.diverse(df).collect())
+    compared, pairs = [], similarity.text_pairs
+    monkeypatch.setattr(similarity, "text_pairs", lambda left, right, limit: compared.append(left.count()) or pairs(left, right, limit))
+    for target in (3, 20, len(whole), 5000):
+        assert [x.ord for x in similarity.diverse(df, target=target).collect()] == whole[:target]
+    assert compared[0] < 100 and sum(compared[:3]) < 1000
+    assert similarity.diverse(df.limit(0), target=3).count() == 0
