@@ -86,3 +86,34 @@ def test_a_walk_lists_few_links_of_a_crowd(spark, monkeypatch):
             inner.append(i)
     assert {i for i, s in state.items() if s == "kept"} == set(inner)
     assert {i for i, s in state.items() if s == "reference"} == set(range(len(texts))) - set(fresh)
+
+
+def counted(monkeypatch):
+    links, pairs = [], similarity.text_pairs
+
+    def count(*a, **more):
+        out = pairs(*a, **more)
+        links.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "text_pairs", count)
+    return links
+
+
+def near(s, t):
+    return 4 * edits(s, t) <= max(len(s), len(t))
+
+
+def test_clusters_list_few_links_of_a_crowd(spark, monkeypatch):
+    texts = sorted(crowd(31), key=lambda t: (-len(t), t))
+    links = counted(monkeypatch)
+    monkeypatch.setattr(similarity, "BATCH", 100)
+    centres, want = [], {}
+    for t in texts:
+        hit = next((k for k, c in enumerate(centres) if near(t, c)), None)
+        if hit is None:
+            centres.append(t)
+        want[t] = len(centres) - 1 if hit is None else hit
+    df = spark.createDataFrame([(t,) for t in texts], "seq string")
+    assert {r.seq: r.cluster_id for r in similarity.greedy_clusters(df).collect()} == want
+    assert sum(links) < sum(near(s, t) for i, s in enumerate(texts) for t in texts[:i]) / 4
