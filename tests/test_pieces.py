@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from resiq.operators import blocks, pieces, similarity
+from resiq.plans.pipelines import pipeline_mic_table
 from tests.brute import alike, edits, family
 
 
@@ -117,3 +118,18 @@ def test_clusters_list_few_links_of_a_crowd(spark, monkeypatch):
     df = spark.createDataFrame([(t,) for t in texts], "seq string")
     assert {r.seq: r.cluster_id for r in similarity.greedy_clusters(df).collect()} == want
     assert sum(links) < sum(near(s, t) for i, s in enumerate(texts) for t in texts[:i]) / 4
+
+
+def test_mic_table_lists_few_links_of_a_crowd(spark, tmp_path, monkeypatch):
+    texts = crowd(41)
+    links = counted(monkeypatch)
+    monkeypatch.setattr(similarity, "BATCH", 100)
+    rows = [(i, f"R{i}", t, "Escherichia coli", "4") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "ord long, record_id string, sequence string, bacterium string, value string").write.parquet(f"{tmp_path}/mic_observations.parquet")
+    got = pipeline_mic_table(spark, str(tmp_path)).collect()
+    assert {r.sequence for r in got} == set(texts)
+    first = {}
+    for t in sorted(texts, key=lambda t: (-len(t), t)):
+        first[t] = next((c for c, x in first.items() if x == c and near(t, c)), t)
+    assert len({(r.cluster_id, first[r.sequence]) for r in got}) == len({r.cluster_id for r in got}) == len(set(first.values()))
+    assert sum(links) < sum(near(s, t) for i, s in enumerate(texts) for t in texts[:i]) / 4
