@@ -133,3 +133,21 @@ def test_mic_table_lists_few_links_of_a_crowd(spark, tmp_path, monkeypatch):
         first[t] = next((c for c, x in first.items() if x == c and near(t, c)), t)
     assert len({(r.cluster_id, first[r.sequence]) for r in got}) == len({r.cluster_id for r in got}) == len(set(first.values()))
     assert sum(links) < sum(near(s, t) for i, s in enumerate(texts) for t in texts[:i]) / 4
+
+
+def test_single_linkage_of_a_crowd_lists_a_forest(spark, monkeypatch):
+    texts = [t for t in crowd(51) if len(t) > 12]
+    links = counted(monkeypatch)
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, seq string")
+    got = {r.seq: r.cluster_id for r in similarity.single_linkage(df).collect()}
+    i, j = np.triu_indices(len(texts), 1)
+    v = similarity.identities([texts[x] for x in i], [texts[x] for x in j])
+    grams = [{t[x : x + 2] for x in range(len(t) - 1)} for t in texts]
+    group = list(range(len(texts)))
+    for x, y in zip(i[(v >= (0.7, 0.8)).all(axis=1)].tolist(), j[(v >= (0.7, 0.8)).all(axis=1)].tolist(), strict=True):
+        lo, hi = sorted((len(texts[x]), len(texts[y])))
+        if len(grams[x] & grams[y]) >= max(1, int(0.5 * (lo - 1 - 0.6 * hi))) and group[x] != group[y]:
+            old, new = max(group[x], group[y]), min(group[x], group[y])
+            group = [new if g == old else g for g in group]
+    assert len({(got[t], g) for t, g in zip(texts, group, strict=True)}) == len(set(got.values())) == len(set(group))
+    assert sum(links) < len(texts)
