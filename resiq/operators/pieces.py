@@ -8,6 +8,7 @@ letters, then by LCS. A hash that collides brings a pair too many to the compari
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +28,9 @@ BLOCK, DENSE = 1 << 17, 2048
 #: Pairs that are not worth an index.
 FEW = 1 << 24
 
-MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, LONGEST + 2, np.uint64) | np.uint64(1)
+#: Powers of an odd number modulo 2^64, from -LONGEST to LONGEST, and a number that mixes.
+BASE, MIX = 0x9E6C63D0876A9A47, np.uint64(0xD6E8FEB86659FD93)
+POWERS = np.array([pow(BASE, k, 1 << 64) for k in range(-LONGEST, LONGEST + 1)], np.uint64)
 
 
 def indels(limit: Callable) -> Edits:
@@ -53,58 +56,74 @@ def cuts(n: int, edits: int) -> list[tuple[int, int, bool]] | None:
     return [(x, y - x, True) for x, y in zip(edges, edges[1:], strict=False)] + ([(n - whole, whole, False)] if odd else [])
 
 
-def key(codes: np.ndarray, at: list[int]) -> np.ndarray:
-    """Hashes of the letters at these places, a row a text."""
-    out = np.zeros(len(codes), np.uint64)
-    for k, x in enumerate(at):
-        out += (codes[:, x] + np.uint64(1)) * MULTIPLIERS[k]
-    return out ^ (out >> np.uint64(29))
+def words(sums: np.ndarray, first: int, x: int, w: int, j: int | None) -> np.ndarray:
+    """Words of a hash of w letters from place x on, without the j-th of them, and a text's number; a row of `sums` holds
+    the letters before a place, each by a power of BASE. Texts are numbered by length, so those of a key come by length."""
+    if j is None or j == w - 1:
+        out = (sums[x + w - (j is not None)] - sums[x]) * POWERS[LONGEST - x]
+    else:
+        out = (sums[x + w] - sums[x + j + 1]) * POWERS[LONGEST - x - 1]
+        if j:
+            out += (sums[x + j] - sums[x]) * POWERS[LONGEST - x]
+    out ^= out >> np.uint64(29)
+    out *= MIX
+    out &= ~np.uint64((1 << PLACE) - 1)
+    out += np.arange(first, first + len(out), dtype=np.uint64)
+    return out
 
 
-def keyed(parts: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Sorted words of a key and a text's number; texts are numbered by length, so those of a key come by length."""
-    if not parts:
-        return np.zeros(0, np.uint64)
-    low = np.uint64((1 << PLACE) - 1)
-    out = np.concatenate([((h * MULTIPLIERS[-1]) & ~low) | (np.uint64(first) + np.arange(len(h), dtype=np.uint64)) for h, first in parts])
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    out = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     out.sort()
     return out
 
 
+def known(p: np.ndarray, parts: Iterator[np.ndarray]) -> np.ndarray:
+    """The sorted words of parts whose key may be one of p: a table by the top bits turns most of the others away unsorted."""
+    size = min(24, max(12, (8 * len(p)).bit_length()))
+    shift = np.uint64(64 - size)
+    table = np.zeros(1 << size, bool)
+    table[p >> shift] = True
+    return joined([q[table[q >> shift]] for q in parts])
+
+
 class Group:
-    """Texts by length, as codes; `order` has their rows."""
+    """Texts by length, as sums of their codes up to each place (`words`); `order` has their rows."""
 
     def __init__(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, rows: np.ndarray):
         self.order = rows[np.argsort(size[rows], kind="stable")]
         self.size = size[self.order]
         lengths, first = np.unique(self.size, return_index=True)
         self.first = dict(zip(lengths.tolist(), first.tolist(), strict=True))
-        self.codes = {}
+        self.sums = {}
         for n, lo, hi in zip(lengths.tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
             if n <= LONGEST:
-                self.codes[n] = flat[start[self.order[lo:hi], None] + np.arange(n)].astype(np.uint64)
+                sums = np.zeros((n + 1, hi - lo), np.uint64)
+                for k in range(n):
+                    sums[k + 1] = sums[k] + (flat[start[self.order[lo:hi]] + k].astype(np.uint64) + np.uint64(1)) * POWERS[LONGEST + k]
+                self.sums[n] = sums
 
 
 def kinds(cut: Group, other: Group, edits: Edits, swaps: bool, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sorted words of pieces and of windows, a kind of edit and a width at a time."""
-    pieces = {n: cuts(n, edits(n)) or [] for n in cut.codes if n}
+    """Sorted words of pieces and of windows that may meet them, a kind of edit and a width at a time."""
+    pieces = {n: cuts(n, edits(n)) or [] for n in cut.sums if n}
     for w, edit in sorted({(w, edit) for ps in pieces.values() for _, w, edit in ps}):
         own = [(n, x) for n, ps in pieces.items() for x, v, e in ps if (v, e) == (w, edit)]
         least, most = min(int(low[n]) for n, _ in own), max(n for n, _ in own)
-        texts = [(m, c, other.first[m]) for m, c in other.codes.items() if least <= m <= most]
-        drop = lambda x, n, j: [x + k for k in range(n) if k != j]
-        pick = lambda cols: [(key(cut.codes[n], [x + k for k in cols]), cut.first[n]) for n, x in own]  # noqa: E731, B023
-        see = lambda v, cols: [(key(c, [x + k for k in cols]), lo) for m, c, lo in texts for x in range(m - v + 1)]  # noqa: E731, B023
-        whole = list(range(w))
+        texts = [(m, c, other.first[m]) for m, c in other.sums.items() if least <= m <= most]
+        pick = lambda j=None: [words(cut.sums[n], cut.first[n], x, w, j) for n, x in own]  # noqa: E731, B023
+        see = lambda v, j=None: (words(c, lo, x, v, j) for m, c, lo in texts for x in range(m - v + 1))  # noqa: E731, B023
+        whole = joined(pick())
         if not edit:
-            yield keyed(pick(whole)), keyed(see(w, whole))
+            yield whole, known(whole, see(w))
             continue
-        yield keyed([p for j in range(w) for p in pick(drop(0, w, j))]), keyed(see(w - 1, whole[:-1]))
+        p = joined([q for j in range(w) for q in pick(j)])
+        yield p, known(p, see(w - 1))
         if swaps:
             for j in range(w):
-                yield keyed(pick(drop(0, w, j))), keyed(see(w, drop(0, w, j)))
-        exact = [] if swaps else see(w, whole)
-        yield keyed(pick(whole)), keyed(exact + [p for j in range(1, w) for p in see(w + 1, drop(0, w + 1, j))])
+                p = joined(pick(j))
+                yield p, known(p, see(w, j))
+        yield whole, known(whole, itertools.chain(() if swaps else see(w), *(see(w + 1, j) for j in range(1, w))))
 
 
 def meetings(p: np.ndarray, q: np.ndarray, cut: Group, other: Group, bits: tuple[np.ndarray, np.ndarray], most: np.ndarray, cap: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
