@@ -173,12 +173,46 @@ def meetings(p: np.ndarray, q: np.ndarray, cut: Group, other: Group, bits: tuple
         at = end
 
 
-def piece_pairs(a: list[str], b: list[str] | None, limit: Callable, edits: Edits, swaps: bool, unary: Callable, scan: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of a, rows of b, LCS) of the pairs with at most `limit` indels that `edits` allows; without b those of a with
-    itself, the smaller row first. `scan` compares small groups and the texts that are not cut."""
+def piece_pairs(a: list[str], b: list[str] | None, limit: Callable, edits: Edits, swaps: bool, unary: Callable, scan: Callable, ids: np.ndarray | None = None, keep: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of a, rows of b, LCS) of the pairs with at most `limit` indels that `edits` allows, and of them those that
+    `keep` takes; without b those of a with itself, the smaller row first. `scan` compares small groups and the texts that
+    are not cut. With ids of b, a row of a comes with its partner of the smallest id alone: no more is held, and a pair that
+    is not better than that so far is turned away before it is compared."""
+    parts = first_pairs(a, b, limit, edits, swaps, unary, scan, ids, keep) if ids is not None else all_pairs(a, b, limit, edits, swaps, unary, scan, None)
+    if ids is not None:
+        return parts
+    i, j, lcs = (np.concatenate(x) for x in zip(*parts, (np.zeros(0, np.int64),) * 3, strict=True))
+    _, first = np.unique((i << 32) | j, return_index=True)
+    i, j, lcs = i[first], j[first], lcs[first]
+    if keep is not None:
+        ok = keep(a, a if b is None else b, i, j, lcs)
+        i, j, lcs = i[ok], j[ok], lcs[ok]
+    return i, j, lcs
+
+
+def first_pairs(a: list[str], b: list[str], limit: Callable, edits: Edits, swaps: bool, unary: Callable, scan: Callable, ids: np.ndarray, keep: Callable | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    best, found = np.full(len(a), len(ids)), np.zeros(len(a), np.int64)
+    for i, j, lcs in all_pairs(a, b, limit, edits, swaps, unary, scan, lambda i, j: rank[j] < best[i]):
+        if keep is not None:
+            ok = keep(a, b, i, j, lcs)
+            i, j, lcs = i[ok], j[ok], lcs[ok]
+        at = np.lexsort((rank[j], i))
+        at = at[np.diff(i[at], prepend=-1) != 0]
+        at = at[rank[j[at]] < best[i[at]]]
+        best[i[at]], found[i[at]] = rank[j[at]], lcs[at]
+    i = np.flatnonzero(best < len(ids))
+    return i, order[best[i]], found[i]
+
+
+def all_pairs(a: list[str], b: list[str] | None, limit: Callable, edits: Edits, swaps: bool, unary: Callable, scan: Callable, wanted: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of `piece_pairs` by and by, some more than once. Pairs that are not `wanted` (rows, rows) just then need not come."""
     n = len(a)
     if n * len(a if b is None else b) <= FEW:
-        return scan(a, a if b is None else b, limit, b is None)
+        yield scan(a, a if b is None else b, limit, b is None)
+        return
     flat, start, size, letters = pack([*a, *(b or [])])
     bits = unary(flat, size, letters)
     words = [w for w in range(3) if bits[w].any()]
@@ -190,24 +224,24 @@ def piece_pairs(a: list[str], b: list[str] | None, limit: Callable, edits: Edits
     low = np.minimum.accumulate(np.where(np.tri(tall + 1, dtype=bool) & (most >= 0), grid, tall + 1).min(axis=1)[::-1])[::-1]
     left = Group(flat, start, size, np.arange(n))
     right = left if b is None else Group(flat, start, size, np.arange(n, len(size)))
-    found, waiting, held = [], [], 0
+    waiting, held, shift = [], 0, 0 if b is None else n
+    enough = 1 << (21 if wanted is None else 19)
 
-    def settle() -> None:
-        nonlocal waiting, held
-        if not held:
-            return
+    def settle() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pairs = np.concatenate([(np.minimum(x, y) << 32) | np.maximum(x, y) for x, y in waiting])
-        waiting, held = [], 0
         pairs.sort()  # much faster here than np.unique, which hashes
         pairs = pairs[np.diff(pairs, prepend=-1) != 0]
         i, j = pairs >> 32, pairs & ((1 << 32) - 1)
+        if wanted is not None:
+            ok = wanted(i, j - shift)
+            i, j = i[ok], j[ok]
         bound = most[size[i], size[j]]
         d = sum(np.bitwise_count(bits[w][i] ^ bits[w][j]) for w in words) if words else np.zeros(len(i), np.uint8)
         ok = (d <= bound) & (i != j)
         i, j, bound = i[ok], j[ok], bound[ok]
         lcs = lcs_codes(flat, start, size, i, j, letters).astype(np.int64)
         ok = size[i] + size[j] - 2 * lcs <= bound
-        found.append((i[ok], j[ok], lcs[ok]))
+        return i[ok], j[ok] - shift, lcs[ok]
 
     sides = [(left, right)] if b is None else [(left, right), (right, left)]
     for cut, other in sides:
@@ -215,11 +249,18 @@ def piece_pairs(a: list[str], b: list[str] | None, limit: Callable, edits: Edits
         for p, q in kinds(cut, other, edits, swaps, low):
             for i, j in meetings(p, q, cut, other, of, most, cap, low):
                 ok = cut.size[i] >= other.size[j]
-                waiting.append((cut.order[i[ok]], other.order[j[ok]]))
-                held += int(ok.sum())
-                if held >= 1 << 21 or len(waiting) >= 1 << 14:
-                    settle()
-    settle()
+                i, j = cut.order[i[ok]], other.order[j[ok]]
+                if wanted is not None:
+                    ok = wanted(np.minimum(i, j), np.maximum(i, j) - shift)
+                    i, j = i[ok], j[ok]
+                if len(i):
+                    waiting.append((i, j))
+                    held += len(i)
+                if held >= enough or len(waiting) >= 1 << 14:
+                    yield settle()
+                    waiting, held = [], 0
+    if held:
+        yield settle()
     # Texts that are not cut, against all that are not longer, or, from the other side, shorter
     other_lengths = [x for x in np.unique(size).tolist() if x and (x > LONGEST or cuts(x, edits(x)) is None)]
     plain = np.flatnonzero(np.isin(size, other_lengths))
@@ -232,13 +273,7 @@ def piece_pairs(a: list[str], b: list[str] | None, limit: Callable, edits: Edits
                 i, j, lcs = scan([every[x] for x in mine], [every[x] for x in rest], limit, False)
                 i, j = mine[i], rest[j]
                 ok = (i != j) & (size[j] <= size[i])
-                found.append((np.minimum(i, j)[ok], np.maximum(i, j)[ok], lcs[ok]))
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    i, j, lcs = (np.concatenate(x) for x in zip(*found, strict=True))
-    _, first = np.unique((i << 32) | j, return_index=True)
-    i, j, lcs = i[first], j[first], lcs[first]
-    return i, j - (0 if b is None else n), lcs
+                yield np.minimum(i, j)[ok], np.maximum(i, j)[ok] - shift, lcs[ok]
 
 
 def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
