@@ -56,6 +56,6 @@ def pipeline_cohorts(spark: SparkSession, sf: str) -> DataFrame:
 @query("pipeline_mic_table")
 def pipeline_mic_table(spark: SparkSession, sf: str) -> DataFrame:
     """3.3: training rows with clusters of similar sequences."""
-    rows = cut(training_rows(spark, sf))
+    rows = training_rows(spark, sf)
     groups = similarity.greedy_clusters(rows.select(F.col("sequence").alias("seq")).distinct())
     return rows.join(groups.withColumnRenamed("seq", "sequence"), "sequence").select("sequence", "bacterium", F.round("pmic", 6).alias("pmic"), "relevance", "cluster_id")

@@ -9,7 +9,7 @@ from resiq.functions import text as X
 from resiq.operators import ranks, screen, stats
 from resiq.plans.q_screen import records, split_candidates
 from resiq.plans.registry import AA, CAND, REF, query, residues, tidy
-from resiq.session import table
+from resiq.session import cut, table
 from resiq.sources import fasta, tables
 
 
@@ -155,7 +155,7 @@ def pmic(spark, sf):
 
 def training_rows(spark, sf, least: int = 5):
     """Mean pMIC, organisms with enough rows, relevance 0..100."""
-    agg = pmic(spark, sf)
+    agg = cut(pmic(spark, sf))  # its texts are parsed once
     strains = agg.groupBy("bacterium").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("bacterium")
     kept = agg.join(strains, "bacterium")
     ends = kept.agg(F.min("pmic").alias("lo"), F.max("pmic").alias("hi"))  # one row
