@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resiq.functions.lcs import lcs_codes
-from resiq.llm.grams import CHUNK, NONE, Counts, Packed, Postings, Ranking, Texts, codes_at, minimizer, minimizer4, mix, regroup, token_counts, tokens
+from resiq.llm.grams import CHUNK, NONE, Counts, Packed, Postings, Ranking, Texts, codes_at, first_keys, minimizer, minimizer4, mix, regroup, token_counts, tokens
 
 #: A token that more texts hold is salted into chunks of this many texts.
 HOT = 8192
@@ -36,7 +36,9 @@ POSTINGS_A_BUCKET = 1_000_000
 #: Chunks of a salted token; above HOT times this, chunks are larger.
 MOST_CHUNKS = 4096
 #: Pairs of postings that are compared at once, and pairs after which those found are handed on.
-STEP, FLUSH = 1 << 20, 1 << 19
+STEP, FLUSH = 1 << 16, 1 << 20
+#: Keys of pairs that are compared at once.
+CELLS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -143,19 +145,31 @@ def unpack_blocks(blobs: list[bytes], plan: Plan, bucket: int) -> tuple[Texts, n
     return t, text[rows[own]], name[own]
 
 
+UNARY = (np.uint64(1) << np.arange(5, dtype=np.uint64)) - np.uint64(1)
+
+
 def signature(t: Texts) -> np.ndarray:
     """Counts of letters in unary, up to 4 a letter in 104 of 128 bits: XOR counts a lower bound of their distance."""
     out = np.zeros((2, len(t)), np.uint64)
     for lo in range(0, len(t), CHUNK):
         few = t.slice(lo, min(len(t), lo + CHUNK))
         owner = np.repeat(np.arange(len(few)), few.size)
-        count = np.bincount(owner * 26 + few.flat, minlength=len(few) * 26).reshape(-1, 26)
+        count = np.minimum(np.bincount(few.flat.astype(np.int64) * len(few) + owner, minlength=len(few) * 26), 4).reshape(26, -1)
         for letter in range(26):
-            unary = (np.uint64(1) << np.minimum(count[:, letter], 4).astype(np.uint64)) - np.uint64(1)
-            out[letter // 13, lo : lo + len(few)] |= unary << np.uint64(4 * (letter % 13))
+            out[letter // 13, lo : lo + len(few)] |= UNARY[count[letter]] << np.uint64(4 * (letter % 13))
     return out
 
 
+def in_order(size: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Rows by name, then by size; 16 bits at a time, which numpy sorts far quicker."""
+    order = np.argsort(size.astype(np.uint16 if size.max(initial=0) < 1 << 16 else np.int64), kind="stable")
+    for bits in range(0, 64, 16):
+        part = (name >> np.uint64(bits)).astype(np.uint16)
+        if (part != part[:1]).any():
+            order = order[np.argsort(part[order], kind="stable")]
+    return order
+
+
 #: Sides of texts in a join of two sets, as bits of x.
 LEFT, RIGHT = 1, 2
 
@@ -165,7 +179,8 @@ def walk(t: Texts, plan: Plan, text: np.ndarray, name: np.ndarray, ratio: tuple[
     a turn walks the lists of whole keys from the first to the last. cross: only pairs of a LEFT with a RIGHT text.
     tally: gets the number of pairs of postings that were looked at."""
     num, den = ratio
-    order = np.argsort(name, kind="stable")
+    wide = int(t.size.max(initial=0)) + 1
+    order = in_order(t.size[text], name)
     name, text = name[order], text[order]
     new = np.diff(name, prepend=name[:1] ^ np.uint64(1)) != 0
     rank = np.cumsum(new) - 1
@@ -178,11 +193,11 @@ def walk(t: Texts, plan: Plan, text: np.ndarray, name: np.ndarray, ratio: tuple[
     keep = np.flatnonzero(good[rank]) if len(rank) else rank
     name, text, rank = name[keep], text[keep], rank[keep]
     used = np.flatnonzero(np.bincount(text, minlength=len(t)))
-    sig = np.zeros((2, len(t)), np.uint64)
-    sig[:, used] = signature(t.take(used))
-    wide = int(t.size.max(initial=0)) + 1
-    order = np.argsort(rank * wide + t.size[text], kind="stable")
-    name, text, rank = name[order], text[order], rank[order]
+    if 2 * len(used) > len(t):
+        sig = signature(t)
+    else:
+        sig = np.zeros((2, len(t)), np.uint64)
+        sig[:, used] = signature(t.take(used))
     size = t.size[text]
     at = rank * wide + size
     # n > m (2 - r) / r cannot be alike to m
@@ -198,7 +213,7 @@ def walk(t: Texts, plan: Plan, text: np.ndarray, name: np.ndarray, ratio: tuple[
     some = np.flatnonzero(n > 0)
     q, start, n = q[some], start[some], n[some]
     key = (name >> np.uint64(32)).astype(np.int64)
-    sig_q, sig_d, size_q, size_d = sig[:, text[q]], sig[:, text[d]], size[q], size[d]
+    sig_q, sig_d, size_q, size_d = sig.take(text[q], axis=1), sig.take(text[d], axis=1), size[q], size[d]
     low = (name & np.uint64(0xFFFFFF)).astype(np.int64)
     salted = bool(low.any())
     if salted:
@@ -256,25 +271,38 @@ class Shared:
 
 def key_table(p: Postings, count: np.ndarray, width: int) -> np.ndarray:
     """The first `width` keys of each text as a row, filled up with NONE, which is no token's key."""
-    rank = np.arange(len(p.text)) - np.repeat(np.cumsum(count) - count, count)
-    table = np.full((len(count), width), NONE)
-    some = rank < width
-    table[p.text[some], rank[some]] = p.key[some]
+    table, key = np.full((len(count), width), NONE), p.key
+    if count.max(initial=0) > width:
+        key = key[np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count) < width]
+    table[np.arange(width) < count[:, None]] = key
     return table
 
 
-def equal_keys(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of both sides of each pair, and where one equals the one before."""
-    both = np.concatenate([table[a], table[b]], axis=1)
-    both.sort(axis=1)
-    return both[:, 1:], (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
+def shared_keys(table: np.ndarray, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(pairs, keys of a, keys of b, which of those of a stand in b), a column a pair. Pairs come by the numbers of their keys,
+    and so many at once that the matrices are no wider than needed and stay in the processor's cache."""
+    most = np.minimum(np.maximum(count[a], count[b]), table.shape[1])
+    order, lo = np.argsort(most.astype(np.uint16 if table.shape[1] < 1 << 16 else np.int64), kind="stable"), 0
+    while lo < len(order):
+        rows = order[lo : lo + max(1, CELLS // max(1, int(most[order[lo]])))]
+        lo += len(rows)
+        wide = max(1, int(most[rows[-1]]))
+        one, two = (np.ascontiguousarray(table.take(x[rows], axis=0)[:, :wide].T) for x in (a, b))
+        hit, same = np.zeros(one.shape, bool), np.zeros(one.shape, bool)
+        for key in two:
+            hit |= np.equal(one, key, out=same)
+        hit &= one != NONE
+        yield rows, one, two, hit
 
 
 def shared_of(p: Postings, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> Shared:
-    """Shared tokens among those of p, in the order (pair, key)."""
+    """Shared tokens among those of p; those of a pair by key."""
     if count.max(initial=0) <= 64:
-        keys, same = equal_keys(key_table(p, count, int(count.max(initial=1))), a, b)
-        return Shared(np.nonzero(same)[0], keys[same], count[a], count[b])
+        pair, key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for rows, one, _, hit in shared_keys(key_table(p, count, int(count.max(initial=1))), count, a, b):
+            pair.append(np.repeat(rows, hit.sum(axis=0)))
+            key.append(one.T[hit.T])
+        return Shared(np.concatenate(pair), np.concatenate(key), count[a], count[b])
     start = np.cumsum(count) - count
 
     def of(side: np.ndarray) -> np.ndarray:
@@ -288,30 +316,30 @@ def shared_of(p: Postings, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> S
 
 
 #: Widths of the tables of keys in which `first_shared` looks, in turn.
-WIDTHS = (8, 24)
+WIDTHS = (8, 32)
 AT_ONCE = 1 << 16
 
 
-def first_shared(p: Postings, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def first_shared(t: Texts, ranking: Ranking, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest key that both texts of each pair have; each pair must have one.
 
     A key that is smallest in both sides' first few keys is smallest in all, so a narrow table settles most
-    pairs; the rest take a wider one, and then the general way. (No token has key NONE.)"""
+    pairs; the rest take a wider one, and then the general way. (No token has key NONE.) A text's keys are sorted once,
+    however many pairs it is in."""
     out, left = np.full(len(a), NONE), np.arange(len(a))
+    first = first_keys(t, ranking, WIDTHS[-1])
     for width in WIDTHS:
-        table = key_table(p, count, width)
-        for at in range(0, len(left), AT_ONCE):
-            rows = left[at : at + AT_ONCE]
-            keys, same = equal_keys(table, a[rows], b[rows])
-            hit = same.argmax(axis=1)
-            ok = np.flatnonzero(same[np.arange(len(rows)), hit])
-            out[rows[ok]] = keys[ok, hit[ok]]
+        table = np.ascontiguousarray(first[:, :width])
+        for rows, one, _, hit in shared_keys(table, np.full(len(t), width), a[left], b[left]):
+            out[left[rows]] = np.where(hit, one, NONE).min(axis=0)
         left = left[out[left] == NONE]
     for at in range(0, len(left), AT_ONCE):
         rows = left[at : at + AT_ONCE]
-        s = shared_of(p, count, a[rows], b[rows])
-        pair, first = np.unique(s.pair, return_index=True)
-        out[rows[pair]] = s.key[first]
+        few, u, v = only(t, a[rows], b[rows])
+        p = tokens(few, ranking, whole=True, places=False)
+        s = shared_of(p, np.bincount(p.text, minlength=len(few)), u, v)
+        pair, place = np.unique(s.pair, return_index=True)
+        out[rows[pair]] = s.key[place]
     return out
 
 
@@ -340,16 +368,18 @@ def list_pairs(t: Texts, plan: Plan, bucket: int, text: np.ndarray, name: np.nda
     """(texts, a, b): the pairs of a bucket that are at home there, pass `verify` and are alike."""
     out = [(np.zeros(0, np.int64),) * 2]
     for a, b, low, high in walk(t, plan, text, name, ratio, cross, tally):
-        for at in range(0, len(a), AT_ONCE):  # whole token sets are made for so many pairs at once
-            few, u, v = only(t, a[at : at + AT_ONCE], b[at : at + AT_ONCE])
-            p = tokens(few, plan.ranking, whole=True)
-            count = np.bincount(p.text, minlength=len(few))
-            key = first_shared(p, count, u, v)
-            rows = np.flatnonzero((key >= low) & (key <= high))
-            rows = rows[at_home(plan, key[rows], few.tid[u[rows]], few.tid[v[rows]], bucket)]
-            rows = rows[verify(few, p, count, u[rows], v[rows])]
-            rows = rows[alike(few, u[rows], v[rows], *ratio)] + at
-            out.append((a[rows], b[rows]))
+        # Most pairs meet in several buckets, so that the few at home here are told first
+        few, u, v = only(t, a, b)
+        key = first_shared(few, plan.ranking, u, v)
+        home = np.flatnonzero((key >= low) & (key <= high))
+        home = home[at_home(plan, key[home], few.tid[u[home]], few.tid[v[home]], bucket)]
+        for at in range(0, len(home), AT_ONCE):  # whole token sets are made for so many pairs at once
+            rows = home[at : at + AT_ONCE]
+            some, i, j = only(few, u[rows], v[rows])
+            p = tokens(some, plan.ranking, whole=True, places=False)
+            ok = np.flatnonzero(verify(some, p, np.bincount(p.text, minlength=len(some)), i, j))
+            ok = ok[alike(some, i[ok], j[ok], *ratio)]
+            out.append((a[rows[ok]], b[rows[ok]]))
     return t, *(np.concatenate(c) for c in zip(*out, strict=True))
 
 

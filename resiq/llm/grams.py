@@ -44,7 +44,8 @@ def mix24(x: np.ndarray) -> np.ndarray:
     """A bijection of 24-bit integers, which hold every code of a token."""
     x = x.astype(np.uint32)
     for odd in ODDS:
-        x = (x * np.uint32(odd)) & LOW24
+        x *= np.uint32(odd)
+        x &= LOW24
         x ^= x >> np.uint32(12)
     return x
 
@@ -213,39 +214,76 @@ def codes_at(t: Texts, text: np.ndarray, place: np.ndarray) -> np.ndarray:
     return out
 
 
-def tokens(t: Texts, ranking: Ranking, whole: bool = False) -> Postings:
-    """Listed tokens (all tokens if `whole`) of the texts. Texts of like sizes are rows of one matrix, sorted at once."""
-    n = np.maximum(t.size - Q + 1, 0)
-    wide = np.where(n <= 128, -(-n // 8) * 8, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
-    keys = ranking.key(codes(t)).astype(np.uint64) << np.uint64(32)
-    end, parts = np.uint64(0xFFFFFFFFFFFFFFFF), []
-    for w in np.unique(wide[n > 0]):
-        own = np.flatnonzero(wide == w)
-        step = max(1, (1 << 20) // int(w))
-        place = np.arange(w)
-        for lo in range(0, len(own), step):
-            rows = own[lo : lo + step]
-            inside = place < n[rows, None]
-            m = np.where(inside, keys[np.where(inside, t.start[rows, None] + place, 0)] | place.astype(np.uint64), end)
-            m.sort(axis=1)
-            key = (m >> np.uint64(32)).astype(np.uint32)
-            keep = m != end
-            keep[:, 1:] &= key[:, 1:] != key[:, :-1]
-            count = keep.sum(axis=1)
-            if not whole:
-                keep &= np.cumsum(keep, axis=1) <= ranking.listed(count)[:, None]
-            at, col = np.nonzero(keep)
-            parts.append((rows[at], key[at, col], (m[at, col] & np.uint64(0xFFFFFFFF)).astype(np.int64)))
-    if not parts:
-        return Postings(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
-    cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    if len(parts) > 1:
-        order = np.argsort(cols[0], kind="stable")
-        cols = [c[order] for c in cols]
+#: Keys of a matrix that is sorted at once, so that it stays in the processor's cache.
+AT_ONCE = 1 << 17
+
+
+def key_rows(t: Texts, ranking: Ranking, places: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(texts, matrix): texts of like sizes as rows of their sorted keys, filled up with the largest integer. places: 64 bits, the
+    key before its place; else the keys alone."""
+    end = np.iinfo(np.uint64 if places else np.uint32).max
+    for first in range(0, len(t), CHUNK):
+        few = t.slice(first, min(len(t), first + CHUNK))
+        n = np.maximum(few.size - Q + 1, 0)
+        wide = np.where(n <= 128, -(-n // 8) * 8, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+        keys = np.concatenate([ranking.key(codes(few)), np.zeros(int(wide.max(initial=0)), np.uint32)])
+        for w in np.unique(wide[n > 0]).tolist():
+            own, place = np.flatnonzero(wide == w), np.arange(w)
+            windows, step = np.lib.stride_tricks.sliding_window_view(keys, w), max(1, AT_ONCE // w)
+            for lo in range(0, len(own), step):
+                rows = own[lo : lo + step]
+                m = windows[few.start[rows]]
+                if places:
+                    m = (m.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)
+                m[place >= n[rows, None]] = end
+                m.sort(axis=1)
+                yield first + rows, m
+
+
+def tokens(t: Texts, ranking: Ranking, whole: bool = False, places: bool = True) -> Postings:
+    """Listed tokens (all tokens if `whole`) of the texts. Without `places`, which take longer, they are told as 0."""
+    count, parts = np.zeros(len(t), np.int64), []
+    for rows, m in key_rows(t, ranking, places):
+        key = (m >> np.uint64(32)).astype(np.uint32) if places else m
+        keep = key != NONE
+        keep[:, 1:] &= key[:, 1:] != key[:, :-1]
+        n = keep.sum(axis=1)
+        if not whole:
+            listed = ranking.listed(n)
+            if (n > listed).any():
+                keep &= np.cumsum(keep, axis=1, dtype=np.int32) <= listed[:, None]
+                n = np.minimum(n, listed)
+        count[rows] = n
+        parts.append((rows, key[keep], m[keep] & np.uint64(0xFFFFFFFF) if places else 0))
+    start = np.cumsum(count) - count
+    text = np.repeat(np.arange(len(t)), count)
+    key, place = np.zeros(len(text), np.uint32), np.zeros(len(text), np.int64)
+    for rows, own, at in parts:
+        n = count[rows]
+        put = np.repeat(start[rows] - (np.cumsum(n) - n), n) + np.arange(len(own))
+        key[put] = own
+        if places:
+            place[put] = at
+    p = Postings(text, key, place)
     if ranking.cosine and not whole:
-        keep = ranking.needed(cols[0], cols[1], np.bincount(cols[0], minlength=len(t)))
-        cols = [c[keep] for c in cols]
-    return Postings(*cols)
+        keep = ranking.needed(text, key, count)
+        p = Postings(text[keep], key[keep], place[keep])
+    return p
+
+
+def first_keys(t: Texts, ranking: Ranking, width: int) -> np.ndarray:
+    """The first `width` keys of each text as a row, filled up with NONE."""
+    out = np.full((len(t), width), NONE)
+    for rows, m in key_rows(t, ranking, False):
+        twice = (m[:, 1:] == m[:, :-1]) & (m[:, 1:] != NONE)
+        some = np.flatnonzero(twice.any(axis=1))
+        if len(some):
+            few = m[some]
+            few[:, 1:][twice[some]] = NONE
+            few.sort(axis=1)
+            m[some] = few
+        out[rows, : m.shape[1]] = m[:, :width]
+    return out
 
 
 def regroup(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Iterator[Texts]:
@@ -309,7 +347,7 @@ def token_counts(texts: DataFrame, hot: int, least: int = 0) -> Counts:
         total, n = None, 0
         plain = Ranking(lambda k: k)
         for t in regroup(batches, 4 * CHUNK):
-            p = tokens(t, plain, whole=True)
+            p = tokens(t, plain, whole=True, places=False)
             code, m = np.unique(Ranking.code(p.key), return_counts=True)
             total = np.zeros(SPAN, np.int32) if total is None else total
             total[code] += m.astype(np.int32)

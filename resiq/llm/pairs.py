@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resiq.functions.text import residues
-from resiq.llm.blockjoin import HOT, broadcast_table, equal_keys, key_table, meet, shared_of
+from resiq.llm.blockjoin import HOT, broadcast_table, key_table, meet, shared_keys, shared_of
 from resiq.llm.grams import Counts, Postings, Ranking, Texts, token_counts
 from resiq.operators.graph import connected_components
 from resiq.session import cut, table
@@ -72,11 +72,15 @@ def sketch_verify(k: int, estimate: float, jaccard: float):
 
     def verify(t: Texts, p: Postings, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         sketch, size = key_table(p, count, k), np.minimum(count, k)  # the first keys of all are the sketch
-        keys, same = equal_keys(sketch, a, b)
-        # The place in the union of each value that both hold; values up to k count
-        place = np.cumsum(np.pad(~same, ((0, 0), (1, 0)), constant_values=True), axis=1)[:, 1:]
-        union = np.minimum(k, size[a] + size[b] - same.sum(axis=1))
-        hits = (same & (place <= k)).sum(axis=1)
+        hits, union = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        for rows, one, two, hit in shared_keys(sketch, count, a, b):
+            # The place in the union of each value that both hold; values up to k count
+            kind = np.uint8 if k < 128 else np.int64
+            place, upto = np.arange(1, len(one) + 1, dtype=kind)[:, None] - np.cumsum(hit, axis=0, dtype=kind), np.zeros(one.shape, bool)
+            for key in two:
+                place += np.less_equal(key, one, out=upto).view(np.uint8)
+            hits[rows] = (hit & (place <= k)).sum(axis=0)
+            union[rows] = np.minimum(k, size[a[rows]] + size[b[rows]] - hit.sum(axis=0))
         ok = np.flatnonzero(hits >= estimate * union)
         e = shared_of(p, count, a[ok], b[ok])
         both = np.bincount(e.pair, minlength=len(ok))

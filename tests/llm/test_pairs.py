@@ -321,6 +321,54 @@ def test_the_filters_reject_pairs():
     assert 0 < ok.sum() < 0.8 * len(ok)
 
 
+def test_token_sets_are_made_for_pairs_at_home_alone(monkeypatch):
+    """Alike texts meet in most of the buckets; whole token sets are made in the one where a pair is kept."""
+    texts = list(dict.fromkeys(family(31, 12, 6, (40, 60), 2)))
+    size = np.array([len(x) for x in texts])
+    flat = np.frombuffer("".join(texts).encode(), np.uint8) - np.uint8(65)
+    t = Texts(np.arange(len(texts)), flat, size, *(np.zeros(len(texts), np.int32) for _ in range(2)))
+    plan, made, got = plan_of(12, listed=pairs.SKETCH), [], []
+    packed = list(blockjoin.pack_blocks(t, plan))
+    monkeypatch.setattr(blockjoin, "tokens", lambda few, *a, **how: made.append(len(few)) or grams.tokens(few, *a, **how))
+    for bucket in range(12):
+        u, a, b = blockjoin.list_pairs(*blockjoin.sorted_out([x for k, x in packed if k == bucket], plan, bucket), pairs.sketch_verify(pairs.SKETCH, 0.03, 0.03), (4, 5), False)
+        got += zip(np.minimum(u.tid[a], u.tid[b]).tolist(), np.maximum(u.tid[a], u.tid[b]).tolist())
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if texts[i] != texts[j] and alike(texts[i], texts[j])}
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
+    assert 0 < sum(made) < 2 * len(texts)
+
+
+def test_first_keys_and_shared_keys_equal_plain_sets():
+    """Texts with repeated tokens, none, and more than the table is wide; a class for some tokens."""
+    r = np.random.default_rng(4)
+    rank = Ranking(lambda n: n, r.integers(0, 3, SPAN).astype(np.uint8))
+    t = some_texts(12, 120, 2, (0, 90))
+    every, quick = grams.tokens(t, rank, whole=True), grams.tokens(t, rank, whole=True, places=False)
+    assert (every.text == quick.text).all() and (every.key == quick.key).all()
+    assert (rank.key(grams.codes_at(t, every.text, every.place)) == every.key).all()
+    own = [every.key[every.text == i].tolist() for i in range(len(t))]
+    first = grams.first_keys(t, rank, 8)
+    assert [[k for k in row if k != NONE] for row in first.tolist()] == [k[:8] for k in own]
+    count = np.bincount(every.text, minlength=len(t))
+    a, b = np.triu_indices(len(t), 1)
+    s = blockjoin.shared_of(every, count, a, b)
+    got = {}
+    for pair, key in zip(s.pair.tolist(), s.key.tolist()):
+        got.setdefault(pair, []).append(key)
+    want = {n: k for n, (i, j) in enumerate(zip(a, b)) if (k := sorted(set(own[i]) & set(own[j])))}
+    assert got == want
+    some = np.array(sorted(want))
+    assert blockjoin.first_shared(t, rank, a[some], b[some]).tolist() == [want[n][0] for n in some.tolist()]
+
+
+def test_postings_are_ordered_by_list_and_size():
+    r = np.random.default_rng(1)
+    for most in (90, 1 << 17):
+        size, name = r.integers(0, most, 4000), r.integers(0, 1 << 63, 300).astype(np.uint64)[r.integers(0, 300, 4000)]
+        assert (blockjoin.in_order(size, name) == np.lexsort((size, name))).all()
+    assert len(blockjoin.in_order(size[:0], name[:0])) == 0
+
+
 def test_groups_of_pairs(spark, tmp_path, texts):
     few = [t for t in texts[:60] if t and len(t) < 100]
     spark.createDataFrame([(i, t) for i, t in enumerate(few)], "ord long, seq string").write.parquet(str(tmp_path / "scored_candidates.parquet"))
